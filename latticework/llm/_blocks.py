@@ -83,8 +83,7 @@ def ask(blk: int, kind: int, names: np.ndarray, vals: np.ndarray, buckets: int,
     full = [b for b in range(buckets) if at[b] < at[b + 1]]
     packed = []
     for b in full:
-        part = names[at[b] : at[b + 1]]
-        packed.append(pack(np.concatenate([part[:1], np.diff(part)])))
+        packed.append(rising(names[at[b] : at[b + 1]]))
     n = len(full)
     return pa.Table.from_arrays(
         [pa.array([blk] * n, pa.int32()), pa.array(full, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array(packed, pa.binary()), pa.array([pack(vals[at[b] : at[b + 1]].view(U64)) for b in full], pa.binary())],
@@ -92,13 +91,22 @@ def ask(blk: int, kind: int, names: np.ndarray, vals: np.ndarray, buckets: int,
     )
 
 
-def answers(asked: DataFrame, op: np.ufunc, finish: Callable[[np.ndarray], bytes]) -> DataFrame:
+def rising(names: np.ndarray) -> bytes:
+    """Packed sorted names."""
+    return pack(np.concatenate([names[:1], np.diff(names)]))
+
+
+def risen(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=U64)
+
+
+def answers(asked: DataFrame, op: np.ufunc, finish: Callable[[np.ndarray, np.ndarray], tuple[bytes | None, bytes | None]]) -> DataFrame:
     """Folds equal names over all blocks; ``finish`` packs a block's answers."""
 
     def bucket(table: pa.Table) -> pa.Table:
-        names = [np.cumsum(unpack(x.as_py()), dtype=U64) for x in table.column("names")]
-        sizes = np.cumsum([len(x) for x in names])[:-1]
-        names = np.concatenate(names)
+        own = [risen(x.as_py()) for x in table.column("names")]
+        sizes = np.cumsum([len(x) for x in own])[:-1]
+        names = np.concatenate(own)
         vals = np.concatenate([unpack(x.as_py()) for x in table.column("vals")]).view(np.int64)
         order = np.argsort(names, kind="stable")
         names = names[order]
@@ -106,28 +114,35 @@ def answers(asked: DataFrame, op: np.ufunc, finish: Callable[[np.ndarray], bytes
         del names
         total = op.reduceat(vals[order], np.flatnonzero(first))
         vals[order] = total[np.cumsum(first) - 1]
-        none = pa.nulls(table.num_rows, pa.binary())
-        out = pa.array([finish(x) for x in np.split(vals, sizes)], pa.binary())
-        return pa.Table.from_arrays([table.column("blk"), table.column("bucket"), table.column("kind"), none, out], schema=ANSWER)
+        told = [finish(n, x) for n, x in zip(own, np.split(vals, sizes), strict=True)]
+        return pa.Table.from_arrays([table.column("blk"), table.column("bucket"), table.column("kind"), *(pa.array([x[k] for x in told], pa.binary()) for k in (0, 1))], schema=ANSWER)
 
     return asked.groupBy("bucket").applyInArrow(bucket, ASK)
 
 
-def repeated(total: np.ndarray) -> bytes:
-    """Bits: whether a name's folded count is two or more."""
-    return len(total).to_bytes(4, "little") + np.packbits(total >= 2).tobytes()
+def repeated_names(names: np.ndarray, total: np.ndarray) -> tuple[bytes, None]:
+    """The names whose folded count is two or more."""
+    return rising(names[total >= 2]), None
+
+
+def repeated_bits(names: np.ndarray, total: np.ndarray) -> tuple[None, bytes]:
+    """For each name, whether its folded count is two or more."""
+    return None, len(total).to_bytes(4, "little") + np.packbits(total >= 2).tobytes()
 
 
-def numbers(total: np.ndarray) -> bytes:
-    return pack(total.view(U64))
+def numbers(names: np.ndarray, total: np.ndarray) -> tuple[None, bytes]:
+    """For each name, the folded value."""
+    return None, pack(total.view(U64))
 
 
-def answered(table: pa.Table, kind: int, bits: bool) -> np.ndarray:
+def answered(table: pa.Table, kind: int, bits: bool = False, names: bool = False) -> np.ndarray:
     """A block's answers of a kind, in the order of its sorted names."""
-    rows = sorted((b.as_py(), v.as_py()) for b, k, v in zip(table.column("bucket"), table.column("kind"), table.column("vals"), strict=True) if k.as_py() == kind)
+    rows = sorted((b.as_py(), v.as_py()) for b, k, v in zip(table.column("bucket"), table.column("kind"), table.column("names" if names else "vals"), strict=True) if k.as_py() == kind)
     if bits:
         parts = [np.unpackbits(np.frombuffer(v, np.uint8, offset=4), count=int.from_bytes(v[:4], "little")).astype(bool) for _, v in rows]
         return np.concatenate(parts) if parts else np.empty(0, bool)
+    if names:
+        return np.concatenate([risen(v) for _, v in rows]) if rows else np.empty(0, U64)
     return np.concatenate([unpack(v).view(np.int64) for _, v in rows]) if rows else np.empty(0, np.int64)
 
 

@@ -85,13 +85,9 @@ def removal(docs: DataFrame, window: int, schema: pa.Schema, emit: Callable[[pa.
     def anchors(table: pa.Table) -> pa.Table:
         return B.ask(table.column("blk")[0].as_py(), ANCHORS, *selected(table), buckets)
 
-    def hot(table: pa.Table, told: pa.Table) -> np.ndarray:
-        names, _ = selected(table)
-        return names[B.answered(told, ANCHORS, bits=True)]
-
     def candidates(table: pa.Table, told: pa.Table):
         """For each chunk: its rows, bytes, offsets, words, and the candidate windows with hashes."""
-        among = hot(table, told)
+        among = B.answered(told, ANCHORS, names=True)
         for batch, data, offsets in T.chunks(table.combine_chunks().to_batches()):
             words, sums, owner, inside, _, _, least = _chunk(data, offsets, window)
             at = _candidates(least, inside, among)
@@ -111,7 +107,7 @@ def removal(docs: DataFrame, window: int, schema: pa.Schema, emit: Callable[[pa.
             return schema.empty_table()
         steps = list(candidates(table, told)) if table.nbytes < 4 * B.BLOCK_BYTES else None
         names = np.unique(np.concatenate([x[-1] for x in steps or candidates(table, told)]))
-        first = B.answered(told, WINDOWS, bits=False)
+        first = B.answered(told, WINDOWS)
         out = []
         for batch, data, offsets, words, owner, at, hashes in steps or candidates(table, told):
             ids, null = _ids(batch)
@@ -123,7 +119,7 @@ def removal(docs: DataFrame, window: int, schema: pa.Schema, emit: Callable[[pa.
             out.append(emit(batch, texts, np.split(gone, words.first[1:-1])))
         return pa.concat_tables(out)
 
-    asked = B.answers(parts.groupBy("blk").applyInArrow(anchors, B.ASK), np.add, B.repeated)
+    asked = B.answers(parts.groupBy("blk").applyInArrow(anchors, B.ASK), np.add, B.repeated_names)
     more = B.answers(parts.groupBy("blk").cogroup(asked.groupBy("blk")).applyInArrow(windows, B.ASK), np.minimum, B.numbers)
     return parts.groupBy("blk").cogroup(asked.unionByName(more).groupBy("blk")).applyInArrow(result, from_arrow_schema(schema))
 
