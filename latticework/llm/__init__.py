@@ -1 +1,11 @@
-"""Operators for training-data pipelines; nothing else in the package imports this."""
+"""Operators for training-data pipelines; nothing else in the package imports this.
+
+Functions that run on executors travel by value, so executors need no copy of
+this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
