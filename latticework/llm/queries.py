@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_score, substring_dedup, suffix_dedup
+from . import lm_score, mixing, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,18 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(_table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark, url_filter.RULES))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op4_substring_dedup)}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.queued(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_url_filter, op4_substring_dedup, op7_mixing)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE}
