@@ -144,12 +144,3 @@ def answered(table: pa.Table, kind: int, bits: bool = False, names: bool = False
     if names:
         return np.concatenate([risen(v) for _, v in rows]) if rows else np.empty(0, U64)
     return np.concatenate([unpack(v).view(np.int64) for _, v in rows]) if rows else np.empty(0, np.int64)
-
-
-def found(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Mask of the values that are among the sorted ones."""
-    if not len(among):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(among, values)
-    at[at == len(among)] = 0
-    return among[at] == values

@@ -98,6 +98,7 @@ class Words:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool = False):
+        data = _LOWER[data] if lower else data
         inside = kind[data]
         n = len(data)
         begins = np.zeros(n + 1, bool)
@@ -108,9 +109,10 @@ class Words:
         edge = inside
         edge[:-1] &= ~inside[1:] | begins[1:n]
         self.end = np.flatnonzero(edge) + 1
+        self.offsets = offsets
         self.first = np.searchsorted(self.start, offsets)
         self.counts = np.diff(self.first)
-        self.hash = spans(prefix(_SYMBOL[_LOWER[data] if lower else data]), self.start, self.end)
+        self.hash = spans(prefix(_SYMBOL[data]), self.start, self.end)
 
 
 def byte_sums(data: np.ndarray) -> np.ndarray:
@@ -170,5 +172,18 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+def found(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Mask of the values that are among the sorted ones."""
+    if not len(among):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(among, values)
+    at[at == len(among)] = 0
+    return among[at] == values
+
+
+def lowered(data: np.ndarray) -> bytes:
+    return _LOWER[data].tobytes()
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

@@ -57,7 +57,7 @@ def _candidates(least: np.ndarray, inside: np.ndarray, hot: np.ndarray) -> np.nd
     if not len(least):
         return np.empty(0, np.int64)
     change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    mask = np.repeat(B.found(least[change], hot), np.diff(np.append(change, len(least))))
+    mask = np.repeat(T.found(least[change], hot), np.diff(np.append(change, len(least))))
     return np.flatnonzero(mask & inside[: len(least)])
 
 

@@ -90,7 +90,7 @@ def removal(docs: DataFrame, length: int, schema: pa.Schema, emit: Callable[[pa.
             least = T.sliding(T.rolling(sums, short), width, np.minimum)
             if len(least):
                 change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                mask = np.repeat(B.found(least[change], hot), np.diff(np.append(change, len(least))))
+                mask = np.repeat(T.found(least[change], hot), np.diff(np.append(change, len(least))))
                 del least
                 at = np.flatnonzero(mask)
                 own = owner[at]
