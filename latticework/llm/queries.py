@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lm_score, mixing, substring_dedup, suffix_dedup, url_filter
+from . import decontamination, lm_score, minhash_dedup, mixing, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.queued(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,6 +39,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_url_filter, op4_substring_dedup, op7_mixing, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_url_filter, op4_substring_dedup, op5_minhash_dedup, op7_mixing, op8_decontamination)}
 
 ORACLES = {"op3_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE}
