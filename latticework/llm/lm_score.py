@@ -6,7 +6,9 @@ relations travel packed: each block of documents posts its distinct n-grams once
 with their counts, to the hash partition that holds their part of the tables, and
 gets the corpus counts back; so a frequent n-gram costs an entry per block, and
 nothing is a row per token. The tables grow with the corpus and are never
-collected or broadcast.
+collected or broadcast. Words and pairs are asked about first; a longer n-gram
+only if both shorter ones inside it occur twice in the corpus, without which it
+can't occur in another document.
 
 A document is scored against all *other* documents: its own counts are taken off
 (else no n-gram would be unseen). For w_i with up to ``order - 1`` words before
@@ -30,16 +32,11 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from . import _blocks as B
 from . import _text as T
 
-GRAMS, TOTAL = 0, 1
+TOTAL = 0
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_backoff", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
 
 
-def _shift(total_bytes: int, order: int) -> int:
-    """Low bits to drop from fingerprints: what is left holds all n-grams apart."""
-    return max(0, 62 - 2 * int(max(1, total_bytes * order)).bit_length())
-
-
-def _grams(words: T.Words, order: int, shift: int) -> list[np.ndarray]:
+def _grams(words: T.Words, order: int) -> list[np.ndarray]:
     """For each order n, the fingerprint of the n words up to each position; 0 across a document's start."""
     place = np.arange(len(words.hash)) - words.first[:-1][T.lengths_to_owner(words.counts)]
     out, so_far = [], words.hash
@@ -47,61 +44,89 @@ def _grams(words: T.Words, order: int, shift: int) -> list[np.ndarray]:
         if n > 1:
             so_far = np.concatenate([np.zeros(1, T.U64), so_far[:-1]])[: len(words.hash)]
             so_far = T.mix(so_far * T.U64(0x9E3779B97F4A7C15) + words.hash + T.U64(n))
-        name = so_far >> T.U64(shift) << T.U64(shift)
-        out.append(np.where(place >= n - 1, np.maximum(name, T.U64(1 << shift)), T.U64(0)))
+        out.append(np.where(place >= n - 1, np.maximum(so_far, T.U64(1)), T.U64(0)))
     return out
 
 
+class _Block:
+    """The n-grams of a block's documents, and what the corpus has of them."""
+
+    def __init__(self, table: pa.Table, order: int):
+        grams, ids, counts = [], [], []
+        for batch, data, offsets in T.chunks(table.combine_chunks().to_batches()):
+            words = T.Words(data, offsets, T.SPACE_SPLIT, lower=True)
+            grams.append(_grams(words, order))
+            ids.append(batch.column("doc_id").cast(pa.int64()))
+            counts.append(words.counts)
+        self.names = [np.concatenate([x[n] for x in grams]) for n in range(order)]
+        self.ids, self.counts = pa.concat_arrays(ids), np.concatenate(counts)
+        self.corpus: list[np.ndarray] = []  # counts by position, as far as they are told
+        self.place: list[np.ndarray] = []  # for own counts: a number for each n-gram, and where it applies
+        self.where: list[np.ndarray] = []
+
+    def asked(self, step: int) -> np.ndarray:
+        """The n-grams of a step: words and pairs, then one order each."""
+        if step == 0:
+            every = np.concatenate(self.names[:2])
+            return every[every > 0]
+        return self.names[step + 1][self._possible(step + 1)]
+
+    def _possible(self, n: int) -> np.ndarray:
+        often = self.corpus[n - 1] >= 2
+        return np.flatnonzero((self.names[n] > 0) & often & np.append(False, often[:-1])[: len(often)])
+
+    def hear(self, told: pa.Table, step: int) -> None:
+        known = np.unique(self.asked(step))
+        answer = B.answered(told, step + 1)
+        for n in (0, 1) if step == 0 else (step + 1,):
+            if n < len(self.names):
+                at = np.flatnonzero(self.names[n]) if step == 0 else self._possible(n)
+                self.where.append(at)
+                self.place.append(np.searchsorted(known, self.names[n][at]))
+                self.corpus.append(np.zeros(len(self.names[n]), np.int64))
+                self.corpus[-1][at] = answer[self.place[-1]]
+
+
 def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
     """(doc_id, n_tokens, n_backoff, log_score, mean_log_score) for each row."""
-    blocks, buckets, total = B.layout(docs, 0.1 * order)
-    shift = _shift(total, order)
+    blocks, buckets, _ = B.layout(docs, 0.1 * order)
     parts = B.in_blocks(docs, blocks)
+    text = parts.groupBy("blk")
+    steps = max(1, order - 1)
 
-    def grams(table: pa.Table):
-        names, rows = [], []
-        for batch, data, offsets in T.chunks(table.combine_chunks().to_batches()):
-            words = T.Words(data, offsets, T.SPACE_SPLIT, lower=True)
-            names.append(_grams(words, order, shift))
-            rows.append((batch.column("doc_id").cast(pa.int64()), words.counts))
-        return names, rows
+    def post(step: int):
+        def ask(table: pa.Table, told: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return B.ANSWER.empty_table()
+            block = _Block(table, order)
+            for k in range(step):
+                block.hear(told, k)
+            return B.ask(table.column("blk")[0].as_py(), step + 1, *_counted(block.asked(step)), buckets)
 
-    def post(table: pa.Table) -> pa.Table:
-        names, _ = grams(table)
-        every = np.concatenate([y for x in names for y in x])
-        return B.ask(table.column("blk")[0].as_py(), GRAMS, *_counted(every[every > 0]), buckets, shift)
+        return ask
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return RESULT.empty_table()
-        names, rows = grams(table)
-        counts = np.concatenate([c for _, c in rows])
-        owner = T.lengths_to_owner(counts)
-        corpus = B.answered(told, GRAMS)
-        every = np.concatenate([y for x in names for y in x])
-        known = _counted(every[every > 0])[0]
-        del every
+        block = _Block(table, order)
+        for k in range(steps):
+            block.hear(told, k)
+        counts, owner = block.counts, T.lengths_to_owner(block.counts)
         other = []  # counts in all other documents, of the n-gram that ends at each position
-        for n in range(order):
-            name = np.concatenate([x[n] for x in names])
-            has = np.flatnonzero(name)
-            if not len(has):
-                other.append(np.full(len(name), -1.0))
-                continue
-            at = np.searchsorted(known, name[has])
-            own = (at.astype(T.U64) << T.U64(32)) | owner[has].astype(T.U64)
-            order_ = np.argsort(own)
-            ranked = own[order_]
-            first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-            size = np.diff(np.append(np.flatnonzero(first), len(ranked)))
+        for corpus, at, place in zip(block.corpus, block.where, block.place, strict=True):
+            own = (place.astype(T.U64) << T.U64(32)) | owner[at].astype(T.U64)
+            rank = np.argsort(own)
+            own = own[rank]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+            size = np.diff(np.append(first, len(own)))
             mine = np.empty(len(own), np.int64)
-            mine[order_] = np.repeat(size, size)
-            out = np.full(len(name), -1.0)
-            out[has] = corpus[at] - mine
-            other.append(out)
-        tokens = np.array([v for v, k in zip(told.column("vals").to_pylist(), told.column("kind").to_pylist(), strict=True) if k == TOTAL])
-        rest = (int(tokens[0]) if len(tokens) else 0) - counts[owner].astype(float)
-        value = np.where(other[0] > 0, np.maximum(other[0], 1) / np.maximum(rest, 1), 1 / (rest + 1))
+            mine[rank] = np.repeat(size, size)
+            left = corpus.astype(float)
+            left[at] -= mine
+            other.append(left)
+        total = [int(v) for v, k in zip(told.column("vals").to_pylist(), told.column("kind").to_pylist(), strict=True) if k == TOTAL]
+        rest = sum(total) - counts[owner].astype(float)
+        value = np.where(other[0] > 0, other[0] / np.maximum(rest, 1), 1 / (rest + 1))
         depth = np.zeros(len(owner), np.int64)  # orders seen, beyond the first
         for n in range(1, order):
             here = np.flatnonzero(other[n] > 0)
@@ -113,12 +138,13 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
         ends = np.append(0, np.cumsum(counts))
         sums = np.array([float(np.sum(logs[a:b])) for a, b in zip(ends, ends[1:], strict=False)])
         back = np.diff(np.append(0, np.cumsum(lost > 0))[ends])
-        ids = pa.concat_arrays([x for x, _ in rows])
         mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
-        return pa.Table.from_arrays([ids, pa.array(counts.astype(np.int64)), pa.array(back.astype(np.int64)), pa.array(sums), mean], schema=RESULT)
+        return pa.Table.from_arrays([block.ids, pa.array(counts.astype(np.int64)), pa.array(back.astype(np.int64)), pa.array(sums), mean], schema=RESULT)
 
-    answers = B.answers(parts.groupBy("blk").applyInArrow(post, B.ASK), np.add, B.numbers)
-    return parts.groupBy("blk").cogroup(answers.unionByName(_totals(docs, blocks)).groupBy("blk")).applyInArrow(score, from_arrow_schema(RESULT))
+    told = _totals(docs, blocks)
+    for step in range(steps):
+        told = B.answers(text.cogroup(told.groupBy("blk")).applyInArrow(post(step), B.ASK), np.add, B.numbers).unionByName(told)
+    return text.cogroup(told.groupBy("blk")).applyInArrow(score, from_arrow_schema(RESULT))
 
 
 def _counted(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

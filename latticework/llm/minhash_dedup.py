@@ -136,7 +136,7 @@ def shingle_sets(docs: DataFrame, heads: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
 
     joined = docs.select("doc_id", "text").join(heads, F.col("doc_id").eqNullSafe(F.col("head"))).select("text", "cls")
-    return joined.mapInArrow(build, from_arrow_schema(schema)).dropDuplicates(["cls"])
+    return joined.mapInArrow(build, from_arrow_schema(schema))
 
 
 def _alike(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -144,16 +144,23 @@ def _alike(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return (one == two).sum(axis=1) >= MATCHES
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) with ``matches`` equal coordinates whose sets have the wanted similarity."""
-    schema = "a long, b long"
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The (a, b) whose signatures have ``matches`` equal coordinates."""
 
-    def likely(batches):
+    def alike(batches):
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(_alike(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist()))).select(["a", "b"])
 
+    for side in "ab":
+        pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("sig").alias(f"sig_{side}")), side)
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(alike, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose sets have the wanted similarity."""
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
     def sure(batches):
         for batch in batches:
             a, b = [], []
@@ -165,12 +172,9 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow)
 
-    for side in "ab":
-        pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-    pairs = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(likely, schema)
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(sure, schema)
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(sure, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,14 +248,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(least, ceil(classes.count() * COORDINATES / B.BUCKET_NAMES))
     posted = postings(classes, blocks, min(blocks, B.MAX_BUCKETS)).checkpoint()
-    active = classes.join(posted.select("cls").distinct(), "cls").checkpoint()
+    # who has a likely partner at all: by the groups' leaders, then by all that leaves open
+    apart = posted.select("cls").distinct().withColumn("comp", F.col("cls"))
+    led = likely(_leads(posted, apart, "xxhash64(cls)"), classes).checkpoint()
+    some = led.select(F.explode(F.array("a", "b")).alias("cls")).distinct().withColumn("has", F.lit(True))
+    open_ = apart.join(some, "cls", "left").select("cls", F.when(F.col("has"), F.lit(0).cast("long")).otherwise(F.col("comp")).alias("comp"))
+    more = _across(posted, open_, classes).select(F.explode(F.array("a", "b")).alias("cls"))
+    active = classes.join(some.select("cls").union(more).distinct(), "cls").checkpoint()
+    posted = posted.join(active.select("cls"), "cls", "left_semi").checkpoint()
     sets = shingle_sets(docs, active.select("head", "cls"), shingle).checkpoint()
-    comps = active.select("cls", F.col("cls").alias("comp"))
-    for salt in ("xxhash64(cls)", "xxhash64(cls, token)"):
-        links = confirmed(_leads(posted, comps, salt), active, sets, percent).checkpoint()
-        comps = _relabel(comps, links)
-    links = confirmed(_across(posted, comps, active), active, sets, percent).checkpoint()
-    comps = _relabel(comps, links)
+    comps = _relabel(active.select("cls", F.col("cls").alias("comp")), confirmed(led, sets, percent).checkpoint())
+    pairs = likely(_leads(posted, comps, "xxhash64(cls, token)"), active)
+    comps = _relabel(comps, confirmed(pairs, sets, percent).checkpoint())
+    pairs = _across(posted, comps, active)
+    comps = _relabel(comps, confirmed(pairs, sets, percent).checkpoint())
     placed = classes.select("cls", "head").join(comps, "cls", "left").select("cls", "head", F.coalesce("comp", "cls").alias("comp"))
     ids = placed.groupBy("comp").agg(F.min("head").alias("component_id"))
     found = placed.join(ids, "comp").select("cls", "component_id")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, lm_score, minhash_dedup, mixing, substring_dedup, suffix_dedup, url_filter
+from . import decontamination, lm_score, minhash_dedup, mixing, substring_dedup, suffix_dedup, topk_search, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_url_filter, op4_substring_dedup, op5_minhash_dedup, op7_mixing, op8_decontamination)}
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
-ORACLES = {"op3_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE}
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_url_filter, op4_substring_dedup, op5_minhash_dedup, op7_mixing, op8_decontamination, op9_topk_search, op10_toxicity)}
+
+ORACLES = {"op3_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE, "op9_topk_search": topk_search.ORACLE}
