@@ -7,14 +7,15 @@ that can reach ``matches`` equal coordinates share one of their
 class has needs no posting (skip), so a text without relatives posts nothing.
 The values' frequencies come from the packed exchange in ``_blocks``.
 
-Groups under one value are linked without all of their pairs: first each member
-to one leader of the group, then what is still apart to a leader of each of its
-values; every link is confirmed on the full sets. Only then are the pairs across
-different components of one group compared, by signature in tiles of bounded size,
-and those with ``matches`` equal coordinates confirmed. Pairs inside a component
-can't change the outcome. So components are those of all links between the
-candidate pairs; a pair at the threshold misses ``matches`` of its coordinates
-with a probability of some 5e-6 (64 coordinates, 36 matches, 0.8).
+Groups under one value are never turned into all of their pairs. Signatures alone
+first give families, closed under pairs with ``matches`` equal coordinates: each
+member meets one leader of its group, then tiles of bounded size compare what is
+still apart and return spanning links. Within a family, tiles do the same with
+links confirmed on the full sets; families of several tiles share some leaders, and
+what remains outside the largest component meets all other members. Pairs inside a
+component can't change the outcome, and all others are compared, so no link
+between candidates is lost; a pair at the threshold misses ``matches`` of its
+coordinates with a probability of some 5e-6 (64 coordinates, 36 matches, 0.8).
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. Defined results: with fewer
 words than a shingle the whole sequence is one; a null text, or one without words,
@@ -29,16 +30,17 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from . import _blocks as B
 from . import _text as T
 
-COORDINATES, MATCHES, TILE = 64, 36, 1024
+COORDINATES, MATCHES, TILE, LEADS = 64, 36, 1024, 8
 TOKENS = 0
 _FACTORS = np.random.default_rng(0xC0FFEE).integers(0, 1 << 64, COORDINATES, dtype=np.uint64) | T.U64(1)
-SIGNED = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("cls", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
 
 
 def shared_folder(spark: SparkSession) -> None:
@@ -65,7 +67,7 @@ def _class(distinct: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, cls, n_shingles, sig) for each row; cls null for empty sets."""
+    """(doc_id, h, cls, n_shingles, sig) for each row; h of the text, cls null for empty sets."""
 
     def sign(batches):
         for batch, data, offsets in T.chunks(batches):
@@ -81,9 +83,9 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             cls, size, sigs = [None] * batch.num_rows, [0] * batch.num_rows, [None] * batch.num_rows
             for j, i in enumerate(full.tolist()):
                 cls[i], size[i], sigs[i] = _class(sets[j]), len(sets[j]), sig[j].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(sigs, pa.binary())], schema=SIGNED)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("h"), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(sigs, pa.binary())], schema=SIGNED)
 
-    return docs.select("doc_id", "text").mapInArrow(sign, from_arrow_schema(SIGNED))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(sign, from_arrow_schema(SIGNED))
 
 
 def _tokens(sigs: list[bytes]) -> np.ndarray:
@@ -157,26 +159,6 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(alike, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose sets have the wanted similarity."""
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def sure(batches):
-        for batch in batches:
-            a, b = [], []
-            for x, y, p, q in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b")), strict=True):
-                p, q = B.risen(p), B.risen(q)
-                same = len(p) + len(q) - len(np.union1d(p, q))
-                if 100 * same >= percent * (len(p) + len(q) - same):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow)
-
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(sure, "a long, b long")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(v, comp): least vertex in reach, for the vertices of edges (a, b); labels spread and jump."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v").distinct().checkpoint()
@@ -223,48 +205,128 @@ def _across(posted: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFram
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
         left = np.asarray(table.column("left").combine_chunks())
         inner = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        kinds, of, size = np.unique(comp, return_inverse=True, return_counts=True)
-        a, b = [], []
-        for x in np.flatnonzero(of != np.argmax(size)).tolist():  # each pair across has one end outside the largest
-            mates = comp != comp[x]
-            if not inner:
-                mates &= left != left[x]
-            at = np.flatnonzero(mates)
-            at = at[(sig[at] == sig[x]).sum(axis=1) >= MATCHES]
-            a.append(np.minimum(cls[x], cls[at]))
-            b.append(np.maximum(cls[x], cls[at]))
-        if not a:
-            return arrow.empty_table()
-        return pa.Table.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=arrow)
+        return _spanning(cls, comp, sig, None if inner else left, None)
 
     return members.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _spanning(cls: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray | None, sure) -> pa.Table:
+    """Links of a tile that join components: between any rows, or across the two sides.
+
+    Every pair of different components with enough equal coordinates (and, if
+    given, ``sure``) is joined by the links returned or by others of them; there
+    are fewer links than rows.
+    """
+    label = np.unique(comp, return_inverse=True)[1]
+    sizes = np.bincount(label)
+    a, b = [], []
+    for x in np.argsort(sizes[label], kind="stable").tolist():  # rows of the largest component last: the others have met them
+        failed = np.zeros(len(cls), bool)
+        while True:
+            mates = (label != label[x]) & ~failed
+            if side is not None:
+                mates &= side != side[x]
+            at = np.flatnonzero(mates)
+            if not len(at):
+                break
+            same = (sig[at] == sig[x]).sum(axis=1)
+            order = np.argsort(-same, kind="stable")
+            at = at[order[: int((same >= MATCHES).sum())]]
+            hit = None
+            for y in at.tolist():
+                if sure is None or sure(x, y):
+                    hit = y
+                    break
+                failed[y] = True
+            if hit is None:
+                break
+            a.append(min(cls[x], cls[hit]))
+            b.append(max(cls[x], cls[hit]))
+            label[label == label[hit]] = label[x]
+        if (label == label[0]).all():
+            break
+    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Confirmed links that join components within the tiles of (cls, comp, side, sig, shingles)."""
+
+    def link(table: pa.Table) -> pa.Table:
+        cls, comp = (np.asarray(table.column(c).combine_chunks()) for c in ("cls", "comp"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        packed = table.column("shingles").to_pylist()
+        side = table.column("side").to_numpy()
+        sets: dict[int, np.ndarray] = {}
+
+        def own(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = B.risen(packed[i])
+            return sets[i]
+
+        def sure(x: int, y: int) -> bool:
+            p, q = own(x), own(y)
+            same = int(T.found(p, q).sum()) if len(p) < len(q) else int(T.found(q, p).sum())
+            return 100 * same >= percent * (len(p) + len(q) - same)
+
+        return _spanning(cls, comp, sig, None if (side == 0).all() else side, sure)
+
+    return rows.groupBy(*keys).applyInArrow(link, "a long, b long").distinct()
+
+
+def _family_links(family: DataFrame, active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cls, comp) by confirmed links within families (cls, fam), tile by tile."""
+    full = family.join(active.select("cls", "sig"), "cls").join(sets, "cls")
+    sizes = family.groupBy("fam").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
+    leads = family.join(sizes.filter("tiles > 1"), "fam").withColumn("k", F.row_number().over(W.partitionBy("fam").orderBy(F.xxhash64("cls")))).filter(F.col("k") <= LEADS)
+    dealt = family.join(sizes, "fam").select("fam", "cls", tile.alias("tile"))
+    dealt = dealt.union(leads.select("fam", "cls", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))).distinct()
+    rows = full.join(dealt, ["fam", "cls"]).select("fam", "tile", "cls", F.col("cls").alias("comp"), F.lit(0).alias("side"), "sig", "shingles")
+    alone = family.select("cls", F.col("cls").alias("comp"))
+    comps = _relabel(alone, _links(rows, ["fam", "tile"], percent).checkpoint())
+    # families of several tiles: what is outside the largest component meets all others
+    wide = family.join(sizes.filter("tiles > 1"), "fam").join(comps, "cls").checkpoint()
+    if not wide.limit(1).count():
+        return comps
+    largest = wide.groupBy("fam", "comp").count().groupBy("fam").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.sum("count").alias("n"))
+    wide = wide.join(largest, "fam")
+    chunks = wide.filter("comp <> top").groupBy("fam").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("chunks"))
+    wide = wide.join(chunks, "fam")
+    chunk = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
+    few = wide.filter("comp <> top").select("fam", "cls", "comp", F.lit(1).alias("side"), chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    many = wide.select("fam", "cls", "comp", F.lit(2).alias("side"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), tile.alias("tile"))
+    rows = few.union(many).join(full.select("cls", "sig", "shingles"), "cls")
+    return _relabel(comps, _links(rows, ["fam", "chunk", "tile"], percent).checkpoint())
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row."""
+    """(doc_id, h, n_shingles, component_id, kept) for each row; h is the text's xxhash64."""
     shared_folder(docs.sparkSession)
     signed = signatures(docs, shingle).checkpoint()
     classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("head"), F.first("sig").alias("sig")).checkpoint()
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(least, ceil(classes.count() * COORDINATES / B.BUCKET_NAMES))
     posted = postings(classes, blocks, min(blocks, B.MAX_BUCKETS)).checkpoint()
-    # who has a likely partner at all: by the groups' leaders, then by all that leaves open
-    apart = posted.select("cls").distinct().withColumn("comp", F.col("cls"))
-    led = likely(_leads(posted, apart, "xxhash64(cls)"), classes).checkpoint()
-    some = led.select(F.explode(F.array("a", "b")).alias("cls")).distinct().withColumn("has", F.lit(True))
-    open_ = apart.join(some, "cls", "left").select("cls", F.when(F.col("has"), F.lit(0).cast("long")).otherwise(F.col("comp")).alias("comp"))
-    more = _across(posted, open_, classes).select(F.explode(F.array("a", "b")).alias("cls"))
-    active = classes.join(some.select("cls").union(more).distinct(), "cls").checkpoint()
-    posted = posted.join(active.select("cls"), "cls", "left_semi").checkpoint()
+    # families: closed under likely pairs, found by signature alone
+    apart = posted.select("cls").distinct().withColumn("comp", F.col("cls")).checkpoint()
+    families = _relabel(apart, likely(_leads(posted, apart, "xxhash64(cls)"), classes).checkpoint())
+    families = _relabel(families, _across(posted, families, classes).checkpoint())
+    several = families.groupBy("comp").count().filter("count > 1").select("comp")
+    family = families.join(several, "comp").select("cls", F.col("comp").alias("fam")).checkpoint()
+    active = classes.join(family.select("cls"), "cls").checkpoint()
     sets = shingle_sets(docs, active.select("head", "cls"), shingle).checkpoint()
-    comps = _relabel(active.select("cls", F.col("cls").alias("comp")), confirmed(led, sets, percent).checkpoint())
-    pairs = likely(_leads(posted, comps, "xxhash64(cls, token)"), active)
-    comps = _relabel(comps, confirmed(pairs, sets, percent).checkpoint())
-    pairs = _across(posted, comps, active)
-    comps = _relabel(comps, confirmed(pairs, sets, percent).checkpoint())
+    comps = _family_links(family, active, sets, percent)
     placed = classes.select("cls", "head").join(comps, "cls", "left").select("cls", "head", F.coalesce("comp", "cls").alias("comp"))
     ids = placed.groupBy("comp").agg(F.min("head").alias("component_id"))
     found = placed.join(ids, "comp").select("cls", "component_id")
-    out = signed.select("doc_id", "cls", "n_shingles").join(found, "cls", "left")
+    out = signed.select("doc_id", "h", "cls", "n_shingles").join(found, "cls", "left")
     out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "h", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; repeated rows go too."""
+    keep = near_duplicates(docs, shingle, percent).filter("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_k")).distinct()
+    marked = docs.withColumn("_h", F.xxhash64("text"))
+    found = marked.join(keep, marked["doc_id"].eqNullSafe(keep["_id"]) & (marked["_h"] == keep["_k"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lm_score, minhash_dedup, mixing, substring_dedup, suffix_dedup, topk_search, toxicity, url_filter
+from . import decontamination, lm_score, minhash_dedup, mixing, pii, substring_dedup, suffix_dedup, topk_search, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2).drop("h")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "changed")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +52,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_url_filter, op4_substring_dedup, op5_minhash_dedup, op7_mixing, op8_decontamination, op9_topk_search, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_url_filter, op4_substring_dedup, op5_minhash_dedup, op6_pii, op7_mixing, op8_decontamination, op9_topk_search, op10_toxicity)}
 
 ORACLES = {"op3_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE, "op9_topk_search": topk_search.ORACLE}
