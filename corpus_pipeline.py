@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import decontamination, minhash_dedup, mixing, pii, toxicity
+from latticework.llm import _shared, decontamination, minhash_dedup, mixing, pii, toxicity
 
 
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +46,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the whole documents table, each result a Parquet table in the shared folder."""
-    minhash_dedup.shared_folder(spark)
-    context = spark.sparkContext
-    folder = f"{context.getCheckpointDir()}/pipeline-{context._jvm.java.util.UUID.randomUUID()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+    for _, stage in STAGES[:-1]:
+        docs = _shared.kept(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

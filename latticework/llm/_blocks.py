@@ -117,7 +117,7 @@ def answers(asked: DataFrame, op: np.ufunc, finish: Callable[[np.ndarray, np.nda
         told = [finish(n, x) for n, x in zip(own, np.split(vals, sizes), strict=True)]
         return pa.Table.from_arrays([table.column("blk"), table.column("bucket"), table.column("kind"), *(pa.array([x[k] for x in told], pa.binary()) for k in (0, 1))], schema=ANSWER)
 
-    return asked.groupBy("bucket").applyInArrow(bucket, ASK)
+    return asked.groupBy("bucket", "kind").applyInArrow(bucket, ASK)
 
 
 def repeated_names(names: np.ndarray, total: np.ndarray) -> tuple[bytes, None]:

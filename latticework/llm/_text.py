@@ -9,6 +9,7 @@ symbol values; every array is bounded by ``CHUNK`` bytes of text or one document
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 #: Word characters of the two word definitions in use.
 SPACE_SPLIT = np.ones(256, bool)
@@ -35,13 +35,14 @@ ALNUM[:0x30] = ALNUM[0x3A:0x61] = ALNUM[0x7B:0x80] = False
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, U64)
+    cache = vars(sys.modules["numpy"]).setdefault("_rolling_powers", [])  # of the process, not of a task; never pickled
+    if not cache or len(cache[0]) < n:
+        size = max(n, 1 << 16, 2 * len(cache[0]) if cache else 0)
+        tables = [np.full(size, base, U64) for base in (_BASE, _INVERSE)]
+        for p in tables:
             p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+        cache[:] = [np.multiply.accumulate(p) for p in tables]
+    return cache[0][:n], cache[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

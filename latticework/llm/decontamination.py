@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from . import _text as T
+from ._shared import kept
 
 PART_BYTES = 32 << 20
 #: Bits of a hash that a first look-up uses; the table takes 4 MB.
@@ -82,7 +83,7 @@ def _parts(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], bool]]
         yield [(r.item_id, r.text) for r in items.collect()], True
         return
     part = F.floor(F.sum(F.octet_length("text")).over(W.orderBy("item_id").rowsBetween(W.unboundedPreceding, 0)) / PART_BYTES)
-    items = items.withColumn("part", part).checkpoint()
+    items = kept(items.withColumn("part", part))
     numbers = sorted(r.part for r in items.select("part").distinct().collect())  # one for PART_BYTES of text
     for k in numbers:
         yield [(r.item_id, r.text) for r in items.filter(F.col("part") == k).select("item_id", "text").collect()], k == numbers[-1]
@@ -116,7 +117,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int, schema: pa.Schema, emit:
         if last:
             return docs.mapInArrow(step, from_arrow_schema(schema))
         kept = [f for f in docs.schema.fields if f.name not in (found_at, found_items)]
-        docs = docs.mapInArrow(step, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept)}, {found_at} binary, {found_items} array<bigint>").checkpoint()
+        docs = kept(docs.mapInArrow(step, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept)}, {found_at} binary, {found_items} array<bigint>"))
     raise AssertionError("a benchmark has one part at least")
 
 

@@ -26,106 +26,126 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from . import _blocks as B
 from . import _text as T
 
-TOTAL = 0
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_backoff", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
 
 
-def _grams(words: T.Words, order: int) -> list[np.ndarray]:
+def _shift(total_bytes: int) -> int:
+    """Low bits of fingerprints to drop; what stays keeps all n-grams apart but for one chance in a few."""
+    return max(0, 64 - 2 * max(16, (total_bytes // 4).bit_length()))
+
+
+def _total(shift: int) -> np.uint64:
+    """The name under which blocks post how many tokens they have."""
+    return T.U64(((1 << 64) - 1) >> shift << shift)
+
+
+def _grams(words: T.Words, order: int, shift: int) -> list[np.ndarray]:
     """For each order n, the fingerprint of the n words up to each position; 0 across a document's start."""
     place = np.arange(len(words.hash)) - words.first[:-1][T.lengths_to_owner(words.counts)]
+    low, high = T.U64(1 << shift), _total(shift) - T.U64(1 << shift)
     out, so_far = [], words.hash
     for n in range(1, order + 1):
         if n > 1:
             so_far = np.concatenate([np.zeros(1, T.U64), so_far[:-1]])[: len(words.hash)]
             so_far = T.mix(so_far * T.U64(0x9E3779B97F4A7C15) + words.hash + T.U64(n))
-        out.append(np.where(place >= n - 1, np.maximum(so_far, T.U64(1)), T.U64(0)))
+        name = so_far >> T.U64(shift) << T.U64(shift)
+        out.append(np.where(place >= n - 1, np.clip(name, low, high), T.U64(0)))
     return out
 
 
 class _Block:
     """The n-grams of a block's documents, and what the corpus has of them."""
 
-    def __init__(self, table: pa.Table, order: int):
+    def __init__(self, table: pa.Table, order: int, shift: int):
         grams, ids, counts = [], [], []
         for batch, data, offsets in T.chunks(table.combine_chunks().to_batches()):
             words = T.Words(data, offsets, T.SPACE_SPLIT, lower=True)
-            grams.append(_grams(words, order))
+            grams.append(_grams(words, order, shift))
             ids.append(batch.column("doc_id").cast(pa.int64()))
             counts.append(words.counts)
+        self.shift = shift
         self.names = [np.concatenate([x[n] for x in grams]) for n in range(order)]
         self.ids, self.counts = pa.concat_arrays(ids), np.concatenate(counts)
-        self.corpus: list[np.ndarray] = []  # counts by position, as far as they are told
-        self.place: list[np.ndarray] = []  # for own counts: a number for each n-gram, and where it applies
-        self.where: list[np.ndarray] = []
-
-    def asked(self, step: int) -> np.ndarray:
-        """The n-grams of a step: words and pairs, then one order each."""
-        if step == 0:
-            every = np.concatenate(self.names[:2])
-            return every[every > 0]
-        return self.names[step + 1][self._possible(step + 1)]
-
-    def _possible(self, n: int) -> np.ndarray:
-        often = self.corpus[n - 1] >= 2
+        self.twice: list[np.ndarray] = []  # by order and position: in the corpus twice at least
+
+    def possible(self, n: int) -> np.ndarray:
+        """Positions of the n-grams that are asked about."""
+        if n < 2:
+            return np.flatnonzero(self.names[n])
+        often = self.twice[n - 1]
         return np.flatnonzero((self.names[n] > 0) & often & np.append(False, often[:-1])[: len(often)])
 
-    def hear(self, told: pa.Table, step: int) -> None:
-        known = np.unique(self.asked(step))
-        answer = B.answered(told, step + 1)
-        for n in (0, 1) if step == 0 else (step + 1,):
-            if n < len(self.names):
-                at = np.flatnonzero(self.names[n]) if step == 0 else self._possible(n)
-                self.where.append(at)
-                self.place.append(np.searchsorted(known, self.names[n][at]))
-                self.corpus.append(np.zeros(len(self.names[n]), np.int64))
-                self.corpus[-1][at] = answer[self.place[-1]]
+    def ranked(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions sorted by n-gram, then position; and where each n-gram begins among them."""
+        at = self.possible(n)
+        name = self.names[n][at]
+        order = np.argsort(name, kind="stable")
+        name = name[order]
+        return at[order], np.flatnonzero(np.append(len(name) > 0, name[1:] != name[:-1])) if len(name) else np.empty(0, np.int64)
+
+    def spread(self, n: int, values: np.ndarray) -> np.ndarray:
+        """Values of the distinct n-grams, by position; 0 elsewhere."""
+        at, first = self.ranked(n)
+        out = np.zeros(len(self.names[n]), values.dtype)
+        out[at] = np.repeat(values, np.diff(np.append(first, len(at))))
+        return out
+
+    def ask(self, blk: int, n: int, buckets: int) -> pa.Table:
+        names, counts = _counted(self.names[n][self.possible(n)])
+        if n == 0:
+            names, counts = np.append(names, _total(self.shift)), np.append(counts, self.counts.sum())
+        return B.ask(blk, n, names, counts, buckets, self.shift)
 
 
 def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
     """(doc_id, n_tokens, n_backoff, log_score, mean_log_score) for each row."""
-    blocks, buckets, _ = B.layout(docs, 0.1 * order)
-    parts = B.in_blocks(docs, blocks)
-    text = parts.groupBy("blk")
-    steps = max(1, order - 1)
+    blocks, buckets, total = B.layout(docs, 0.1 * order)
+    shift = _shift(total)
+    text = B.in_blocks(docs, blocks).groupBy("blk")
+
+    def first(table: pa.Table) -> pa.Table:
+        block, blk = _Block(table, min(order, 2), shift), table.column("blk")[0].as_py()
+        return pa.concat_tables([block.ask(blk, n, buckets) for n in range(min(order, 2))])
 
-    def post(step: int):
+    def further(n: int):
         def ask(table: pa.Table, told: pa.Table) -> pa.Table:
             if not table.num_rows:
                 return B.ANSWER.empty_table()
-            block = _Block(table, order)
-            for k in range(step):
-                block.hear(told, k)
-            return B.ask(table.column("blk")[0].as_py(), step + 1, *_counted(block.asked(step)), buckets)
+            block = _Block(table, n + 1, shift)
+            block.twice.append(np.empty(0, bool))
+            for k in range(1, n):
+                block.twice.append(block.spread(k, B.answered(told, k, bits=True)))
+            return block.ask(table.column("blk")[0].as_py(), n, buckets)
 
         return ask
 
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return RESULT.empty_table()
-        block = _Block(table, order)
-        for k in range(steps):
-            block.hear(told, k)
+        block = _Block(table, order, shift)
         counts, owner = block.counts, T.lengths_to_owner(block.counts)
-        other = []  # counts in all other documents, of the n-gram that ends at each position
-        for corpus, at, place in zip(block.corpus, block.where, block.place, strict=True):
-            own = (place.astype(T.U64) << T.U64(32)) | owner[at].astype(T.U64)
-            rank = np.argsort(own)
-            own = own[rank]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
-            size = np.diff(np.append(first, len(own)))
-            mine = np.empty(len(own), np.int64)
-            mine[rank] = np.repeat(size, size)
-            left = corpus.astype(float)
-            left[at] -= mine
+        other, tokens = [], 0  # counts in all other documents, of the n-gram that ends at each position
+        for n in range(order):
+            corpus = B.answered(told, n)
+            if n == 0:
+                corpus, tokens = corpus[:-1], int(corpus[-1])
+            at, begin = block.ranked(n)
+            every = np.repeat(corpus, np.diff(np.append(begin, len(at))))
+            # the positions of an n-gram are in order, so those in one document are neighbours
+            new = np.append(len(at) > 0, owner[at[1:]] != owner[at[:-1]]) if len(at) else np.empty(0, bool)
+            new[begin] = True
+            size = np.diff(np.append(np.flatnonzero(new), len(at)))
+            left, often = np.zeros(len(owner)), np.zeros(len(owner), bool)
+            left[at] = every - np.repeat(size, size)
+            often[at] = every >= 2
             other.append(left)
-        total = [int(v) for v, k in zip(told.column("vals").to_pylist(), told.column("kind").to_pylist(), strict=True) if k == TOTAL]
-        rest = sum(total) - counts[owner].astype(float)
+            block.twice.append(often)
+        rest = tokens - counts[owner].astype(float)
         value = np.where(other[0] > 0, other[0] / np.maximum(rest, 1), 1 / (rest + 1))
         depth = np.zeros(len(owner), np.int64)  # orders seen, beyond the first
         for n in range(1, order):
@@ -141,9 +161,12 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
         mean = pa.array(sums / np.maximum(counts, 1), mask=counts == 0)
         return pa.Table.from_arrays([block.ids, pa.array(counts.astype(np.int64)), pa.array(back.astype(np.int64)), pa.array(sums), mean], schema=RESULT)
 
-    told = _totals(docs, blocks)
-    for step in range(steps):
-        told = B.answers(text.cogroup(told.groupBy("blk")).applyInArrow(post(step), B.ASK), np.add, B.numbers).unionByName(told)
+    asked = [text.applyInArrow(first, B.ASK)]
+    told, bits = B.answers(asked[0], np.add, B.numbers), B.answers(asked[0], np.add, B.repeated_bits)
+    for n in range(2, order):
+        asked.append(text.cogroup(bits.groupBy("blk")).applyInArrow(further(n), B.ASK))
+        told = told.unionByName(B.answers(asked[-1], np.add, B.numbers))
+        bits = bits.unionByName(B.answers(asked[-1], np.add, B.repeated_bits))
     return text.cogroup(told.groupBy("blk")).applyInArrow(score, from_arrow_schema(RESULT))
 
 
@@ -153,10 +176,3 @@ def _counted(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return names, np.empty(0, np.int64)
     at = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
     return names[at], np.diff(np.append(at, len(names)))
-
-
-def _totals(docs: DataFrame, blocks: int) -> DataFrame:
-    """The corpus' token count, as an answer to every block."""
-    words = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))
-    total = docs.agg(F.coalesce(F.sum(words), F.lit(0)).alias("n"))
-    return total.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), F.lit(0).alias("bucket"), F.lit(TOTAL).alias("kind"), F.lit(None).cast("binary").alias("names"), F.col("n").cast("string").cast("binary").alias("vals"))

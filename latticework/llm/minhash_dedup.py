@@ -29,13 +29,14 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from . import _blocks as B
 from . import _text as T
+from ._shared import kept
 
 COORDINATES, MATCHES, TILE, LEADS = 64, 36, 1024, 8
 TOKENS = 0
@@ -43,13 +44,6 @@ _FACTORS = np.random.default_rng(0xC0FFEE).integers(0, 1 << 64, COORDINATES, dty
 SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("cls", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """The cluster's checkpoint folder; a local one only where none is set, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
-
-
 def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all documents in turn, and where each document's begin and end."""
     words = T.Words(data, offsets, T.SPACE_SPLIT, lower=True)
@@ -161,24 +155,20 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, comp): least vertex in reach, for the vertices of edges (a, b); labels spread and jump."""
-    both = edges.union(edges.select("b", "a")).toDF("u", "v").distinct().checkpoint()
-    label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")).checkpoint()
+    both = kept(edges.union(edges.select("b", "a")).toDF("u", "v").distinct())
+    label = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
     while True:
         near = both.join(label.withColumnsRenamed({"u": "v"}), "v").groupBy("u").agg(F.min("l").alias("m"))
         step = near.join(label, "u").select("u", F.least("l", "m").alias("m"), "l")
-        jump = step.join(label.toDF("m", "far"), "m").select("u", F.least("m", "far").alias("n"), "l").checkpoint()
-        changed = jump.filter("n < l").limit(1).count()
+        jump = kept(step.join(label.toDF("m", "far"), "m").select("u", F.least("m", "far").alias("n"), "l"))
         label = jump.select("u", F.col("n").alias("l"))
-        if not changed:
+        if jump.filter("n < l").isEmpty():
             return label.toDF("v", "comp")
 
 
-def _relabel(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """Component of each class, after further links."""
-    sides = [comps.toDF(s, f"comp_{s}") for s in "ab"]
-    edges = links.join(sides[0], "a").join(sides[1], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).filter("a <> b").distinct()
-    merged = components(edges).toDF("comp", "to")
-    return comps.join(merged, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")).checkpoint()
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(cls, comp) of the classes by their links (a, b)."""
+    return kept(classes.select("cls").join(components(links).toDF("cls", "to"), "cls", "left").select("cls", F.coalesce("to", "cls").alias("comp")))
 
 
 def _leads(posted: DataFrame, comps: DataFrame, salt: str) -> DataFrame:
@@ -282,11 +272,12 @@ def _family_links(family: DataFrame, active: DataFrame, sets: DataFrame, percent
     dealt = family.join(sizes, "fam").select("fam", "cls", tile.alias("tile"))
     dealt = dealt.union(leads.select("fam", "cls", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))).distinct()
     rows = full.join(dealt, ["fam", "cls"]).select("fam", "tile", "cls", F.col("cls").alias("comp"), F.lit(0).alias("side"), "sig", "shingles")
-    alone = family.select("cls", F.col("cls").alias("comp"))
-    comps = _relabel(alone, _links(rows, ["fam", "tile"], percent).checkpoint())
+    alone = family.select("cls")
+    links = kept(_links(rows, ["fam", "tile"], percent))
+    comps = _joined(alone, links)
     # families of several tiles: what is outside the largest component meets all others
-    wide = family.join(sizes.filter("tiles > 1"), "fam").join(comps, "cls").checkpoint()
-    if not wide.limit(1).count():
+    wide = family.join(sizes.filter("tiles > 1"), "fam").join(comps, "cls")
+    if wide.isEmpty():
         return comps
     largest = wide.groupBy("fam", "comp").count().groupBy("fam").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.sum("count").alias("n"))
     wide = wide.join(largest, "fam")
@@ -296,25 +287,32 @@ def _family_links(family: DataFrame, active: DataFrame, sets: DataFrame, percent
     few = wide.filter("comp <> top").select("fam", "cls", "comp", F.lit(1).alias("side"), chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     many = wide.select("fam", "cls", "comp", F.lit(2).alias("side"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), tile.alias("tile"))
     rows = few.union(many).join(full.select("cls", "sig", "shingles"), "cls")
-    return _relabel(comps, _links(rows, ["fam", "chunk", "tile"], percent).checkpoint())
+    return _joined(alone, links.union(_links(rows, ["fam", "chunk", "tile"], percent)))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, h, n_shingles, component_id, kept) for each row; h is the text's xxhash64."""
-    shared_folder(docs.sparkSession)
-    signed = signatures(docs, shingle).checkpoint()
-    classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("head"), F.first("sig").alias("sig")).checkpoint()
+    signed = kept(signatures(docs, shingle))
+    classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("head"), F.first("sig").alias("sig"))
+    classes = kept(classes)
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(least, ceil(classes.count() * COORDINATES / B.BUCKET_NAMES))
-    posted = postings(classes, blocks, min(blocks, B.MAX_BUCKETS)).checkpoint()
+    posted = postings(classes, blocks, min(blocks, B.MAX_BUCKETS))
+    posted = kept(posted)
     # families: closed under likely pairs, found by signature alone
-    apart = posted.select("cls").distinct().withColumn("comp", F.col("cls")).checkpoint()
-    families = _relabel(apart, likely(_leads(posted, apart, "xxhash64(cls)"), classes).checkpoint())
-    families = _relabel(families, _across(posted, families, classes).checkpoint())
+    apart = kept(posted.select("cls").distinct().withColumn("comp", F.col("cls")))
+    led = kept(likely(_leads(posted, apart, "xxhash64(cls)"), classes))
+    hubs = led.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+    # members with an equal label are linked by it: each takes its least likely partner that has no smaller one itself
+    nearest = hubs.groupBy(F.col("e.a").alias("cls")).agg(F.min("e.b").alias("low")).select("cls", F.least("cls", "low").alias("low"))
+    roots = nearest.filter("cls = low").select(F.col("cls").alias("low"))
+    labels = nearest.join(roots, "low").select("cls", "low")
+    known = apart.join(labels, "cls", "left").select("cls", F.coalesce("low", "cls").alias("comp"))
+    families = _joined(apart, led.union(_across(posted, known, classes)))
     several = families.groupBy("comp").count().filter("count > 1").select("comp")
-    family = families.join(several, "comp").select("cls", F.col("comp").alias("fam")).checkpoint()
-    active = classes.join(family.select("cls"), "cls").checkpoint()
-    sets = shingle_sets(docs, active.select("head", "cls"), shingle).checkpoint()
+    family = kept(families.join(several, "comp").select("cls", F.col("comp").alias("fam")))
+    active = kept(classes.join(family.select("cls"), "cls"))
+    sets = kept(shingle_sets(docs, active.select("head", "cls"), shingle))
     comps = _family_links(family, active, sets, percent)
     placed = classes.select("cls", "head").join(comps, "cls", "left").select("cls", "head", F.coalesce("comp", "cls").alias("comp"))
     ids = placed.groupBy("comp").agg(F.min("head").alias("component_id"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .minhash_dedup import shared_folder
+from ._shared import kept
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TITLES = {"m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"]}
@@ -162,20 +162,19 @@ def _mentions(text: Column) -> Column:
 
 def later_attempts(docs: DataFrame, key: str) -> DataFrame | None:
     """(type, canon, attempt) of the entities whose first surrogates collide; None if none does."""
-    shared_folder(docs.sparkSession)
     found = docs.select(F.explode(_mentions(F.col("text"))).alias("mention")).distinct().withColumn("kind", _type(F.col("mention")))
     entity = found.select(F.explode(_entities(F.col("mention"), F.col("kind"))).alias("e")).select("e.type", "e.canon").distinct()
-    state = entity.withColumn("attempt", F.lit(0)).checkpoint()
+    state = kept(entity.withColumn("attempt", F.lit(0)))
     real = state.select("type", F.col("canon").alias("drawn"), F.lit(True).alias("real"))
     for _ in range(MOST_ROUNDS):
         each = state.withColumn("e", _seeded(key, F.col("type"), F.col("canon"), F.col("attempt"))).withColumn("drawn", _drawn(F.col("e"))).drop("e")
         turn = F.row_number().over(W.partitionBy("type", "drawn").orderBy("attempt", "canon"))
         each = each.withColumn("turn", turn).join(real, ["type", "drawn"], "left")
         again = F.coalesce(F.col("real"), F.lit(False)) | (F.col("turn") > 1)
-        state = each.select("type", "canon", (F.col("attempt") + again.cast("int")).alias("attempt"), again.alias("again")).checkpoint()
-        if not state.filter("again").limit(1).count():
+        state = kept(each.select("type", "canon", (F.col("attempt") + again.cast("int")).alias("attempt"), again.alias("again")))
+        if state.filter("again").isEmpty():
             late = state.filter("attempt > 0").select("type", "canon", "attempt")
-            return late if late.limit(1).count() else None
+            return None if late.isEmpty() else late
         state = state.drop("again")
     raise ValueError("a type has too few surrogates for its entities")
 
@@ -188,7 +187,7 @@ def replace(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     if late is not None:
         texts = docs.filter(F.col("text").rlike(HINT)).select(F.xxhash64("text").alias("_h"), F.explode(_mentions(F.col("text"))).alias("m")).distinct()
         texts = texts.withColumn("kind", _type(F.col("m"))).select("_h", F.explode(_entities(F.col("m"), F.col("kind"))).alias("e")).select("_h", "e.type", "e.canon").distinct()
-        own = texts.join(late, ["type", "canon"]).groupBy("_h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "type", "canon"), "attempt"))).alias("_late")).checkpoint()
+        own = kept(texts.join(late, ["type", "canon"]).groupBy("_h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "type", "canon"), "attempt"))).alias("_late")))
         if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
             own = F.broadcast(own)
         named = named.withColumn("_h", F.xxhash64("text")).join(own, "_h", "left").drop("_h")

@@ -43,61 +43,75 @@ def _ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Distinct n-grams of each document, as buckets and the documents they are of."""
     plain = np.insert(T._LOWER[data], offsets, 32)
     inside = T.ALNUM[plain]
-    plain = np.where(inside, plain, np.uint8(32))
-    gaps = np.append(0, np.cumsum(~inside))
-    sums = T.byte_sums(plain)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) + 1)
-    buckets, owners = [], []
+    plain[~inside] = 32
+    gaps = np.zeros(len(plain) + 1, np.int32)
+    np.cumsum(~inside, dtype=np.int32, out=gaps[1:])
+    sums, inverse = T.byte_sums(plain), T.powers(len(plain))[1]
+    bounds = offsets + np.arange(len(offsets))
+    last, buckets, owners = np.empty(1 << BITS, np.int32), [], []
     for size in SIZES:
-        at = np.arange(max(0, len(plain) - size + 1))
-        at = at[gaps[at + size - 1] == gaps[at + 1]]
-        buckets.append((T.spans(sums, at, at + size) >> T.U64(64 - BITS)).astype(np.int64))
-        owners.append(owner[at])
-    keys = np.unique((np.concatenate(owners) << BITS) | np.concatenate(buckets))
-    return keys & ((1 << BITS) - 1), keys >> BITS
-
-
-def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list[tuple[int, str]]:
-    """(label, text) of the rows to learn from, in a fixed order; bounded by per_class and MOST_BYTES."""
+        n = max(0, len(plain) - size + 1)
+        at = np.flatnonzero(gaps[size - 1 : size - 1 + n] == gaps[1 : 1 + n])
+        names = (((sums[size:] - sums[:n]) * inverse[:n])[at] >> T.U64(64 - BITS)).astype(np.int32)
+        place, ends = np.arange(len(names), dtype=np.int32), np.searchsorted(at, bounds).tolist()
+        fresh = np.empty(len(names), bool)
+        for lo, hi in zip(ends, ends[1:], strict=False):  # the last of equal n-grams stays
+            own = names[lo:hi]
+            last[own] = place[lo:hi]
+            fresh[lo:hi] = last[own] == place[lo:hi]
+        fresh[ends[-1] :] = False
+        keep = np.flatnonzero(fresh)
+        buckets.append(names[keep])
+        owners.append(np.searchsorted(ends, keep, "right") - 1)
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
+def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """(order, doc_id, toxic, text) of the rows to learn from, bounded by per_class and MOST_BYTES."""
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     short = docs.select("doc_id", F.octet_length("text").alias("bytes")).filter(F.col("bytes") <= MOST_BYTES).select("doc_id").distinct()
-    usable = usable.join(short, "doc_id").select("doc_id", "toxic", F.xxhash64("doc_id").alias("order"))
-    picked = [r for c, n in ((0, 2 * per_class), (1, per_class)) for r in usable.filter(F.col("toxic") == c).orderBy("order", "doc_id").limit(n).collect()]
-    if not picked:
-        return []
-    of = {r.doc_id: r for r in picked}
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in of], "doc_id long")
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(wanted), "doc_id").collect()
-    first = {}
-    for r in sorted(rows, key=lambda r: (of[r.doc_id].order, r.doc_id, r.text)):
-        first.setdefault(r.doc_id, r)
-    return [(int(of[i].toxic), r.text) for i, r in first.items()]
-
-
-def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its distinct buckets and their shares."""
-    out = []
-    for text in texts:
-        data, offsets = T.text_buffer(pa.array([text], pa.large_string()))
-        buckets, _ = _ngrams(data, offsets)
-        out.append((buckets, np.full(len(buckets), SCALE / (PRIOR + len(buckets)), np.float32)))
-    return out
+    usable = usable.join(short, "doc_id").select("doc_id", F.col("toxic").cast("long").alias("toxic"), F.xxhash64("doc_id").alias("order"))
+    picked = [tuple(r) for c, n in ((0, 2 * per_class), (1, per_class)) for r in usable.filter(F.col("toxic") == c).orderBy("order", "doc_id").limit(n).collect()]
+    wanted = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic long, order long")
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(wanted), "doc_id")
+    return rows.groupBy("order", "doc_id", "toxic").agg(F.min("text").alias("text"))
+
 
+def model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
+    """The model, fitted by one task on the bounded sample."""
+    schema = pa.schema([("weights", pa.binary()), ("bias", pa.float64())])
 
-def fit(sample: list[tuple[int, str]]) -> tuple[np.ndarray, float]:
+    def task(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("order", "ascending"), ("doc_id", "ascending")])
+        weights, bias = fit(np.asarray(rows.column("toxic").combine_chunks()), rows.column("text").to_pylist())
+        return pa.Table.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], schema=schema)
+
+    found = _sample(docs, labels, per_class).groupBy().applyInArrow(task, from_arrow_schema(schema)).collect()
+    if not found:
+        return np.zeros(1 << BITS, np.float32), 0.0
+    return np.frombuffer(found[0].weights, np.float32), found[0].bias
+
+
+def fit(y: np.ndarray, texts: list[str]) -> tuple[np.ndarray, float]:
     """Weight of each bucket and intercept, for the log odds of class 1."""
-    y = np.array([c for c, _ in sample], np.int64)
     if len(set(y.tolist())) < 2:
         ones = int(y.sum())
         return np.zeros(1 << BITS, np.float32), float(np.log((ones + 1) / (len(y) - ones + 1)))
-    bags = _bags([t for _, t in sample])
+    bags = []
+    for text in texts:
+        data, offsets = T.text_buffer(pa.array([text], pa.large_string()))
+        bags.append(_ngrams(data, offsets)[0])
+    shares = np.array([SCALE / (PRIOR + len(b)) for b in bags], np.float32)
     random = np.random.default_rng(7)
-    often = np.bincount(np.concatenate([b for b, _ in bags]), minlength=1 << BITS) >= LEAST_TEXTS
+    often = np.zeros(1 << BITS, np.int32)
+    for b in bags:
+        np.add.at(often, b, 1)
+    often = often >= LEAST_TEXTS
     used = np.flatnonzero(often)  # what is too rare to generalise keeps weight 0
     number = np.cumsum(often, dtype=np.int32) - 1
-    starts = np.append(0, np.cumsum([often[b].sum() for b, _ in bags]))
-    place = np.concatenate([number[b[often[b]]] for b, _ in bags])
-    shares = np.concatenate([s[often[b]] for b, s in bags])
+    bags = [number[b[often[b]]] for b in bags]
+    starts = np.append(0, np.cumsum([len(b) for b in bags]))
+    place = np.concatenate(bags)
     del bags
     embedding = (random.standard_normal((len(used), WIDTH)) * 0.01).astype(np.float32)
     softmax = (random.standard_normal((WIDTH, 2)) * 0.3).astype(np.float32)
@@ -111,7 +125,7 @@ def fit(sample: list[tuple[int, str]]) -> tuple[np.ndarray, float]:
             size = starts[rows + 1] - starts[rows]
             first = np.append(0, np.cumsum(size))
             at = np.arange(first[-1]) + np.repeat(starts[rows] - first[:-1], size)
-            ids, share = place[at], shares[at]
+            ids, share = place[at], np.repeat(shares[rows], size)
             full = np.flatnonzero(size)
             mean = np.zeros((len(rows), WIDTH), np.float32)
             if len(full):
@@ -135,9 +149,9 @@ def fit(sample: list[tuple[int, str]]) -> tuple[np.ndarray, float]:
     return weights, float(bias[1] - bias[0])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], schema: pa.Schema, emit) -> DataFrame:
+def score(docs: DataFrame, fitted: tuple[np.ndarray, float], schema: pa.Schema, emit) -> DataFrame:
     """Applies ``emit`` to rows and the scores of their texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def step(batches):
         weights, bias = shared.value
@@ -152,16 +166,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], schema: pa.Schema, e
 
 def scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row."""
-    model = fit(_sample(docs, labels, per_class))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def emit(batch, odds):
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(odds), pa.array((odds >= 0.5).astype(np.int32))], schema=schema)
 
-    return score(docs.select("doc_id", "text", held_out().alias("held_out")), model, schema, emit)
+    return score(docs.select("doc_id", "text", held_out().alias("held_out")), model(docs, labels, per_class), schema, emit)
 
 
 def clean(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """``docs`` without the rows predicted toxic."""
     schema = to_arrow_schema(docs.schema)
-    return score(docs, fit(_sample(docs, labels, per_class)), schema, lambda batch, odds: batch.filter(pa.array(odds < 0.5)).cast(schema))
+    return score(docs, model(docs, labels, per_class), schema, lambda batch, odds: batch.filter(pa.array(odds < 0.5)).cast(schema))
