@@ -154,16 +154,29 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, comp): least vertex in reach, for the vertices of edges (a, b); labels spread and jump."""
-    both = kept(edges.union(edges.select("b", "a")).toDF("u", "v").distinct())
-    label = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
-    while True:
-        near = both.join(label.withColumnsRenamed({"u": "v"}), "v").groupBy("u").agg(F.min("l").alias("m"))
-        step = near.join(label, "u").select("u", F.least("l", "m").alias("m"), "l")
-        jump = kept(step.join(label.toDF("m", "far"), "m").select("u", F.least("m", "far").alias("n"), "l"))
-        label = jump.select("u", F.col("n").alias("l"))
-        if jump.filter("n < l").isEmpty():
-            return label.toDF("v", "comp")
+    """(v, comp): least vertex in reach, for all vertices of edges (a, b) but the least ones.
+
+    Large and small stars in turn: larger neighbours move to the least neighbour of
+    their vertex, then smaller ones do. Edges never grow in number, and at the end
+    each component is a star around its least vertex.
+    """
+    lower = kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    calm, large = 0, False
+    while calm < 2:
+        large = not large
+        low = lower.groupBy("b").agg(F.min("a").alias("m"))
+        if large:
+            step = lower.join(low.withColumnRenamed("b", "a"), "a", "left")
+            moved, new = F.col("m").isNotNull(), F.struct(F.coalesce("m", "a").alias("a"), "b")
+        else:
+            step = lower.join(low, "b")
+            moved = F.col("a") != F.col("m")
+            new = F.struct(F.col("m").alias("a"), F.when(moved, F.col("a")).otherwise(F.col("b")).alias("b"))
+        step = step.select(new.alias("e"), moved.alias("moved")).groupBy("e.a", "e.b").agg(F.max("moved").alias("moved"))
+        step = kept(step)
+        calm = calm + 1 if step.filter("moved").isEmpty() else 0
+        lower = step.select("a", "b")
+    return lower.select(F.col("b").alias("v"), F.col("a").alias("comp"))
 
 
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -176,7 +189,14 @@ def _leads(posted: DataFrame, comps: DataFrame, salt: str) -> DataFrame:
     members = posted.join(comps, "cls")
     leader = F.min(F.struct(F.expr(salt).alias("order"), F.col("cls").alias("leader"), F.col("comp").alias("at"))).alias("lead")
     groups = members.groupBy("token").agg(leader, F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", "lead.leader", "lead.at")
-    return members.join(groups, "token").filter("comp <> at").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
+    return members.join(groups, "token").filter("comp <> at").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()
+
+
+def _starred(led: DataFrame) -> DataFrame:
+    """Links (a, b) that join what the pairs (member, leader) do: a member to its least leader, and that one to the others."""
+    own = led.groupBy("member").agg(F.array_sort(F.collect_set("leader")).alias("l"))  # a member has a prefix of leaders at most
+    links = F.transform("l", lambda x, i: F.struct(F.when(i == 0, F.col("member")).otherwise(F.col("l")[0]).alias("a"), x.alias("b")))
+    return own.select(F.explode(links).alias("e")).select("e.a", "e.b").distinct()
 
 
 def _across(posted: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
@@ -287,7 +307,11 @@ def _family_links(family: DataFrame, active: DataFrame, sets: DataFrame, percent
     few = wide.filter("comp <> top").select("fam", "cls", "comp", F.lit(1).alias("side"), chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     many = wide.select("fam", "cls", "comp", F.lit(2).alias("side"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), tile.alias("tile"))
     rows = few.union(many).join(full.select("cls", "sig", "shingles"), "cls")
-    return _joined(alone, links.union(_links(rows, ["fam", "chunk", "tile"], percent)))
+    more = _links(rows, ["fam", "chunk", "tile"], percent)
+    for side in "ab":  # between components, not their members: few are left
+        more = more.join(comps.toDF(side, f"{side}_comp"), side)
+    further = components(more.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))).toDF("comp", "to")
+    return kept(comps.join(further, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -308,7 +332,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     roots = nearest.filter("cls = low").select(F.col("cls").alias("low"))
     labels = nearest.join(roots, "low").select("cls", "low")
     known = apart.join(labels, "cls", "left").select("cls", F.coalesce("low", "cls").alias("comp"))
-    families = _joined(apart, led.union(_across(posted, known, classes)))
+    families = _joined(apart, _starred(led.toDF("member", "leader")).union(_across(posted, known, classes)))
     several = families.groupBy("comp").count().filter("count > 1").select("comp")
     family = kept(families.join(several, "comp").select("cls", F.col("comp").alias("fam")))
     active = kept(classes.join(family.select("cls"), "cls"))
