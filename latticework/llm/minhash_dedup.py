@@ -40,6 +40,8 @@ from ._shared import kept
 
 COORDINATES, MATCHES, TILE, LEADS = 64, 36, 1024, 8
 TOKENS = 0
+#: Most bits of the filter in front of the join with texts (8 MB), and what stands for a null id in it.
+FILTER_BITS, NO_ID = 1 << 26, np.iinfo(np.int64).min
 _FACTORS = np.random.default_rng(0xC0FFEE).integers(0, 1 << 64, COORDINATES, dtype=np.uint64) | T.U64(1)
 SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("cls", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
 
@@ -116,6 +118,40 @@ def postings(classes: DataFrame, blocks: int, buckets: int) -> DataFrame:
     return parts.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(select, from_arrow_schema(schema))
 
 
+def _bits(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each id in a filter of ``size`` bits."""
+    h = T.mix(ids.view(T.U64) + T.U64(1))
+    return ((h >> T.U64(32)) % T.U64(size)).astype(np.int64), ((h & T.U64(0xFFFFFFFF)) % T.U64(size)).astype(np.int64)
+
+
+def _skipping(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows that can be heads, and of some others.
+
+    A Bloom filter of at most FILTER_BITS keeps the text of rows that can't be
+    joined out of the shuffle; the join decides. A fuller filter lets more through.
+    """
+    size = int(min(FILTER_BITS, max(1 << 16, 16 * heads.count())))
+
+    def places(batches):
+        for batch in batches:
+            at = np.concatenate(_bits(np.asarray(batch.column("head").fill_null(NO_ID)), size))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.left_shift(1, at & 31))], names=["word", "bits"])
+
+    rows = heads.select("head").mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()  # FILTER_BITS / 32 at most
+    filled = np.zeros(size // 32 + 1, np.uint32)
+    for r in rows:
+        filled[r.word] = r.bits
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
+
+    def may(batches):
+        for batch in batches:
+            one, two = (((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool) for at in _bits(np.asarray(batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID)), size))
+            yield batch.filter(pa.array(one & two))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(may, rows.schema)
+
+
 def shingle_sets(docs: DataFrame, heads: DataFrame, shingle: int) -> DataFrame:
     """(cls, shingles) of the wanted classes (head, cls), from the text of their heads."""
     schema = pa.schema([("cls", pa.int64()), ("shingles", pa.binary())])
@@ -131,7 +167,7 @@ def shingle_sets(docs: DataFrame, heads: DataFrame, shingle: int) -> DataFrame:
                     sets.append(B.rising(own))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
 
-    joined = docs.select("doc_id", "text").join(heads, F.col("doc_id").eqNullSafe(F.col("head"))).select("text", "cls")
+    joined = _skipping(docs, heads).join(heads, F.col("doc_id").eqNullSafe(F.col("head"))).select("text", "cls")
     return joined.mapInArrow(build, from_arrow_schema(schema))
 
 
