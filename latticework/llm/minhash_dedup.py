@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import _blocks as B
 from . import _text as T
@@ -153,22 +154,22 @@ def _skipping(docs: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, heads: DataFrame, shingle: int) -> DataFrame:
-    """(cls, shingles) of the wanted classes (head, cls), from the text of their heads."""
-    schema = pa.schema([("cls", pa.int64()), ("shingles", pa.binary())])
+    """``heads`` (head, cls, ...) without head and with shingles, from the text of the heads."""
+    schema = from_arrow_schema(pa.schema([("shingles", pa.binary())]))
+    carried = [f for f in heads.schema.fields if f.name != "head"]
 
     def build(batches):
         for batch, data, offsets in T.chunks(batches):
             hashes, first = _shingles(data, offsets, shingle)
-            ends, wanted, cls, sets = first.tolist(), batch.column("cls").to_pylist(), [], []
-            for i, want in enumerate(wanted):
+            ends, sets = first.tolist(), []
+            for i, want in enumerate(batch.column("cls").to_pylist()):
                 own = np.unique(hashes[ends[i] : ends[i + 1]])
-                if len(own) and _class(own) == want:
-                    cls.append(want)
-                    sets.append(B.rising(own))
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+                sets.append(B.rising(own) if len(own) and _class(own) == want else None)
+            out = batch.drop_columns(["text"]).append_column("shingles", pa.array(sets, pa.binary()))
+            yield out.filter(out.column("shingles").is_valid())
 
-    joined = _skipping(docs, heads).join(heads, F.col("doc_id").eqNullSafe(F.col("head"))).select("text", "cls")
-    return joined.mapInArrow(build, from_arrow_schema(schema))
+    joined = _skipping(docs, heads).join(heads, F.col("doc_id").eqNullSafe(F.col("head"))).select("text", *[f.name for f in carried])
+    return joined.mapInArrow(build, StructType([*carried, *schema.fields]))
 
 
 def _alike(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -319,15 +320,16 @@ def _links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(link, "a long, b long").distinct()
 
 
-def _family_links(family: DataFrame, active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _family_links(docs: DataFrame, family: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(cls, comp) by confirmed links within families (cls, fam), tile by tile."""
-    full = family.join(active.select("cls", "sig"), "cls").join(sets, "cls")
     sizes = family.groupBy("fam").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
     leads = family.join(sizes.filter("tiles > 1"), "fam").withColumn("k", F.row_number().over(W.partitionBy("fam").orderBy(F.xxhash64("cls")))).filter(F.col("k") <= LEADS)
-    dealt = family.join(sizes, "fam").select("fam", "cls", tile.alias("tile"))
-    dealt = dealt.union(leads.select("fam", "cls", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))).distinct()
-    rows = full.join(dealt, ["fam", "cls"]).select("fam", "tile", "cls", F.col("cls").alias("comp"), F.lit(0).alias("side"), "sig", "shingles")
+    dealt = family.join(sizes, "fam").join(leads.select("cls", "k"), "cls", "left")
+    dealt = dealt.select("cls", "fam", F.when(F.col("k").isNull(), F.array(tile)).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tiles"))
+    # the sets carry all that is needed, so that they are shuffled once
+    full = kept(shingle_sets(docs, kept(classes.join(dealt, "cls")), shingle))
+    rows = full.select("fam", F.explode("tiles").alias("tile"), "cls", F.col("cls").alias("comp"), F.lit(0).alias("side"), "sig", "shingles")
     alone = family.select("cls")
     links = kept(_links(rows, ["fam", "tile"], percent))
     comps = _joined(alone, links)
@@ -361,19 +363,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     posted = kept(posted)
     # families: closed under likely pairs, found by signature alone
     apart = kept(posted.select("cls").distinct().withColumn("comp", F.col("cls")))
-    led = kept(likely(_leads(posted, apart, "xxhash64(cls)"), classes))
+    likely_classes = kept(classes.join(apart.select("cls"), "cls"))
+    led = kept(likely(_leads(posted, apart, "xxhash64(cls)"), likely_classes))
     hubs = led.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
     # members with an equal label are linked by it: each takes its least likely partner that has no smaller one itself
     nearest = hubs.groupBy(F.col("e.a").alias("cls")).agg(F.min("e.b").alias("low")).select("cls", F.least("cls", "low").alias("low"))
     roots = nearest.filter("cls = low").select(F.col("cls").alias("low"))
     labels = nearest.join(roots, "low").select("cls", "low")
     known = apart.join(labels, "cls", "left").select("cls", F.coalesce("low", "cls").alias("comp"))
-    families = _joined(apart, _starred(led.toDF("member", "leader")).union(_across(posted, known, classes)))
+    families = _joined(apart, _starred(led.toDF("member", "leader")).union(_across(posted, known, likely_classes)))
     several = families.groupBy("comp").count().filter("count > 1").select("comp")
     family = kept(families.join(several, "comp").select("cls", F.col("comp").alias("fam")))
-    active = kept(classes.join(family.select("cls"), "cls"))
-    sets = kept(shingle_sets(docs, active.select("head", "cls"), shingle))
-    comps = _family_links(family, active, sets, percent)
+    comps = _family_links(docs, family, likely_classes, shingle, percent)
     placed = classes.select("cls", "head").join(comps, "cls", "left").select("cls", "head", F.coalesce("comp", "cls").alias("comp"))
     ids = placed.groupBy("comp").agg(F.min("head").alias("component_id"))
     found = placed.join(ids, "comp").select("cls", "component_id")
