@@ -116,8 +116,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int, schema: pa.Schema, emit:
 
         if last:
             return docs.mapInArrow(step, from_arrow_schema(schema))
-        kept = [f for f in docs.schema.fields if f.name not in (found_at, found_items)]
-        docs = kept(docs.mapInArrow(step, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept)}, {found_at} binary, {found_items} array<bigint>"))
+        fields = [f for f in docs.schema.fields if f.name not in (found_at, found_items)]
+        docs = kept(docs.mapInArrow(step, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fields)}, {found_at} binary, {found_items} array<bigint>"))
     raise AssertionError("a benchmark has one part at least")
 
 
