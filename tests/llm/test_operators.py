@@ -394,10 +394,12 @@ def test_pii_surrogates_stay_distinct(spark):
 
 
 def test_toxicity_learns_only_from_training_labels(spark, smoke):
-    real, labels = (spark.read.parquet(f"{smoke.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    """Held-out rows of the largest small table; with some 50 toxic rows to learn from (sf0.01) the model is no better than the base rate."""
+    real, labels = (spark.read.parquet(f"{smoke.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.scores(real, labels).join(labels, "doc_id").filter("held_out and toxic is not null").collect()
-    right = sum(r.predicted == r.toxic for r in out)
-    assert len(out) > 20 and right / len(out) > 0.9
+    bad, good = ([r.score for r in out if r.toxic == k] for k in (1, 0))
+    above = sum((x > y) + (x == y) / 2 for x in bad for y in good) / (len(bad) * len(good))
+    assert above > 0.9 and sum(y >= 0.5 for y in good) / len(good) < 0.01
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
     flipped = labels.withColumn("toxic", toxicity.F.when(toxicity.held_out(), 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
     a, b = toxicity.scores(real, labels), toxicity.scores(real, flipped)
