@@ -13,7 +13,10 @@ Cyrillic), surnames from syllables of the script, with its gendered ending.
 
 Collision checks: over the table of distinct entities, a surrogate that two
 entities share, or that is a real entity of the type, is drawn again with the next
-attempt, until none is. Documents compute first attempts in place; only the few
+attempt, until none is. Later attempts draw from ever larger spaces (names get
+more syllables, e-mails letters in front, and other types, whose spaces are large
+from the start, digits at the end after ``EARLY`` attempts, or an IPv6 address for
+an IPv4 one), so the rounds end however many entities a corpus has. Documents compute first attempts in place; only the few
 entities with later attempts are joined back to the texts that mention them.
 
 Defined results: a null or empty text stays as it is and has no entities;
@@ -57,7 +60,11 @@ GIVEN = {
 SYLLABLES = {"latin": "ba ca da fe ga he ji ka lo mi no pe ra so tu ve".split(), "cyrillic": "ба ва га де жа зе ки ла мо ни по ре са ту фе хо".split()}
 ENDINGS = {("m", "latin"): "r", ("f", "latin"): "r", ("m", "cyrillic"): "ров", ("f", "cyrillic"): "рова"}
 ENTITY = "struct<type:string,canon:string>"
-BROADCAST_ROWS, MOST_ROUNDS = 20_000, 64
+BROADCAST_ROWS = 20_000
+#: Attempts after which numbers, keys and IPv4 addresses, of 10**7 surrogates at least, get longer.
+EARLY = 15
+#: Syllables of a name that the seed has room for, letters before an e-mail, and characters before its @.
+MOST_SYLLABLES, MOST_LETTERS, LOCAL = 29, 32, 64
 
 
 def _type(mention: Column) -> Column:
@@ -121,6 +128,12 @@ def _drawn(entity: Column) -> Column:
         return F.when((i <= keep) | (i > ends), old).otherwise(new)
 
     spelled = F.array_join(F.transform(F.sequence(F.lit(1), F.length(canon)), letter), "")
+    attempt = entity["attempt"]
+    extra = F.least(attempt, F.lit(MOST_LETTERS))
+    over = F.greatest(F.instr(canon, "@") - 1 + extra - LOCAL, F.lit(0))
+    longer = F.concat(F.substring(letters, F.lit(1), extra), F.substring(spelled, over + 1, F.length(spelled)))
+    longer_number = F.concat(spelled, F.substring(digits, F.lit(1), attempt - EARLY))
+    spelled = F.when(attempt == 0, spelled).when(kind == "email", longer).when(attempt > EARLY, longer_number).otherwise(spelled)
     open_ = F.concat(F.substring(spelled, F.lit(1), F.length(spelled) - 1), F.lit("0"))
     valid = F.concat(F.substring(spelled, F.lit(1), F.length(spelled) - 1), ((10 - _luhn(open_)) % 10).cast("string"))
 
@@ -128,20 +141,27 @@ def _drawn(entity: Column) -> Column:
         return F.conv(F.substring(seed, at, 4), 16, 10).cast("int") % most
 
     address = F.concat_ws(".", (number(1, 222) + 1).cast("string"), *((number(a, 256)).cast("string") for a in (5, 9, 13)))
-    out = F.when(kind == "ip", address).when((kind == "card") & (_luhn(canon) == 0), valid)
+    wide = F.concat_ws(":", F.concat(F.lit("fd"), F.substring(seed, 17, 2)), *(F.substring(seed, a, 4) for a in range(19, 47, 4)))
+    out = F.when(kind == "ip", F.when(attempt > EARLY, wide).otherwise(address)).when((kind == "card") & (_luhn(canon) == 0), valid)
+    places = F.sequence(F.lit(9), F.least(attempt + 3, F.lit(MOST_SYLLABLES - 1)) * 4 + 9, F.lit(4))
+
+    def drawn_from(syllables):
+        return lambda at: syllables[F.conv(F.substring(seed, at, F.lit(4)), 16, 10).cast("int") % 16]
+
     for (sex, script), given in GIVEN.items():
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
-        more = F.concat(*(syllables[number(a, 16)] for a in (9, 13, 17, 21)))
+        more = F.array_join(F.transform(places, drawn_from(syllables)), "")
         first = F.array(*map(F.lit, given))[number(5, 16)]
         # a first name is drawn from the list, with a syllable where attempts show the list to be too short
-        late = F.when(entity["attempt"] > 2, more).otherwise("")
+        late = F.when(attempt > 2, more).otherwise("")
         out = out.when(kind == f"given_{sex}_{script}", F.lower(F.concat(first, late))).when(kind == f"surname_{sex}_{script}", F.concat(more, F.lit(ENDINGS[sex, script])))
     return out.otherwise(spelled)
 
 
 def _written(mention: Column, kind: Column, drawn: Column) -> Column:
-    """The surrogate in the mention's own writing: its punctuation and case."""
+    """The surrogate in the mention's own writing: its punctuation and case; what it is longer by comes first in e-mails, else last."""
     new = drawn[0]
+    ahead = F.when(kind == "email", F.greatest(F.length(new) - F.length(mention), F.lit(0))).otherwise(0)
 
     def place(state, i):
         old = F.substring(mention, i, F.lit(1))
@@ -150,7 +170,8 @@ def _written(mention: Column, kind: Column, drawn: Column) -> Column:
         got = F.when(old.rlike("[A-Z]"), F.upper(got)).otherwise(got)
         return F.struct(F.concat(state["text"], F.when(is_open, got).otherwise(old)).alias("text"), (state["k"] + is_open.cast("int")).alias("k"))
 
-    spelled = F.aggregate(F.sequence(F.lit(1), F.length(mention)), F.struct(F.lit("").alias("text"), F.lit(1).alias("k")), place)["text"]
+    spelled = F.aggregate(F.sequence(F.lit(1), F.length(mention)), F.struct(F.substring(new, F.lit(1), ahead).alias("text"), (ahead + 1).alias("k")), place)
+    spelled = F.concat(spelled["text"], F.substring(new, spelled["k"], F.length(new)))
     names = F.concat_ws(" ", F.regexp_extract(mention, rf"^((?:{_TITLE})\.?) ", 1), F.array_join(F.transform(drawn, F.initcap), " "))
     return F.when(kind == "ip", new).when(kind == "person", names).otherwise(spelled)
 
@@ -166,7 +187,7 @@ def later_attempts(docs: DataFrame, key: str) -> DataFrame | None:
     entity = found.select(F.explode(_entities(F.col("mention"), F.col("kind"))).alias("e")).select("e.type", "e.canon").distinct()
     state = kept(entity.withColumn("attempt", F.lit(0)))
     real = state.select("type", F.col("canon").alias("drawn"), F.lit(True).alias("real"))
-    for _ in range(MOST_ROUNDS):
+    while True:
         each = state.withColumn("e", _seeded(key, F.col("type"), F.col("canon"), F.col("attempt"))).withColumn("drawn", _drawn(F.col("e"))).drop("e")
         turn = F.row_number().over(W.partitionBy("type", "drawn").orderBy("attempt", "canon"))
         each = each.withColumn("turn", turn).join(real, ["type", "drawn"], "left")
@@ -176,7 +197,6 @@ def later_attempts(docs: DataFrame, key: str) -> DataFrame | None:
             late = state.filter("attempt > 0").select("type", "canon", "attempt")
             return None if late.isEmpty() else late
         state = state.drop("again")
-    raise ValueError("a type has too few surrogates for its entities")
 
 
 def replace(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:

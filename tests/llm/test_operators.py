@@ -393,6 +393,23 @@ def test_pii_surrogates_stay_distinct(spark):
     assert len(set(names.values())) == len(names) and not set(names) & set(names.values())
 
 
+def test_pii_emails_of_few_surrogates(spark):
+    """All addresses of a shape, whose every surrogate is real; and one without letters or digits before its last label."""
+    mails = [f"{a}@{b}.99" for a in range(10) for b in range(10)] + ["-@-.99", "_@-.Org", "." * 64 + "@-.org"]
+    docs = spark.createDataFrame([(i, f"at {m} now", 0) for i, m in enumerate(mails)], "doc_id long, text string, n_chars long")
+    new = [re.fullmatch("at (.*) now", r.text).group(1) for r in sorted(pii.replace(docs).collect())]
+    assert len({m.lower() for m in new}) == len(mails) and not {m.lower() for m in new} & {m.lower() for m in mails}
+    assert all(re.fullmatch(pii.PATTERNS["email"], m) and m.rpartition(".")[2] == old.rpartition(".")[2] for m, old in zip(new, mails, strict=True))
+
+
+def test_pii_more_surnames_than_short_surrogates(spark):
+    n = 70_000
+    docs = spark.range(n).selectExpr("id doc_id", "concat('Mr Q', translate(format_string('%05d', id), '0123456789', 'bcdfghjklm')) text", "0L n_chars")
+    real = {r.text for r in docs.collect()}
+    new = {r.text for r in pii.replace(docs).collect()}
+    assert len(new) == n and not new & real and all(re.fullmatch("Mr [A-Z][a-z]+", t) for t in new)
+
+
 def test_toxicity_learns_only_from_training_labels(spark, smoke):
     """Held-out rows of the largest small table; with some 50 toxic rows to learn from (sf0.01) the model is no better than the base rate."""
     real, labels = (spark.read.parquet(f"{smoke.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
