@@ -1,13 +1,14 @@
 """PII surrogates: keyed, type-consistent replacements, by DataFrame expressions only.
 
-Detected are e-mail and IPv4 addresses, telephone, social-security, card and bank
+Detected are e-mail, IPv4 and IPv6 addresses, telephone, social-security, card and bank
 numbers, access keys and long hexadecimal secrets, and names after a title. Each
 entity is a type and a canonical form (case and, in numbers, punctuation dropped),
 so all mentions of it, however written, get one surrogate: SHA-512 of the key,
 type, canonical form and an attempt number gives a stream of characters that
 replaces digits by digits and letters by letters of the same case, keeping all
-else. Kept too: an e-mail's top-level domain, a telephone's country code, a card's
-first digit and whether its Luhn check passes; an IPv4 address stays a valid one. Given
+else. Kept too: an e-mail's top-level domain, a telephone's country code or leading
+zero, a card's first digit and whether its Luhn check passes; an IPv4 address stays a
+valid one, and an IPv6 address becomes a unique local one. Given
 names come from a list for the title's gender in the name's script (Latin or
 Cyrillic), surnames from syllables of the script, with its gendered ending.
 
@@ -36,13 +37,29 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TITLES = {"m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"]}
 _TITLE = "|".join(sorted((t for x in TITLES.values() for t in x), key=len, reverse=True))
 _PERSON = rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}{{1,30}}+(?: \p{{Lu}}\p{{Ll}}{{1,30}}+)?"
+_KEY_STARTS = "AKIA|ASIA|gh[pousr]_|sk-"
+#: Groups of hexadecimal digits: all eight, or with one gap, which needs a first group of 3 or 4 as words of code have "::" too.
+_IPV6 = r"(?<![A-Za-z0-9:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]{0,36}[0-9])[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4})(?![A-Za-z0-9:])"
+_ALONE, _ENDS = r"(?<![A-Za-z0-9+])(?<![0-9][ .,/-])", r"(?![A-Za-z0-9])(?![.,/-][0-9])"
+#: Telephone numbers by form: +1 and the like in three groups, +33 in any groups, (415) 555-2671, 415-555-2671, and with a leading zero 030 1234567, 020 7946 0958, 06 12 34 56 78.
+PHONES = [
+    r"(?<![0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+    r"(?<![0-9])\+[0-9]{1,3}(?: ?\(0\))?(?:[ .-]?[0-9]){7,12}(?![0-9])",
+    r"(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    rf"{_ALONE}(?:1[ .-])?[2-9][0-9]{{2}}(?:-[0-9]{{3}}-|\.[0-9]{{3}}\.| [0-9]{{3}}[ -])[0-9]{{4}}{_ENDS}",
+    rf"{_ALONE}0[1-9][0-9]{{1,3}}[ /-][0-9]{{5,8}}{_ENDS}",
+    rf"{_ALONE}0[1-9][0-9]{{1,3}}(?: [0-9]{{3,4}} |-[0-9]{{3,4}}-)[0-9]{{3,4}}{_ENDS}",
+    rf"{_ALONE}0[1-9](?:(?: [0-9]{{2}}){{4}}|(?:\.[0-9]{{2}}){{4}}|(?:-[0-9]{{2}}){{4}}){_ENDS}",
+]
+COUNTRY = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Java regular expressions by type, tried in this order where a mention starts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}+",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "ip6": _IPV6,
     "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": "|".join(PHONES),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}(?![0-9])",
@@ -50,7 +67,7 @@ PATTERNS = {
 }
 MENTION = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no mention; most texts need no more than this look.
-HINT = "[0-9@]|" + _TITLE + "|sk-|AKIA|[a-f]{32}|[A-F]{32}"
+HINT = f"[0-9@]|{_TITLE}|{_KEY_STARTS}|[a-f]{{32}}|[A-F]{{32}}|(?:[A-Fa-f]{{1,4}}:){{7}}"
 GIVEN = {
     ("m", "latin"): "Adam Boris Carl David Edgar Felix Georg Hugo Ivan Jonas Karim Louis Martin Nils Oskar Pablo".split(),
     ("f", "latin"): "Anna Berta Clara Diana Elena Flora Greta Helen Irene Julia Karin Laura Maria Nora Olga Paula".split(),
@@ -89,7 +106,7 @@ def _entities(mention: Column, kind: Column) -> Column:
         names,
         lambda name, i: F.struct(F.concat(F.when(i < F.size(names) - 1, "given_").otherwise("surname_"), _gender(mention), F.lit("_"), _script(name)).alias("type"), F.lower(name).alias("canon")),
     )
-    plain = F.lower(F.when(kind.isin("email", "ip"), mention).otherwise(F.regexp_replace(mention, "[^A-Za-z0-9]", "")))
+    plain = F.lower(F.when(kind.isin("email", "ip", "ip6"), mention).otherwise(F.regexp_replace(mention, "[^A-Za-z0-9]", "")))
     return F.when(kind == "person", persons).otherwise(F.array(F.struct(kind.alias("type"), plain.alias("canon"))))
 
 
@@ -115,7 +132,7 @@ def _drawn(entity: Column) -> Column:
     """The surrogate's canonical form, of a seeded entity."""
     kind, canon, seed = entity["type"], entity["canon"], entity["seed"]
     digits, letters = F.translate(seed, "abcdef", "135790"), F.translate(seed, "0123456789abcdef", "abcdefghkmnprstv")
-    keep = F.when(kind == "phone", F.when(canon.rlike("^1[0-9]{10}$"), 1).when(F.length(canon) > 10, F.length(canon) - 10).otherwise(0)).when(kind == "card", 1).when(kind == "iban", 2).when(kind == "key", 4).otherwise(0)
+    keep = F.when(kind == "phone", F.when(canon.startswith("0"), 1).when(F.length(canon) > 10, F.length(F.regexp_extract(canon, COUNTRY, 0))).otherwise(0)).when(kind == "card", 1).when(kind == "iban", 2).when(kind == "key", 4).otherwise(0)
     ends = F.when(kind == "email", F.length(canon) - F.length(F.substring_index(canon, ".", -1))).otherwise(F.length(canon))
 
     def letter(i):
@@ -142,7 +159,7 @@ def _drawn(entity: Column) -> Column:
 
     address = F.concat_ws(".", (number(1, 222) + 1).cast("string"), *((number(a, 256)).cast("string") for a in (5, 9, 13)))
     wide = F.concat_ws(":", F.concat(F.lit("fd"), F.substring(seed, 17, 2)), *(F.substring(seed, a, 4) for a in range(19, 47, 4)))
-    out = F.when(kind == "ip", F.when(attempt > EARLY, wide).otherwise(address)).when((kind == "card") & (_luhn(canon) == 0), valid)
+    out = F.when(kind == "ip6", wide).when(kind == "ip", F.when(attempt > EARLY, wide).otherwise(address)).when((kind == "card") & (_luhn(canon) == 0), valid)
     places = F.sequence(F.lit(9), F.least(attempt + 3, F.lit(MOST_SYLLABLES - 1)) * 4 + 9, F.lit(4))
 
     def drawn_from(syllables):
@@ -173,7 +190,7 @@ def _written(mention: Column, kind: Column, drawn: Column) -> Column:
     spelled = F.aggregate(F.sequence(F.lit(1), F.length(mention)), F.struct(F.substring(new, F.lit(1), ahead).alias("text"), (ahead + 1).alias("k")), place)
     spelled = F.concat(spelled["text"], F.substring(new, spelled["k"], F.length(new)))
     names = F.concat_ws(" ", F.regexp_extract(mention, rf"^((?:{_TITLE})\.?) ", 1), F.array_join(F.transform(drawn, F.initcap), " "))
-    return F.when(kind == "ip", new).when(kind == "person", names).otherwise(spelled)
+    return F.when(kind.isin("ip", "ip6"), new).when(kind == "person", names).otherwise(spelled)
 
 
 def _mentions(text: Column) -> Column:

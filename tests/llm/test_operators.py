@@ -410,6 +410,19 @@ def test_pii_more_surnames_than_short_surrogates(spark):
     assert len(new) == n and not new & real and all(re.fullmatch("Mr [A-Z][a-z]+", t) for t in new)
 
 
+PRIVATE = ["key ASIAABCDEFGHIJKLMNOP", "key ghp_" + "abcdefghijklmnopqr" * 2, "415-555-2671", "415.555.2671", "415 555 2671", "1-415-555-2671", "030 1234567", "020 7946 0958", "06 12 34 56 78", "+33 6 12 34 56 78", "2001:db8::8a2e:370:7334", "fe80::1", "ab:cd:ef:ab:cd:ef:ab:cd"]
+PUBLIC = ["at 10:30:45 on 05-06-2010 14:30", "std::vector a::b Abc::Def", "01-02-2003", "in 1999 2000 2001", "1,234,567 and 1234.567.8901.22", "00:1a:2b:3c:4d:5e", "task- ghp_short ASIAN"]
+
+
+def test_pii_forms_of_keys_numbers_and_addresses(spark):
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(PRIVATE + PUBLIC)], "doc_id long, text string, n_chars long")
+    out = [r.text for r in sorted(pii.replace(docs).collect())]
+    assert all(new != old for new, old in zip(out, PRIVATE, strict=False)) and out[len(PRIVATE) :] == PUBLIC
+    for new, old in zip(out[2:10], PRIVATE[2:10], strict=True):
+        assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", old) and (old[0] != "0" or new[0] == "0")
+    assert out[9].startswith("+33 ") and all(re.fullmatch("fd[0-9a-f]{2}(:[0-9a-f]{4}){7}", t) for t in out[10:13])
+
+
 def test_toxicity_learns_only_from_training_labels(spark, smoke):
     """Held-out rows of the largest small table; with some 50 toxic rows to learn from (sf0.01) the model is no better than the base rate."""
     real, labels = (spark.read.parquet(f"{smoke.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
