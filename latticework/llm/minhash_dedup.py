@@ -352,8 +352,8 @@ def _family_links(docs: DataFrame, family: DataFrame, classes: DataFrame, shingl
     return kept(comps.join(further, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, h, n_shingles, component_id, kept) for each row; h is the text's xxhash64."""
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, h, n_shingles, comp, component_id) for each row; h is the text's xxhash64, comp null where the set is empty."""
     signed = kept(signatures(docs, shingle))
     classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("head"), F.first("sig").alias("sig"))
     classes = kept(classes)
@@ -377,15 +377,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     comps = _family_links(docs, family, likely_classes, shingle, percent)
     placed = classes.select("cls", "head").join(comps, "cls", "left").select("cls", "head", F.coalesce("comp", "cls").alias("comp"))
     ids = placed.groupBy("comp").agg(F.min("head").alias("component_id"))
-    found = placed.join(ids, "comp").select("cls", "component_id")
+    found = placed.join(ids, "comp").select("cls", "comp", "component_id")
     out = signed.select("doc_id", "h", "cls", "n_shingles").join(found, "cls", "left")
     out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "h", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "h", "n_shingles", "comp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, h, n_shingles, component_id, kept) for each row; h is the text's xxhash64."""
+    kept_one = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return _grouped(docs, shingle, percent).select("doc_id", "h", "n_shingles", "component_id", kept_one)
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id; repeated rows go too."""
-    keep = near_duplicates(docs, shingle, percent).filter("kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_k")).distinct()
+    """``docs`` with one row of each component: of the smallest id, nulls last, then of the least text hash; repeated rows go too."""
+    alone = F.col("comp").isNull()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")
+    groups = _grouped(docs, shingle, percent).groupBy("comp", F.when(alone, F.col("doc_id")).alias("own_id"), F.when(alone, F.col("h")).alias("own_h"))
+    keep = groups.agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_k"))
     marked = docs.withColumn("_h", F.xxhash64("text"))
     found = marked.join(keep, marked["doc_id"].eqNullSafe(keep["_id"]) & (marked["_h"] == keep["_k"]), "left_semi")
     return found.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)

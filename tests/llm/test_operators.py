@@ -254,6 +254,18 @@ def test_deduplicate_keeps_one_of_each(docs, rows):
     assert sorted(r.doc_id for r in left.collect()) == sorted(wanted)
 
 
+def test_deduplicate_with_null_and_repeated_ids(spark):
+    """One row of each group, though ids are all null, or equal, or both; texts without words are not linked."""
+    draw = random.Random(8)
+    texts = [" ".join(f"t{draw.randrange(10**6)}" for _ in range(200)) for _ in range(4)]
+    rows = [(i, f"{t} {k}") for i, t in zip([None, 3, 5, None], texts, strict=True) for k in ("a", "b", "c", "c")]
+    rows += [(9, texts[3] + " d"), (None, None), (None, ""), (None, ""), (7, None)]
+    left = as_rows(minhash_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")))
+    full = [(i, t.rsplit(" ", 1)[0]) for i, t in left if t]
+    assert sorted(full, key=repr) == sorted(zip([None, 3, 5, 9], texts, strict=True), key=repr) and set(left) <= set(rows)
+    assert sorted((x for x in left if not x[1]), key=repr) == [(7, None), (None, ""), (None, None)]
+
+
 # --- benchmark
 
 
