@@ -1,16 +1,14 @@
 """Suffix-array dedup: bytes under strings of ``length`` that start more than once.
 
-Blockwise construction after the difference-cover scheme. A cover sample of the
-suffixes is named first, then one bucket of suffixes at a time is sorted, and
-what ties is resolved by those names instead of by reading on. Two things differ
-from the textbook form, since suffixes are only compared to a depth of
-``length``: the cover is content-defined (the least hash of the half-length
-strings inside each window; any two equal windows hold an equal sampled
-position, as with a cover modulo v, at 2 % of the positions), and names are
-64-bit fingerprints, so a bucket is a range of fingerprints. A suffix whose
-sample occurs once can have no equal elsewhere and is never sent; the others
-are sorted bucket by bucket, and equal neighbours are repeats. Memory is bounded
-by a block and a bucket, whatever the text holds.
+In place of a suffix array: the result depends only on which strings of ``length``
+bytes are equal, not on the order of suffixes, so no suffix is sorted and no tie is
+resolved by ranks; 64-bit fingerprints of the strings are counted instead. A cover
+sample of the positions is named first. It is content-defined (the least hash of the
+half-length strings inside each window; any two equal windows hold an equal sampled
+position, as with a cover modulo v, at 2 % of the positions). A window whose sample
+occurs once can have no equal elsewhere and is never sent; the fingerprints of the
+others are counted bucket by bucket, a bucket being a range of them. Equality is by
+fingerprint alone. Memory is bounded by a block and a bucket, whatever the text holds.
 
 Equal texts form a class of which one member stands for all, with weight two.
 
