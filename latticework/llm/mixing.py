@@ -3,9 +3,10 @@
 Each source sends its documents in a seeded shuffle, once and then a second time.
 A document's virtual finish time is the source's words up to its end, divided by
 the source's target; all sources reach time 1 when their targets are spent,
-which is where the total budget is. Sorting globally by finish time and
-truncating there gives the mix. A document on the border is taken if most of it
-lies inside, so a source misses its target by half a document at most.
+which is where the total budget is. So instead of sorting globally and truncating
+there, each source is cut alone at its own target; only ``mix`` then sorts, by
+finish time. A document on the border is taken if at least half of it lies inside,
+so a source misses its target by half a document at most.
 
 Targets: sources by code point, null last, weigh ``weights`` in turn and share
 ``share`` times all words; none gets over ``most`` times its own words, and what
