@@ -1,14 +1,18 @@
-"""Blocks and buckets: bounded two-way exchange of text fingerprints.
-
-Documents are dealt into *blocks* of about ``BLOCK_BYTES`` of text by a hash, so
-a hot source or a group of copies spreads evenly. A block asks about its
-distinct 64-bit *names* (fingerprints of n-grams or windows), each with one
-value; the names travel in packed, sorted arrays to *buckets* of the hash range.
-A bucket folds the values of equal names over all blocks and answers each block
-in the order it asked. A name that is everywhere costs one entry per block, not
-one per occurrence, so no key is hot, and neither side holds more than a block
-or a bucket. All steps are deterministic functions of their input, and the
-answers match names, not rows: a lost executor's tasks can simply run again.
+"""Blocks of text and what they ask about: bounded two-way exchange of fingerprints.
+
+Documents are dealt into *blocks* of about ``BLOCK_BYTES`` of text by a hash of the row,
+its number included, so a hot source, copies and repeated rows spread evenly. A block asks about its
+distinct 64-bit *names* (fingerprints), each with one value. A name that is
+everywhere costs one entry per block, not one per occurrence, so no key is hot.
+
+Few names travel as rows, counted by a window of Spark. Where names are as many as
+words, rows of names would outgrow the text, so they travel in packed, sorted arrays to
+*buckets* of the hash range; a bucket folds the values of equal names over all blocks
+and answers each block in the order it asked. Buckets grow in number with the
+names and not in size; there are never more packed rows than names.
+
+All steps are deterministic functions of their input, and the answers match names,
+not rows: a lost executor's tasks can simply run again.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._text import U64
@@ -26,7 +31,6 @@ from ._text import U64
 #: Bytes of text in a block, and names that a bucket is laid out for.
 BLOCK_BYTES = 8 << 20
 BUCKET_NAMES = 1 << 21
-MAX_BUCKETS = 1 << 16
 
 ASK = "blk int, bucket int, kind int, names binary, vals binary"
 ANSWER = pa.schema([("blk", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("names", pa.binary()), ("vals", pa.binary())])
@@ -48,17 +52,41 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view(U64).ravel()
 
 
-def layout(docs: DataFrame, names_per_byte: float, block_bytes: int = BLOCK_BYTES) -> tuple[int, int, int]:
-    """Blocks, buckets and bytes for the text of ``docs``."""
+def layout(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
+    """Blocks and bytes for the text of ``docs``."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(ceil(total / block_bytes), least)
-    return blocks, min(MAX_BUCKETS, max(least, ceil(total * names_per_byte / BUCKET_NAMES))), total
+    return max(ceil(total / block_bytes), _least(docs)), total
+
+
+def _least(table: DataFrame) -> int:
+    return int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def buckets(table: DataFrame, names: float) -> int:
+    """Buckets for so many names."""
+    return max(_least(table), ceil(names / BUCKET_NAMES))
 
 
 def in_blocks(docs: DataFrame, blocks: int, *more) -> DataFrame:
-    """(blk, doc_id, text, ...): the block follows from id and text."""
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("blk"), "doc_id", "text", *more)
+    """(blk, doc_id, text, ...)."""
+    block = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    return docs.select(block.alias("blk"), "doc_id", "text", *more)
+
+
+#: Names and counts of a block, as rows.
+ASKED = "blk int, name long, n long"
+COUNTS = pa.schema([("blk", pa.int32()), ("name", pa.int64()), ("n", pa.int64())])
+
+
+def counts(blk: int, names: np.ndarray) -> pa.Table:
+    """The block's distinct names, with how often it has them."""
+    names, n = np.unique(names, return_counts=True)
+    return pa.Table.from_arrays([pa.array(np.full(len(names), blk, np.int32)), pa.array(names.view(np.int64)), pa.array(n)], schema=COUNTS)
+
+
+def repeated(asked: DataFrame) -> DataFrame:
+    """(blk, name, total) of the names that occur twice at least; one shuffle."""
+    return asked.select("blk", "name", F.sum("n").over(W.partitionBy("name")).alias("total")).filter("total > 1")
 
 
 def distinct(names: np.ndarray, vals: np.ndarray, op: np.ufunc) -> tuple[np.ndarray, np.ndarray]:
@@ -71,22 +99,14 @@ def distinct(names: np.ndarray, vals: np.ndarray, op: np.ufunc) -> tuple[np.ndar
     return names[at], op.reduceat(vals[order], at)
 
 
-def ask(blk: int, kind: int, names: np.ndarray, vals: np.ndarray, buckets: int, shift: int = 0) -> pa.Table:
-    """A block's questions about sorted distinct names, a row per bucket.
-
-    ``shift``: low bits of the names that are zero and need not travel.
-    """
-    edges = np.array([((b << 32) + buckets - 1) // buckets for b in range(buckets)], U64) << U64(32)
-    at = [*np.searchsorted(names, edges).tolist(), len(names)]
-    at[0] = 0
-    names = names >> U64(shift)
-    full = [b for b in range(buckets) if at[b] < at[b + 1]]
-    packed = []
-    for b in full:
-        packed.append(rising(names[at[b] : at[b + 1]]))
-    n = len(full)
+def ask(blk: int, kind: int, names: np.ndarray, vals: np.ndarray, buckets: int) -> pa.Table:
+    """A block's questions about sorted distinct names, a row per bucket that has some."""
+    bucket = (((names >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
+    at = np.append(np.flatnonzero(np.append(len(names) > 0, bucket[1:] != bucket[:-1])), len(names)).tolist() if len(names) else [0]
+    full, n = bucket[at[:-1]].tolist(), len(at) - 1
+    packed = [rising(names[a:b]) for a, b in zip(at, at[1:], strict=False)]
     return pa.Table.from_arrays(
-        [pa.array([blk] * n, pa.int32()), pa.array(full, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array(packed, pa.binary()), pa.array([pack(vals[at[b] : at[b + 1]].view(U64)) for b in full], pa.binary())],
+        [pa.array([blk] * n, pa.int32()), pa.array(full, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array(packed, pa.binary()), pa.array([pack(vals[a:b].view(U64)) for a, b in zip(at, at[1:], strict=False)], pa.binary())],
         schema=ANSWER,
     )
 
@@ -120,11 +140,6 @@ def answers(asked: DataFrame, op: np.ufunc, finish: Callable[[np.ndarray, np.nda
     return asked.groupBy("bucket", "kind").applyInArrow(bucket, ASK)
 
 
-def repeated_names(names: np.ndarray, total: np.ndarray) -> tuple[bytes, None]:
-    """The names whose folded count is two or more."""
-    return rising(names[total >= 2]), None
-
-
 def repeated_bits(names: np.ndarray, total: np.ndarray) -> tuple[None, bytes]:
     """For each name, whether its folded count is two or more."""
     return None, len(total).to_bytes(4, "little") + np.packbits(total >= 2).tobytes()
@@ -135,12 +150,10 @@ def numbers(names: np.ndarray, total: np.ndarray) -> tuple[None, bytes]:
     return None, pack(total.view(U64))
 
 
-def answered(table: pa.Table, kind: int, bits: bool = False, names: bool = False) -> np.ndarray:
+def answered(table: pa.Table, kind: int, bits: bool = False) -> np.ndarray:
     """A block's answers of a kind, in the order of its sorted names."""
-    rows = sorted((b.as_py(), v.as_py()) for b, k, v in zip(table.column("bucket"), table.column("kind"), table.column("names" if names else "vals"), strict=True) if k.as_py() == kind)
+    rows = sorted((b.as_py(), v.as_py()) for b, k, v in zip(table.column("bucket"), table.column("kind"), table.column("vals"), strict=True) if k.as_py() == kind)
     if bits:
         parts = [np.unpackbits(np.frombuffer(v, np.uint8, offset=4), count=int.from_bytes(v[:4], "little")).astype(bool) for _, v in rows]
         return np.concatenate(parts) if parts else np.empty(0, bool)
-    if names:
-        return np.concatenate([risen(v) for _, v in rows]) if rows else np.empty(0, U64)
     return np.concatenate([unpack(v).view(np.int64) for _, v in rows]) if rows else np.empty(0, np.int64)

@@ -1,9 +1,10 @@
-"""Vectorised text kernels: word boundaries, polynomial hashes, minimisers.
+"""Vectorised text kernels: word boundaries, word names, rolling hashes, minimisers.
 
 Everything works on one contiguous UTF-8 buffer and its document offsets, the
-layout in which Arrow hands strings to Python, so no text is decoded or copied
-word by word. Hashes are 64-bit polynomial (Rabin-Karp) hashes over randomised
-symbol values; every array is bounded by ``CHUNK`` bytes of text or one document.
+layout in which Arrow hands strings to Python. A word's name is the first 64 bits
+of its BLAKE2b digest. Rolling (Rabin-Karp) hashes are polynomials modulo 2**64 over
+such names or over randomised bytes; since strings can be made that share one, they
+only *select* what is compared, and the strings or their digests decide.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ import pyarrow as pa
 #: Bytes of text that one vectorised step handles (a longer document is one step).
 CHUNK = 1 << 21
 
+#: Names of words that a process keeps at a time.
+MOST_NAMES = 1 << 19
+
 U64 = np.uint64
 _rng = np.random.default_rng(0x5EED_1DEA)
 _SYMBOL = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | U64(1)
@@ -91,11 +95,33 @@ def lengths_to_owner(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
+class _Names(dict):
+    """The names of words, filled as words come."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_NAMES:
+            self.clear()
+        name = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return name
+
+
+def names(words: list[bytes]) -> np.ndarray:
+    """The name of each word."""
+    known = vars(sys.modules["numpy"]).setdefault("_word_names", _Names())  # of the process, not of a task; never pickled
+    return np.fromiter(map(known.__getitem__, words), U64, len(words))
+
+
+def digest(data: bytes) -> bytes:
+    """Sixteen bytes that stand for the string."""
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 class Words:
     """Word boundaries and hashes of a buffer; words never cross documents.
 
     ``start``/``end``: byte spans of the words; ``first``: index of each
-    document's first word, with the total at the end; ``hash``: word hashes.
+    document's first word, with the total at the end; ``hash``: names of words
+    that blanks part, else polynomial hashes, to be verified by who uses them.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool = False):
@@ -113,7 +139,17 @@ class Words:
         self.offsets = offsets
         self.first = np.searchsorted(self.start, offsets)
         self.counts = np.diff(self.first)
-        self.hash = spans(prefix(_SYMBOL[data]), self.start, self.end)
+        self.hash = self._names(data) if kind is SPACE_SPLIT else spans(prefix(_SYMBOL[data]), self.start, self.end)
+
+    def _names(self, data: np.ndarray) -> np.ndarray:
+        out, done = [np.empty(0, U64)], 0
+        while done < len(self.start):  # by pieces of about CHUNK bytes of whole words
+            to = max(done + 1, int(np.searchsorted(self.end, self.start[done] + CHUNK, "right")))
+            lo, hi = int(self.start[done]), int(self.end[to - 1])
+            cuts = self.offsets[(self.offsets > lo) & (self.offsets < hi)] - lo
+            out.append(names(np.insert(data[lo:hi], cuts, 32).tobytes().split()))
+            done = to
+        return np.concatenate(out)
 
 
 def byte_sums(data: np.ndarray) -> np.ndarray:
@@ -161,10 +197,13 @@ def minimisers(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def cover(n: int, at: np.ndarray, size: int) -> np.ndarray:
     """Mask of 0..n-1 under the windows of ``size`` that start at the positions."""
-    step = np.zeros(n + size + 1, np.int32)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + size, -1)
-    return np.cumsum(step[:n]) > 0
+    out = np.zeros(n, bool)
+    if len(at):
+        at = np.sort(at)
+        apart = np.flatnonzero(at[1:] > at[:-1] + size)
+        for lo, hi in zip(at[np.append(0, apart + 1)].tolist(), (at[np.append(apart, len(at) - 1)] + size).tolist(), strict=True):
+            out[lo:hi] = True
+    return out
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -34,41 +34,32 @@ from . import _text as T
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_backoff", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
 
 
-def _shift(total_bytes: int) -> int:
-    """Low bits of fingerprints to drop; what stays keeps all n-grams apart but for one chance in a few."""
-    return max(0, 64 - 2 * max(16, (total_bytes // 4).bit_length()))
+#: The name under which blocks post how many tokens they have; the last of all.
+TOTAL = T.U64((1 << 64) - 1)
 
 
-def _total(shift: int) -> np.uint64:
-    """The name under which blocks post how many tokens they have."""
-    return T.U64(((1 << 64) - 1) >> shift << shift)
-
-
-def _grams(words: T.Words, order: int, shift: int) -> list[np.ndarray]:
+def _grams(words: T.Words, order: int) -> list[np.ndarray]:
     """For each order n, the fingerprint of the n words up to each position; 0 across a document's start."""
     place = np.arange(len(words.hash)) - words.first[:-1][T.lengths_to_owner(words.counts)]
-    low, high = T.U64(1 << shift), _total(shift) - T.U64(1 << shift)
     out, so_far = [], words.hash
     for n in range(1, order + 1):
         if n > 1:
             so_far = np.concatenate([np.zeros(1, T.U64), so_far[:-1]])[: len(words.hash)]
             so_far = T.mix(so_far * T.U64(0x9E3779B97F4A7C15) + words.hash + T.U64(n))
-        name = so_far >> T.U64(shift) << T.U64(shift)
-        out.append(np.where(place >= n - 1, np.clip(name, low, high), T.U64(0)))
+        out.append(np.where(place >= n - 1, np.clip(so_far, T.U64(1), TOTAL - T.U64(1)), T.U64(0)))
     return out
 
 
 class _Block:
     """The n-grams of a block's documents, and what the corpus has of them."""
 
-    def __init__(self, table: pa.Table, order: int, shift: int):
+    def __init__(self, table: pa.Table, order: int):
         grams, ids, counts = [], [], []
         for batch, data, offsets in T.chunks(table.combine_chunks().to_batches()):
             words = T.Words(data, offsets, T.SPACE_SPLIT, lower=True)
-            grams.append(_grams(words, order, shift))
+            grams.append(_grams(words, order))
             ids.append(batch.column("doc_id").cast(pa.int64()))
             counts.append(words.counts)
-        self.shift = shift
         self.names = [np.concatenate([x[n] for x in grams]) for n in range(order)]
         self.ids, self.counts = pa.concat_arrays(ids), np.concatenate(counts)
         self.twice: list[np.ndarray] = []  # by order and position: in the corpus twice at least
@@ -98,25 +89,25 @@ class _Block:
     def ask(self, blk: int, n: int, buckets: int) -> pa.Table:
         names, counts = _counted(self.names[n][self.possible(n)])
         if n == 0:
-            names, counts = np.append(names, _total(self.shift)), np.append(counts, self.counts.sum())
-        return B.ask(blk, n, names, counts, buckets, self.shift)
+            names, counts = np.append(names, TOTAL), np.append(counts, self.counts.sum())
+        return B.ask(blk, n, names, counts, buckets)
 
 
 def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
     """(doc_id, n_tokens, n_backoff, log_score, mean_log_score) for each row."""
-    blocks, buckets, total = B.layout(docs, 0.1 * order)
-    shift = _shift(total)
+    blocks, total = B.layout(docs)
+    buckets = B.buckets(docs, 0.1 * order * total)
     text = B.in_blocks(docs, blocks).groupBy("blk")
 
     def first(table: pa.Table) -> pa.Table:
-        block, blk = _Block(table, min(order, 2), shift), table.column("blk")[0].as_py()
+        block, blk = _Block(table, min(order, 2)), table.column("blk")[0].as_py()
         return pa.concat_tables([block.ask(blk, n, buckets) for n in range(min(order, 2))])
 
     def further(n: int):
         def ask(table: pa.Table, told: pa.Table) -> pa.Table:
             if not table.num_rows:
                 return B.ANSWER.empty_table()
-            block = _Block(table, n + 1, shift)
+            block = _Block(table, n + 1)
             block.twice.append(np.empty(0, bool))
             for k in range(1, n):
                 block.twice.append(block.spread(k, B.answered(told, k, bits=True)))
@@ -127,7 +118,7 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return RESULT.empty_table()
-        block = _Block(table, order, shift)
+        block = _Block(table, order)
         counts, owner = block.counts, T.lengths_to_owner(block.counts)
         other, tokens = [], 0  # counts in all other documents, of the n-gram that ends at each position
         for n in range(order):

@@ -1,127 +1,141 @@
 """Substring dedup: repeated fixed-length token windows, removed after their first document.
 
-Rabin-Karp hashes of every window of ``window`` words are compared over all
-documents; repeated windows merge into maximal removal intervals. Windows are
-not sent one by one: any two equal windows contain an equal selected anchor (the
-least hash of the half-length windows inside), so a first exchange of anchors,
-some 7 % of the positions, leaves as candidates only windows around anchors
-that occur in more than one document. The second exchange counts the candidate
-windows themselves. Nothing is lost by the first step, and hashes have 64 bits
-over randomised symbols.
+Rabin-Karp hashes roll over the words of each document. Any two equal windows of
+``window`` words hold an equal *anchor* at the same place (the least hash of the
+half-length windows inside), so Spark first counts anchors, some 7 % of the
+positions; a window whose anchor is in one document only can't repeat. The other
+windows are named by a 128-bit digest of their words, never by a rolling hash, and
+grouped by name in Spark for the least id; a document gets back the places of its
+windows that start in an earlier one, and these merge into maximal intervals.
+
+Of copies of a text only those of the least id are read so: what the others lose
+follows from it, they all do. A name that is everywhere is folded before the shuffle, and the
+join that brings its least id back can be split, as its other side has it once.
 
 Defined results: a null or empty text has no words; documents of fewer words
 than the window keep all; null ids neither precede others nor lose words; equal
-ids do not precede each other; further columns are ignored.
+ids do not precede each other, repeated rows lose the same; texts of any length are
+taken whole; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from . import _blocks as B
 from . import _text as T
 
-ANCHORS, WINDOWS = 0, 1
-LAST = np.iinfo(np.int64).max
+ANCHORS, WINDOWS = "h long, doc_id long, tag long", "w1 long, w2 long, doc_id long, tag long, pos int"
 
 
 def _chunk(data: np.ndarray, offsets: np.ndarray, window: int):
     """Words, owner of each window start, anchor hashes and each window's least anchor."""
     words = T.Words(data, offsets, T.SPACE_SPLIT)
-    sums = T.prefix(words.hash)
     short = (window + 1) // 2
-    anchors = T.rolling(sums, short)
+    anchors = T.rolling(T.prefix(words.hash), short)
     owner = T.lengths_to_owner(words.counts)
     ends = words.first[1:][owner]
-    at = np.arange(len(owner))
-    inside = at + window <= ends  # window starts that stay in their document
-    fits = (at + short <= ends)[: len(anchors)]
+    inside = np.arange(len(owner)) + window <= ends  # window starts that stay in their document
     least = T.sliding(anchors, window - short + 1, np.minimum)
-    return words, sums, owner, inside, anchors, fits, least
+    return words, owner, inside[: len(least)], least
 
 
-def _ids(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    column = table.column("doc_id")
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    null = np.asarray(column.is_null())
-    return np.asarray(column.cast(pa.int64()).fill_null(LAST)), null
+def _starts(least: np.ndarray, owner: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows, and which of them begin a run of one document with one anchor."""
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return at, at
+    new = (least[at[1:]] != least[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
+    return at, np.flatnonzero(np.append(True, new))
 
 
-def _candidates(least: np.ndarray, inside: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Starts of the windows whose least anchor is among the repeated ones."""
-    if not len(least):
-        return np.empty(0, np.int64)
-    change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    mask = np.repeat(T.found(least[change], hot), np.diff(np.append(change, len(least))))
-    return np.flatnonzero(mask & inside[: len(least)])
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(batch.column("head"))
 
 
-def removal(docs: DataFrame, window: int, schema: pa.Schema, emit: Callable[[pa.RecordBatch, list[list[bytes]], list[np.ndarray]], pa.Table]) -> DataFrame:
+def _number(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.asarray(batch.column(name))
+
+
+def anchors(rows: DataFrame, window: int) -> DataFrame:
+    """(h, doc_id, tag): the anchors of each first copy."""
+
+    def step(batches):
+        for batch, data, offsets in T.chunks(_heads(batches)):
+            _, owner, inside, least = _chunk(data, offsets, window)
+            at, begin = _starts(least, owner, inside)
+            at = at[begin]
+            order = np.lexsort((least[at], owner[at]))
+            doc, h = owner[at][order], least[at][order]
+            new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else order
+            doc, h = doc[new], h[new]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_number(batch, "doc_id")[doc]), pa.array(_number(batch, "tag")[doc])], names=["h", "doc_id", "tag"])
+
+    return rows.mapInArrow(step, ANCHORS)
+
+
+def windows(rows: DataFrame, window: int) -> DataFrame:
+    """(w1, w2, doc_id, tag, pos): digests of the windows whose anchor is among ``hs``."""
+
+    def step(batches):
+        for batch, data, offsets in T.chunks(b.filter(b.column("hs").is_valid()) for b in _heads(batches)):
+            words, owner, inside, least = _chunk(data, offsets, window)
+            hot = np.unique(np.asarray(batch.column("hs").flatten())).view(T.U64)
+            hot.sort()
+            at, begin = _starts(least, owner, inside)
+            at = at[np.repeat(T.found(least[at[begin]], hot), np.diff(np.append(begin, len(at))))]
+            doc = owner[at]
+            raw, named = data.tobytes(), []
+            bounds = np.append(np.flatnonzero(np.append(len(doc) > 0, doc[1:] != doc[:-1])), len(doc)).tolist() if len(doc) else []
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                i = int(doc[lo])
+                own = raw[int(offsets[i]) : int(offsets[i + 1])].split()
+                ends = (np.cumsum([len(w) + 1 for w in own]) - 1).tolist()
+                plain, begins = b" ".join(own), [0, *(x + 1 for x in ends)]
+                named += [T.digest(plain[begins[k] : ends[k + window - 1]]) for k in (at[lo:hi] - words.first[i]).tolist()]
+            two = np.frombuffer(b"".join(named), np.int64).reshape(-1, 2)
+            columns = [np.ascontiguousarray(two[:, 0]), np.ascontiguousarray(two[:, 1]), _number(batch, "doc_id")[doc], _number(batch, "tag")[doc], (at - words.first[doc]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w1", "w2", "doc_id", "tag", "pos"])
+
+    return rows.mapInArrow(step, WINDOWS)
+
+
+def removal(docs: DataFrame, window: int, schema: pa.Schema, emit: Callable[[pa.RecordBatch, list[list[bytes]], list[np.ndarray]], pa.RecordBatch]) -> DataFrame:
     """Applies ``emit`` to the rows, their words and the masks of words to remove."""
-    blocks, buckets, _ = B.layout(docs, 0.02)
-    parts = B.in_blocks(docs, blocks)
-
-    def selected(table: pa.Table):
-        names, vals = [], []
-        for batch, data, offsets in T.chunks(table.combine_chunks().to_batches()):
-            _, _, owner, _, anchors, fits, least = _chunk(data, offsets, window)
-            if not len(least):
-                continue
-            keep = np.flatnonzero(T.minimisers(anchors, window - (window + 1) // 2 + 1) & fits)
-            # once per document: what repeats only inside one document is no candidate
-            own = T.mix(anchors[keep] + T.mix(owner[keep].astype(T.U64) + T.U64(1)))
-            keep = keep[np.unique(own, return_index=True)[1]]
-            names.append(anchors[keep])
-            vals.append(np.ones(len(keep), np.int64))
-        if not names:
-            return np.empty(0, T.U64), np.empty(0, np.int64)
-        return B.distinct(np.concatenate(names), np.concatenate(vals), np.add)
-
-    def anchors(table: pa.Table) -> pa.Table:
-        return B.ask(table.column("blk")[0].as_py(), ANCHORS, *selected(table), buckets)
-
-    def candidates(table: pa.Table, told: pa.Table):
-        """For each chunk: its rows, bytes, offsets, words, and the candidate windows with hashes."""
-        among = B.answered(told, ANCHORS, names=True)
-        for batch, data, offsets in T.chunks(table.combine_chunks().to_batches()):
-            words, sums, owner, inside, _, _, least = _chunk(data, offsets, window)
-            at = _candidates(least, inside, among)
-            yield batch, data, offsets, words, owner, at, T.spans(sums, at, at + window)
-
-    def windows(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return B.ANSWER.empty_table()
-        names, vals = [], []
-        for batch, _, _, _, owner, at, hashes in candidates(table, told):
-            names.append(hashes)
-            vals.append(_ids(batch)[0][owner[at]])
-        return B.ask(table.column("blk")[0].as_py(), WINDOWS, *B.distinct(np.concatenate(names), np.concatenate(vals), np.minimum), buckets)
-
-    def result(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return schema.empty_table()
-        steps = list(candidates(table, told)) if table.nbytes < 4 * B.BLOCK_BYTES else None
-        names = np.unique(np.concatenate([x[-1] for x in steps or candidates(table, told)]))
-        first = B.answered(told, WINDOWS)
-        out = []
-        for batch, data, offsets, words, owner, at, hashes in steps or candidates(table, told):
-            ids, null = _ids(batch)
-            earlier = first[np.searchsorted(names, hashes)] < ids[owner[at]] if len(at) else np.empty(0, bool)
-            earlier &= ~null[owner[at]]
-            gone = T.cover(len(owner), at[earlier], window)
+    if window < 1:
+        raise ValueError("a window has one word at least")
+    key = ["doc_id", "tag"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    rows = rows.withColumn("tag", F.xxhash64(sha))
+    first = rows.filter("doc_id is not null").groupBy(F.unhex(sha).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.first("tag").alias("tag"))
+    # left joins throughout, so that the texts are shuffled once for all uses
+    rows = rows.join(first.select(*key, F.lit(True).alias("head")).distinct(), key, "left").withColumn("head", F.coalesce("head", F.lit(False)))
+
+    every = anchors(rows, window)
+    shared = every.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
+    told = every.join(shared, "h").groupBy(*key).agg(F.collect_list("h").alias("hs"))
+    named = windows(rows.join(told, key, "left"), window)
+    least = named.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("w1", "w2", "first")
+    gone = named.join(least, ["w1", "w2"]).filter("doc_id > first").groupBy(*key).agg(F.collect_list("pos").alias("gone"))
+
+    def result(batches):
+        for batch, data, offsets in T.chunks(batches):
             raw, ends = data.tobytes(), offsets.tolist()
             texts = [raw[a:b].split() for a, b in zip(ends, ends[1:], strict=False)]
-            out.append(emit(batch, texts, np.split(gone, words.first[1:-1])))
-        return pa.concat_tables(out)
+            masks = []
+            for words, head, at, no_id in zip(texts, batch.column("head").to_pylist(), batch.column("gone"), batch.column("doc_id").is_null().to_pylist(), strict=True):
+                copy = not head and not no_id and len(words) >= window
+                masks.append(np.ones(len(words), bool) if copy else T.cover(len(words), np.asarray(at.values) if at.is_valid else np.empty(0, np.int64), window))
+            yield emit(batch, texts, masks)
 
-    asked = B.answers(parts.groupBy("blk").applyInArrow(anchors, B.ASK), np.add, B.repeated_names)
-    more = B.answers(parts.groupBy("blk").cogroup(asked.groupBy("blk")).applyInArrow(windows, B.ASK), np.minimum, B.numbers)
-    return parts.groupBy("blk").cogroup(asked.unionByName(more).groupBy("blk")).applyInArrow(result, from_arrow_schema(schema))
+    return rows.join(gone, key, "left").mapInArrow(result, from_arrow_schema(schema))
 
 
 def _left(texts: list[list[bytes]], masks: list[np.ndarray]) -> list[bytes]:
@@ -129,7 +143,7 @@ def _left(texts: list[list[bytes]], masks: list[np.ndarray]) -> list[bytes]:
 
 
 def _columns(batch: pa.RecordBatch, texts: list[list[bytes]], masks: list[np.ndarray]) -> list[pa.Array]:
-    return [batch.column("doc_id").cast(pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([int(k.sum()) for k in masks], pa.int64())]
+    return [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([int(k.sum()) for k in masks], pa.int64())]
 
 
 _COUNTS = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64())]
@@ -138,10 +152,10 @@ _COUNTS = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int
 def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, text): what is left of each text, joined by spaces."""
     schema = pa.schema([*_COUNTS, ("text", pa.string())])
-    return removal(docs, window, schema, lambda batch, texts, masks: pa.Table.from_arrays([*_columns(batch, texts, masks), pa.array([x.decode() for x in _left(texts, masks)], pa.string())], schema=schema))
+    return removal(docs, window, schema, lambda batch, texts, masks: pa.RecordBatch.from_arrays([*_columns(batch, texts, masks), pa.array([x.decode() for x in _left(texts, masks)], pa.string())], schema=schema))
 
 
 def digests(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), the digest of what ``dedup_substrings`` leaves."""
     schema = pa.schema([*_COUNTS, ("kept_sha256", pa.string())])
-    return removal(docs, window, schema, lambda batch, texts, masks: pa.Table.from_arrays([*_columns(batch, texts, masks), pa.array([T.sha256(x) for x in _left(texts, masks)], pa.string())], schema=schema))
+    return removal(docs, window, schema, lambda batch, texts, masks: pa.RecordBatch.from_arrays([*_columns(batch, texts, masks), pa.array([T.sha256(x) for x in _left(texts, masks)], pa.string())], schema=schema))
