@@ -1,147 +1,275 @@
 """Suffix-array dedup: bytes under strings of ``length`` that start more than once.
 
-In place of a suffix array: the result depends only on which strings of ``length``
-bytes are equal, not on the order of suffixes, so no suffix is sorted and no tie is
-resolved by ranks; 64-bit fingerprints of the strings are counted instead. A cover
-sample of the positions is named first. It is content-defined (the least hash of the
-half-length strings inside each window; any two equal windows hold an equal sampled
-position, as with a cover modulo v, at 2 % of the positions). A window whose sample
-occurs once can have no equal elsewhere and is never sent; the fingerprints of the
-others are counted bucket by bucket, a bucket being a range of them. Equality is by
-fingerprint alone. Memory is bounded by a block and a bucket, whatever the text holds.
+Suffixes are sorted to a depth of ``length``, bucket by bucket, with ties resolved by
+ranks of a cover sample. The sample is content-defined in place of modulo v: each
+window of ``length`` bytes holds the sample position that has the least hash of
+half-length strings in it, so equal windows hold it at the same offset, which makes
+ranks usable as sort keys. A sample string that occurs once rules out all windows
+around it; these are never sent. For the others, a *context* (sample string, and
+what its windows reach to either side) goes to a bucket of the sample strings.
+There the contexts are sorted by what follows the sample's start and by what
+precedes it, read backwards; common prefixes of neighbours turn the two orders into
+ranks to any depth. The windows that start d bytes before their sample are one suffix bucket after
+the other (d = 0, 1, ...): equal ones have an equal left rank to depth d and right
+rank to depth ``length`` - d, both compared on the bytes themselves, so no hash
+decides. Where one sample string has more than ``HEAVY`` contexts (a sentence that is everywhere), its windows
+are grouped by 128-bit digests instead, each on its own, so that no bucket grows with the
+input. Memory is bounded by a block of text and a bucket.
 
 Equal texts form a class of which one member stands for all, with weight two.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep all;
-repeated rows count as elsewhere; ids, null or equal, play no part; further
-columns are ignored.
+repeated rows count as elsewhere; ids, null or equal, play no part; long texts are
+taken in overlapping pieces; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from . import _blocks as B
 from . import _text as T
 
-SAMPLE, SUFFIXES, COPIES = 0, 1, 2
+#: Occurrences of a sample string from which its windows go alone, and bytes of text that a bucket is laid out for.
+HEAVY, BUCKET_TEXT = 8192, 16 << 20
+#: Bits of a position in a piece of text; the others are the hash by which a sample is least.
+PLACE = 22
+#: What comes back to a block: by kind, a copied text (h, g) and whether it stands for all; a sample string's name and count; a context's number and its repeated windows; a digest of a repeated window.
+TOLD = "blk int, kind int, one long, two long, bits binary"
+COPIES, SAMPLES, CONTEXTS, WINDOWS = range(4)
 
 
 def _copies(parts: DataFrame) -> DataFrame:
-    """As answers to each block: the texts that occur more than once, and where one stands for them."""
-    here = parts.groupBy("h", "g", "blk").agg(F.count("*").alias("n"))
-    classes = here.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("blk").alias("at")).filter("n > 1")
-    return here.drop("n").join(classes.drop("n"), ["h", "g"]).select(F.expr("blk + 0").alias("blk"), (F.col("blk") == F.col("at")).cast("int").alias("bucket"), F.lit(COPIES).alias("kind"), F.col("h").cast("string").cast("binary").alias("names"), F.col("g").cast("string").cast("binary").alias("vals"))
-
-
-def _roles(table: pa.Table, told: pa.Table) -> np.ndarray:
+    """For each block the texts that occur more than once, and where one stands for them."""
+    here = parts.groupBy("sha", "blk").agg(F.count("*").alias("n"))
+    classes = here.groupBy("sha").agg(F.sum("n").alias("n"), F.min("blk").alias("at")).filter("n > 1")
+    found = here.drop("n").join(classes.drop("n"), "sha")
+    return found.select(F.expr("blk + 0").alias("blk"), F.lit(COPIES).alias("kind"), (F.col("blk") == F.col("at")).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.col("sha").alias("bits"))
+
+
+class _Told:
+    """What a block was told."""
+
+    def __init__(self, told: pa.Table):
+        kind = np.asarray(told.column("kind"))
+        one, two, bits = (told.column(c).to_numpy(zero_copy_only=False) for c in ("one", "two", "bits"))
+        self.copies = dict(zip(bits[kind == COPIES].tolist(), one[kind == COPIES].tolist(), strict=True))
+        at = np.flatnonzero(kind == SAMPLES)
+        at = at[np.argsort(one[at].view(T.U64))]
+        self.samples, self.counts = one[at].view(T.U64), two[at]
+        self.contexts = dict(zip(one[kind == CONTEXTS].tolist(), bits[kind == CONTEXTS].tolist(), strict=True))
+        self.windows = set(bits[kind == WINDOWS].tolist())
+
+    def count(self, names: np.ndarray) -> np.ndarray:
+        """How often each sample string occurs, or 0 if once."""
+        if not len(self.samples):
+            return np.zeros(len(names), np.int64)
+        at = np.minimum(np.searchsorted(self.samples, names), len(self.samples) - 1)
+        return np.where(self.samples[at] == names, self.counts[at], 0)
+
+
+def _roles(table: pa.Table, copies: dict[bytes, int]) -> np.ndarray:
     """For each row: 0 a text of its own, 1 stands for its copies, 2 one of those."""
-    of = {(h.as_py(), g.as_py()): b.as_py() for h, g, b, k in zip(*(told.column(c) for c in ("names", "vals", "bucket", "kind")), strict=True) if k.as_py() == COPIES}
-    out = np.zeros(table.num_rows, np.int8)
-    if of:
-        for i, key in enumerate(zip(table.column("h").to_pylist(), table.column("g").to_pylist(), strict=True)):
-            key = tuple(str(x).encode() for x in key)
-            if key in of:
-                out[i] = 1 if of[key] else 2
-                of[key] = 0
+    out, stands = np.zeros(table.num_rows, np.int8), dict(copies)
+    for i, sha in enumerate(table.column("sha").to_pylist() if copies else ()):
+        if sha in stands:
+            out[i] = 1 if stands[sha] else 2
+            stands[sha] = 0
     return out
 
 
-def _steps(table: pa.Table, told: pa.Table, length: int):
-    """For each chunk: rows, bytes, offsets, roles, sums, owner, and the least sample of each window."""
-    roles, row = _roles(table, told), 0
+def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Where each piece begins, its bytes, and its offsets; a long text is cut so that each window is in one piece."""
+    step = T.CHUNK
+    if len(data) <= step:
+        yield 0, data, offsets
+        return
+    for lo, hi in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+        for at in range(lo, max(lo + 1, hi - length + 1), step):
+            piece = data[at : min(hi, at + step + length - 1)]
+            yield at, piece, np.array([0, len(piece)])
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray, skip: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one sample: first and last window, the sample's place, its name, its text; ``skip``: texts to leave out."""
+    short = (length + 1) // 2
+    names = T.rolling(T.byte_sums(data), short)
+    if len(data) < length:
+        return (np.empty(0, np.int64),) * 3 + (names[:0], np.empty(0, np.int64))
+    keys = (names >> T.U64(PLACE) << T.U64(PLACE)) | np.arange(len(names), dtype=T.U64)  # the leftmost of equal ones
+    sample = (T.sliding(keys, length - short + 1, np.minimum) & T.U64((1 << PLACE) - 1)).astype(np.int64)
+    owner = T.lengths_to_owner(np.diff(offsets))[: len(sample)]
+    at = np.flatnonzero((np.arange(len(sample)) + length <= offsets[1:][owner]) & ~skip[owner])
+    if not len(at):
+        return at, at, at, names[:0], at
+    new = np.append(True, (sample[at[1:]] != sample[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]]))
+    begin = np.flatnonzero(new)
+    first = at[begin]
+    last = at[np.append(begin[1:], len(at)) - 1]
+    return first, last, sample[first], names[sample[first]], owner[first]
+
+
+def _steps(table: pa.Table, copies: dict[bytes, int], length: int):
+    """For each chunk: rows, bytes, offsets, roles, and an iterator over pieces with their runs and the weight of each."""
+    roles, row = _roles(table, copies), 0
+
+    def over(data, offsets, role):
+        for base, piece, ends in _pieces(data, offsets, length):
+            own = role if len(ends) == len(offsets) else role[np.searchsorted(offsets, base, "right") - 1][None]
+            first, last, at, names, doc = _runs(piece, ends, own > 1, length)
+            yield base, piece, first, last, at, names, 1 + own[doc].astype(np.int64)
+
     for batch, data, offsets in T.chunks(table.combine_chunks().to_batches()):
         role = roles[row : row + batch.num_rows]
         row += batch.num_rows
-        yield batch, data, offsets, role, T.lengths_to_owner(np.diff(offsets))
+        yield batch, data, offsets, role, over(data, offsets, role)
+
+
+def _contexts(steps, told: _Told, length: int):
+    """Each run that may repeat: its chunk's bytes, base, first and last window, whether its windows go alone, weight, context and lead."""
+    for _, _, _, _, pieces in steps:
+        yield from _hot(pieces, told, length)
+
+
+def _hot(pieces, told: _Told, length: int):
+    for base, piece, first, last, at, names, weight in pieces:
+        count = told.count(names)
+        hot = np.flatnonzero(count)
+        raw = piece.tobytes() if len(hot) else b""
+        for a, z, s, h, w, n in zip(first[hot].tolist(), last[hot].tolist(), at[hot].tolist(), names[hot].view(np.int64).tolist(), weight[hot].tolist(), count[hot].tolist(), strict=True):
+            yield base + a, base + z, n > HEAVY, h, w, raw[a : z + length], s - a
+
+
+def ranked(table: pa.Table, length: int) -> list[bytes]:
+    """For each context the bits of its windows that repeat among the contexts."""
+    short = (length + 1) // 2
+    reach = length - short
+    n, raw = table.num_rows, table.column("context").to_pylist()
+    lead, weight = (np.asarray(table.column(c)).astype(np.int64) for c in ("lead", "weight"))
+    size = np.array([len(x) for x in raw])
+    last = size - length  # the last window, from the context's start
+    grid = np.zeros((n, reach + length), np.uint8)
+    for i, (x, k) in enumerate(zip(raw, lead.tolist(), strict=True)):
+        grid[i, reach - k : reach - k + len(x)] = np.frombuffer(x, np.uint8)
+
+    def order(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the rows, and the bytes each has in common with the one before it."""
+        side = np.ascontiguousarray(side)
+        by = np.argsort(side.view(f"S{side.shape[1]}").ravel(), kind="stable")
+        common = np.zeros(n, np.int64)
+        for lo in range(1, n, 1 << 14):
+            unlike = side[by[lo : lo + (1 << 14)]] != side[by[lo - 1 : lo - 1 + min(1 << 14, n - lo)]]
+            common[lo : lo + (1 << 14)] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), side.shape[1])
+        return by, common
+
+    right, right_common = order(grid[:, reach:])
+    left, left_common = order(grid[:, reach - 1 :: -1] if reach else np.zeros((n, 1), np.uint8))
+    twice = np.zeros((n, reach + 1), bool)
+    rank = np.empty((2, n), np.int64)
+    for d in range(reach + 1):  # windows that start d bytes before their sample
+        own = np.flatnonzero((lead >= d) & (lead - last <= d))
+        if not len(own):
+            continue
+        rank[0, left] = np.cumsum(left_common < d)
+        rank[1, right] = np.cumsum(right_common < length - d)
+        key = rank[0, own] * (n + 1) + rank[1, own]
+        by = np.argsort(key)
+        begin = np.flatnonzero(np.append(True, key[by[1:]] != key[by[:-1]]))
+        total = np.add.reduceat(weight[own[by]], begin)
+        twice[own[by], d] = np.repeat(total > 1, np.diff(np.append(begin, len(by))))
+    return [np.packbits(twice[i, k - z : k + 1][::-1]).tobytes() if twice[i].any() else b"" for i, (k, z) in enumerate(zip(lead.tolist(), last.tolist(), strict=True))]
 
 
 def removal(docs: DataFrame, length: int, schema: pa.Schema, emit: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.Table]) -> DataFrame:
     """Applies ``emit`` to rows, their bytes, offsets and the mask of bytes to remove."""
-    blocks, buckets, _ = B.layout(docs, 0.2)
-    parts = B.in_blocks(docs, blocks, F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
-    short = (length + 1) // 2
-    width = length - short + 1
+    blocks, total = B.layout(docs)
+    buckets = max(ceil(total / BUCKET_TEXT), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = B.in_blocks(docs, blocks, F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("sha"))
+    sent = pa.schema([("blk", pa.int32()), ("h", pa.int64()), ("number", pa.int64()), ("lead", pa.int32()), ("weight", pa.int64()), ("context", pa.binary())])
 
     def sample(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return B.ANSWER.empty_table()
-        found = [np.empty(0, T.U64)]
-        for _, data, offsets, role, owner in _steps(table, told, length):
-            names = T.rolling(T.byte_sums(data), short)
-            at = np.flatnonzero(T.minimisers(names, width))
-            at = at[(at + short <= offsets[1:][owner[at]]) & (role[owner[at]] < 2)]
-            found.append(names[at])
-        names = np.concatenate(found)
-        return B.ask(table.column("blk")[0].as_py(), SAMPLE, *B.distinct(names, np.ones(len(names), np.int64), np.add), buckets)
-
-    def candidates(table: pa.Table, told: pa.Table):
-        hot = B.answered(told, SAMPLE, names=True)
-        for batch, data, offsets, role, owner in _steps(table, told, length):
-            sums = T.byte_sums(data)
-            least = T.sliding(T.rolling(sums, short), width, np.minimum)
-            if len(least):
-                change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                mask = np.repeat(T.found(least[change], hot), np.diff(np.append(change, len(least))))
-                del least
-                at = np.flatnonzero(mask)
-                own = owner[at]
-                at = at[(at + length <= offsets[1:][own]) & (role[own] < 2)]
-            else:
-                at = np.empty(0, np.int64)
-            yield batch, data, offsets, role, owner, at, T.spans(sums, at, at + length)
+            return B.COUNTS.empty_table()
+        names = [np.repeat(names, weight) for *_, pieces in _steps(table, _Told(told).copies, length) for *_, names, weight in pieces]
+        return B.counts(table.column("blk")[0].as_py(), np.concatenate([np.empty(0, T.U64), *names]))
 
-    def suffixes(table: pa.Table, told: pa.Table) -> pa.Table:
+    def contexts(table: pa.Table, told: pa.Table) -> pa.Table:
+        """The block's distinct contexts, numbered, and the digests of windows that go alone."""
         if not table.num_rows:
-            return B.ANSWER.empty_table()
-        names, vals = [], []
-        for _, _, _, role, owner, at, hashes in candidates(table, told):
-            names.append(hashes)
-            vals.append(1 + role[owner[at]].astype(np.int64))
-        return B.ask(table.column("blk")[0].as_py(), SUFFIXES, *B.distinct(np.concatenate(names), np.concatenate(vals), np.add), buckets)
+            return sent.empty_table()
+        known, named, alone = _Told(told), {}, {}
+        for _, _, heavy, h, weight, context, lead in _contexts(_steps(table, known.copies, length), known, length):
+            if heavy:
+                for k in range(len(context) - length + 1):
+                    x = T.digest(context[k : k + length])
+                    alone[x] = min(2, alone.get(x, 0) + weight)
+            else:
+                had = named.setdefault((context, lead), [h, 0])
+                had[1] = min(2, had[1] + weight)
+        n, m = len(named), len(alone)
+        columns = [
+            [table.column("blk")[0].as_py()] * (n + m), [x[0] for x in named.values()] + [None] * m, [*range(n)] + [None] * m,
+            [k[1] for k in named] + [None] * m, [x[1] for x in named.values()] + [*alone.values()], [k[0] for k in named] + [*alone],
+        ]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, sent, strict=True)], schema=sent)
+
+    def bucket(table: pa.Table) -> pa.Table:
+        bits = ranked(table, length)
+        out = pa.table({"blk": table.column("blk"), "kind": pa.array([CONTEXTS] * table.num_rows, pa.int32()), "one": table.column("number"), "two": pa.array([0] * table.num_rows, pa.int64()), "bits": pa.array(bits, pa.binary())})
+        return out.filter(pa.array([bool(x) for x in bits]))
 
     def result(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
-        kept = [(at, hashes) for *_, at, hashes in candidates(table, told)]
-        names, place = np.unique(np.concatenate([x[1] for x in kept]), return_inverse=True)
-        twice = B.answered(told, SUFFIXES, bits=True)[place]
-        del names, place
-        out, done = [], 0
-        for (batch, data, offsets, role, owner), (at, _) in zip(_steps(table, told, length), kept, strict=True):
-            gone = T.cover(len(data), at[twice[done : done + len(at)]], length)
-            done += len(at)
-            gone |= ((role > 0) & (np.diff(offsets) >= length))[owner]
+        known, numbers, out = _Told(told), {}, []
+        for batch, data, offsets, role, pieces in _steps(table, known.copies, length):
+            marks = []
+            for first, last, heavy, _, _, context, lead in _hot(pieces, known, length):
+                if heavy:
+                    marks += [first + k for k in range(len(context) - length + 1) if T.digest(context[k : k + length]) in known.windows]
+                elif bits := known.contexts.get(numbers.setdefault((context, lead), len(numbers))):
+                    marks += (first + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=last - first + 1))).tolist()
+            gone = T.cover(len(data), np.array(marks, np.int64), length)
+            for i in np.flatnonzero((role > 0) & (np.diff(offsets) >= length)).tolist():
+                gone[offsets[i] : offsets[i + 1]] = True
             out.append(emit(batch, data, offsets, gone))
         return pa.concat_tables(out)
 
-    copies = _copies(parts)
-    text = parts.groupBy("blk")
-    first = B.answers(text.cogroup(copies.groupBy("blk")).applyInArrow(sample, B.ASK), np.add, B.repeated_names).unionByName(copies)
-    second = B.answers(text.cogroup(first.groupBy("blk")).applyInArrow(suffixes, B.ASK), np.add, B.repeated_bits).unionByName(first)
-    return text.cogroup(second.groupBy("blk")).applyInArrow(result, from_arrow_schema(schema))
+    text, copies = parts.groupBy("blk"), _copies(parts)
+    asked = text.cogroup(copies.groupBy("blk")).applyInArrow(sample, B.ASKED)
+    samples = B.repeated(asked).select("blk", F.lit(SAMPLES).alias("kind"), F.col("name").alias("one"), F.col("total").alias("two"), F.lit(None).cast("binary").alias("bits"))
+    told = copies.unionByName(samples)
+    found = text.cogroup(told.groupBy("blk")).applyInArrow(contexts, from_arrow_schema(sent))
+    dealt = found.filter("h is not null").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    light = dealt.groupBy("bucket").applyInArrow(bucket, TOLD)
+    every = W.partitionBy("context")
+    heavy = found.filter("h is null").select("blk", "context", F.sum("weight").over(every).alias("n")).filter("n > 1")
+    heavy = heavy.select("blk", F.lit(WINDOWS).alias("kind"), F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.col("context").alias("bits"))
+    return text.cogroup(told.unionByName(light).unionByName(heavy).groupBy("blk")).applyInArrow(result, from_arrow_schema(schema))
 
 
 def _counts(offsets: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes and removed bytes of each row, and where maximal removed runs start."""
-    total = np.append(0, np.cumsum(gone))[offsets]
-    starts = gone.copy()
-    starts[1:] &= ~gone[:-1]
-    inner = offsets[(offsets > 0) & (offsets < len(gone))]
-    starts[inner] = gone[inner]
-    return np.diff(offsets), np.diff(total), starts
+    """Bytes, removed bytes and maximal removed runs of each row."""
+    removed, spans = [], []
+    for lo, hi in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+        own = gone[lo:hi]
+        removed.append(int(np.count_nonzero(own)))
+        spans.append(int(np.count_nonzero(own[1:] & ~own[:-1])) + int(own[0]) if removed[-1] else 0)
+    return np.diff(offsets), np.array(removed, np.int64), np.array(spans, np.int64)
 
 
-def _kept(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> list[bytes]:
-    left = data[~gone].tobytes() if gone.any() else data.tobytes()
-    ends = (offsets - np.append(0, np.cumsum(gone))[offsets]).tolist()
-    return [left[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+def _kept(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> Iterator[bytes]:
+    """What is left of each row."""
+    for lo, hi in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+        yield data[lo:hi][~gone[lo:hi]].tobytes()
 
 
 def dedup_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -160,8 +288,7 @@ def digests(docs: DataFrame, length: int = 200) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def emit(batch, data, offsets, gone):
-        sizes, removed, starts = _counts(offsets, gone)
-        spans = np.diff(np.append(0, np.cumsum(starts))[offsets])
-        return pa.Table.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(removed), pa.array(spans), pa.array([T.sha256(x) for x in _kept(data, offsets, gone)])], schema=schema)
+        sizes, removed, spans = _counts(offsets, gone)
+        return pa.Table.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(removed), pa.array(spans), pa.array([T.sha256(x) for x in _kept(data, offsets, gone)], pa.string())], schema=schema)
 
     return removal(docs, length, schema, emit)
