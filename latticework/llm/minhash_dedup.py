@@ -7,7 +7,8 @@ that can reach ``matches`` equal coordinates share one of their
 class has needs no posting (skip), so a text without relatives posts nothing.
 The values' frequencies come from the packed exchange in ``_blocks``.
 
-Groups under one value are never turned into all of their pairs. Signatures alone
+Groups under one value are never turned into all of their pairs; a large one is
+posted again within itself, under the values that are rarest there. Signatures alone
 first give families, closed under pairs with ``matches`` equal coordinates: each
 member meets one leader of its group, then tiles of bounded size compare what is
 still apart and return spanning links. Within a family, tiles do the same with
@@ -25,8 +26,6 @@ is in its component but never its smallest id, unless there is no other.
 
 from __future__ import annotations
 
-from math import ceil
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,10 +40,10 @@ from ._shared import kept
 
 COORDINATES, MATCHES, TILE, LEADS = 64, 36, 1024, 8
 TOKENS = 0
-#: Most bits of the filter in front of the join with texts (8 MB), and what stands for a null id in it.
-FILTER_BITS, NO_ID = 1 << 26, np.iinfo(np.int64).min
+#: Most bits of the filter in front of the join with texts (32 MB), and what stands for a null id in it.
+FILTER_BITS, NO_ID = 1 << 28, np.iinfo(np.int64).min
 _FACTORS = np.random.default_rng(0xC0FFEE).integers(0, 1 << 64, COORDINATES, dtype=np.uint64) | T.U64(1)
-SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("cls", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +57,8 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndar
     return T.spans(sums, start, end) + (end - start).astype(T.U64), first
 
 
-def _class(distinct: np.ndarray) -> int:
-    total = T.mix(np.array([np.sum(T.mix(distinct), dtype=T.U64) + T.U64(len(distinct))], T.U64))
-    return int(total.view(np.int64)[0])
-
-
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, h, cls, n_shingles, sig) for each row; h of the text, cls null for empty sets."""
+    """(doc_id, h, digest, n_shingles, sig) for each row; h of the text, digest of its set, null if empty."""
 
     def sign(batches):
         for batch, data, offsets in T.chunks(batches):
@@ -77,10 +71,10 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     sig[:, k] = np.minimum.reduceat((hashes * factor) >> T.U64(32), at)
             ends = first.tolist()
             sets = [np.unique(hashes[ends[i] : ends[i + 1]]) for i in full.tolist()]
-            cls, size, sigs = [None] * batch.num_rows, [0] * batch.num_rows, [None] * batch.num_rows
+            digest, size, sigs = [None] * batch.num_rows, [0] * batch.num_rows, [None] * batch.num_rows
             for j, i in enumerate(full.tolist()):
-                cls[i], size[i], sigs[i] = _class(sets[j]), len(sets[j]), sig[j].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("h"), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(sigs, pa.binary())], schema=SIGNED)
+                digest[i], size[i], sigs[i] = T.digest(sets[j].tobytes()), len(sets[j]), sig[j].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("h"), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(sigs, pa.binary())], schema=SIGNED)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(sign, from_arrow_schema(SIGNED))
 
@@ -138,10 +132,9 @@ def _skipping(docs: DataFrame, heads: DataFrame) -> DataFrame:
             at = np.concatenate(_bits(np.asarray(batch.column("head").fill_null(NO_ID)), size))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.left_shift(1, at & 31))], names=["word", "bits"])
 
-    rows = heads.select("head").mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()  # FILTER_BITS / 32 at most
+    rows = heads.select("head").mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS / 32 at most
     filled = np.zeros(size // 32 + 1, np.uint32)
-    for r in rows:
-        filled[r.word] = r.bits
+    filled[np.asarray(rows.column("word"))] = np.asarray(rows.column("bits"))
     shared = docs.sparkSession.sparkContext.broadcast(filled)
 
     def may(batches):
@@ -154,21 +147,21 @@ def _skipping(docs: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, heads: DataFrame, shingle: int) -> DataFrame:
-    """``heads`` (head, cls, ...) without head and with shingles, from the text of the heads."""
+    """``heads`` (head, digest, ...) without these two and with shingles, from the text of the heads."""
     schema = from_arrow_schema(pa.schema([("shingles", pa.binary())]))
-    carried = [f for f in heads.schema.fields if f.name != "head"]
+    carried = [f for f in heads.schema.fields if f.name not in ("head", "digest")]
 
     def build(batches):
         for batch, data, offsets in T.chunks(batches):
             hashes, first = _shingles(data, offsets, shingle)
             ends, sets = first.tolist(), []
-            for i, want in enumerate(batch.column("cls").to_pylist()):
+            for i, want in enumerate(batch.column("digest").to_pylist()):
                 own = np.unique(hashes[ends[i] : ends[i + 1]])
-                sets.append(B.rising(own) if len(own) and _class(own) == want else None)
-            out = batch.drop_columns(["text"]).append_column("shingles", pa.array(sets, pa.binary()))
+                sets.append(B.rising(own) if len(own) and T.digest(own.tobytes()) == want else None)
+            out = batch.drop_columns(["text", "digest"]).append_column("shingles", pa.array(sets, pa.binary()))
             yield out.filter(out.column("shingles").is_valid())
 
-    joined = _skipping(docs, heads).join(heads, F.col("doc_id").eqNullSafe(F.col("head"))).select("text", *[f.name for f in carried])
+    joined = _skipping(docs, heads).join(heads, F.col("doc_id").eqNullSafe(F.col("head"))).select("text", "digest", *[f.name for f in carried])
     return joined.mapInArrow(build, StructType([*carried, *schema.fields]))
 
 
@@ -236,25 +229,59 @@ def _starred(led: DataFrame) -> DataFrame:
     return own.select(F.explode(links).alias("e")).select("e.a", "e.b").distinct()
 
 
+def _meeting(members: DataFrame, group: str) -> DataFrame:
+    """``members`` (group, cls, comp, ...) dealt to tiles (group, chunk, tile, side) in which all pairs of different components meet.
+
+    Members of a group's largest component (side 2) don't meet each other, only the others
+    (side 1, in chunks); these meet each other as side 2 too. A group that one
+    component has for the most part takes few tiles.
+    """
+    counts = members.groupBy(group, "comp").count()
+    tops = counts.groupBy(group).agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.sum("count").alias("n"), F.max("count").alias("most")).filter("n > most")
+    sizes = tops.select(group, "top", F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("tiles"), F.ceil((F.col("n") - F.col("most")) / F.lit(TILE)).cast("int").alias("chunks"))
+    rows = members.join(sizes, group)
+    tile, chunk = (F.pmod(F.xxhash64("cls"), F.col(c)).cast("int") for c in ("tiles", "chunks"))
+    few = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(chunk.alias("chunk"), t.alias("tile"), F.lit(1).alias("side")))
+    many = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), tile.alias("tile"), F.lit(2).alias("side")))
+    places = F.when(F.col("comp") == F.col("top"), many).otherwise(F.concat(few, many))
+    return rows.withColumn("place", F.explode(places)).select(*members.columns, "place.chunk", "place.tile", "place.side")
+
+
+def _refined(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (token, cls, comp) of large groups in smaller ones.
+
+    Posted again within their group, under the values that are rarest there: two
+    members with enough equal coordinates share one of these as well.
+    """
+
+    def values(batches):
+        for batch in batches:
+            names = _tokens(batch.column("sig").to_pylist())
+            wide = [np.repeat(np.asarray(batch.column(c)), COORDINATES) for c in ("token", "cls", "comp")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (wide[0], names.ravel().view(np.int64), wide[1], wide[2])], names=["token", "value", "cls", "comp"])
+
+    every = members.join(classes.select("cls", "sig"), "cls").select("token", "cls", "comp", "sig").mapInArrow(values, "token long, value long, cls long, comp long")
+    often = every.groupBy("token", "value").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("token", "cls").orderBy("n", "value"))
+    rarest = every.join(often, ["token", "value"]).withColumn("rank", rank).filter((F.col("rank") <= COORDINATES - MATCHES + 1) & (F.col("n") > 1))
+    return rarest.select(F.xxhash64("token", "value").alias("token"), "cls", "comp")
+
+
 def _across(posted: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of one group in different components with enough equal coordinates, found in tiles."""
     members = posted.join(comps, "cls")
-    groups = members.groupBy("token").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    tiles = F.ceil(F.col("f") / F.lit(TILE)).cast("int")
-    members = members.join(groups.select("token", tiles.alias("tiles")), "token").join(classes.select("cls", "sig"), "cls")
-    own = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    members = members.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "cls", "comp", "sig")
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    sizes = members.groupBy("token", "comp").count().groupBy("token").agg((F.sum("count") - F.max("count")).alias("few")).filter("few > 0")
+    members = members.join(sizes, "token")
+    large = F.col("few") > 4 * TILE
+    dealt = members.filter(~large).drop("few").unionByName(_refined(members.filter(large).drop("few"), classes))
+    dealt = _meeting(dealt, "token").join(classes.select("cls", "sig"), "cls")
 
     def compare(table: pa.Table) -> pa.Table:
-        cls, comp = (np.asarray(table.column(c).combine_chunks()) for c in ("cls", "comp"))
+        cls, comp, side = (np.asarray(table.column(c).combine_chunks()) for c in ("cls", "comp", "side"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        left = np.asarray(table.column("left").combine_chunks())
-        inner = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        return _spanning(cls, comp, sig, None if inner else left, None)
+        return _spanning(cls, comp, sig, side, None)
 
-    return members.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("token", "chunk", "tile").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _spanning(cls: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray | None, sure) -> pa.Table:
@@ -334,17 +361,10 @@ def _family_links(docs: DataFrame, family: DataFrame, classes: DataFrame, shingl
     links = kept(_links(rows, ["fam", "tile"], percent))
     comps = _joined(alone, links)
     # families of several tiles: what is outside the largest component meets all others
-    wide = family.join(sizes.filter("tiles > 1"), "fam").join(comps, "cls")
+    wide = family.join(sizes.filter("tiles > 1"), "fam").join(comps, "cls").select("cls", "fam", "comp")
     if wide.isEmpty():
         return comps
-    largest = wide.groupBy("fam", "comp").count().groupBy("fam").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.sum("count").alias("n"))
-    wide = wide.join(largest, "fam")
-    chunks = wide.filter("comp <> top").groupBy("fam").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("chunks"))
-    wide = wide.join(chunks, "fam")
-    chunk = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
-    few = wide.filter("comp <> top").select("fam", "cls", "comp", F.lit(1).alias("side"), chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    many = wide.select("fam", "cls", "comp", F.lit(2).alias("side"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), tile.alias("tile"))
-    rows = few.union(many).join(full.select("cls", "sig", "shingles"), "cls")
+    rows = _meeting(wide, "fam").join(full.select("cls", "sig", "shingles"), "cls")
     more = _links(rows, ["fam", "chunk", "tile"], percent)
     for side in "ab":  # between components, not their members: few are left
         more = more.join(comps.toDF(side, f"{side}_comp"), side)
@@ -355,11 +375,10 @@ def _family_links(docs: DataFrame, family: DataFrame, classes: DataFrame, shingl
 def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(doc_id, h, n_shingles, comp, component_id) for each row; h is the text's xxhash64, comp null where the set is empty."""
     signed = kept(signatures(docs, shingle))
-    classes = signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("head"), F.first("sig").alias("sig"))
-    classes = kept(classes)
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(least, ceil(classes.count() * COORDINATES / B.BUCKET_NAMES))
-    posted = postings(classes, blocks, min(blocks, B.MAX_BUCKETS))
+    classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("head"), F.first("sig").alias("sig"))
+    classes = kept(classes.withColumn("cls", F.monotonically_increasing_id()))  # as written, so each class has one number
+    buckets = B.buckets(classes, classes.count() * COORDINATES)
+    posted = postings(classes, buckets, buckets)
     posted = kept(posted)
     # families: closed under likely pairs, found by signature alone
     apart = kept(posted.select("cls").distinct().withColumn("comp", F.col("cls")))
@@ -375,11 +394,11 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     several = families.groupBy("comp").count().filter("count > 1").select("comp")
     family = kept(families.join(several, "comp").select("cls", F.col("comp").alias("fam")))
     comps = _family_links(docs, family, likely_classes, shingle, percent)
-    placed = classes.select("cls", "head").join(comps, "cls", "left").select("cls", "head", F.coalesce("comp", "cls").alias("comp"))
+    placed = classes.select("cls", "digest", "head").join(comps, "cls", "left").select("digest", "head", F.coalesce("comp", "cls").alias("comp"))
     ids = placed.groupBy("comp").agg(F.min("head").alias("component_id"))
-    found = placed.join(ids, "comp").select("cls", "comp", "component_id")
-    out = signed.select("doc_id", "h", "cls", "n_shingles").join(found, "cls", "left")
-    out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    found = placed.join(ids, "comp").select("digest", "comp", "component_id")
+    out = signed.select("doc_id", "h", "digest", "n_shingles").join(found, "digest", "left")
+    out = out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "h", "n_shingles", "comp", "component_id")
 
 
