@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from . import _text as T
+from ._shared import kept
 
-ANCHORS, WINDOWS = "h long, doc_id long, tag long", "w1 long, w2 long, doc_id long, tag long, pos int"
+ANCHORS, WINDOWS = "doc_id long, tag long, sha binary, hs array<long>", "w1 long, w2 long, doc_id long, tag long, pos int"
 
 
 def _chunk(data: np.ndarray, offsets: np.ndarray, window: int):
@@ -63,21 +64,21 @@ def _number(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return np.asarray(batch.column(name))
 
 
-def anchors(rows: DataFrame, window: int) -> DataFrame:
-    """(h, doc_id, tag): the anchors of each first copy."""
+def anchors(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, tag, sha, hs): the distinct anchors of each row with an id."""
 
     def step(batches):
-        for batch, data, offsets in T.chunks(_heads(batches)):
+        for batch, data, offsets in T.chunks(batches):
             _, owner, inside, least = _chunk(data, offsets, window)
             at, begin = _starts(least, owner, inside)
-            at = at[begin]
-            order = np.lexsort((least[at], owner[at]))
-            doc, h = owner[at][order], least[at][order]
+            doc, h = owner[at[begin]], least[at[begin]]
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
             new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else order
-            doc, h = doc[new], h[new]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_number(batch, "doc_id")[doc]), pa.array(_number(batch, "tag")[doc])], names=["h", "doc_id", "tag"])
+            ends = np.searchsorted(doc[new], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tag", "sha")), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[new].view(np.int64)))], names=["doc_id", "tag", "sha", "hs"])
 
-    return rows.mapInArrow(step, ANCHORS)
+    return docs.mapInArrow(step, ANCHORS)
 
 
 def windows(rows: DataFrame, window: int) -> DataFrame:
@@ -112,15 +113,15 @@ def removal(docs: DataFrame, window: int, schema: pa.Schema, emit: Callable[[pa.
         raise ValueError("a window has one word at least")
     key = ["doc_id", "tag"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sha = F.sha2(F.col("text").cast("binary"), 256)
-    rows = rows.withColumn("tag", F.xxhash64(sha))
-    first = rows.filter("doc_id is not null").groupBy(F.unhex(sha).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.first("tag").alias("tag"))
-    # left joins throughout, so that the texts are shuffled once for all uses
-    rows = rows.join(first.select(*key, F.lit(True).alias("head")).distinct(), key, "left").withColumn("head", F.coalesce("head", F.lit(False)))
-
-    every = anchors(rows, window)
+    rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256))).withColumn("tag", F.xxhash64("sha"))
+    # packed and written, so that no text is read twice for what is counted and then asked
+    every = kept(anchors(rows.filter("doc_id is not null"), window))
+    first = every.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("tag").alias("tag")).select(*key).distinct()
+    every = every.join(first, key).select(F.explode("hs").alias("h"), *key)
     shared = every.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
     told = every.join(shared, "h").groupBy(*key).agg(F.collect_list("h").alias("hs"))
+    # left joins, so that the texts are shuffled once for all uses
+    rows = rows.drop("sha").join(first.withColumn("head", F.lit(True)), key, "left").withColumn("head", F.coalesce("head", F.lit(False)))
     named = windows(rows.join(told, key, "left"), window)
     least = named.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("w1", "w2", "first")
     gone = named.join(least, ["w1", "w2"]).filter("doc_id > first").groupBy(*key).agg(F.collect_list("pos").alias("gone"))

@@ -12,7 +12,7 @@ precedes it, read backwards; common prefixes of neighbours turn the two orders i
 ranks to any depth. The windows that start d bytes before their sample are one suffix bucket after
 the other (d = 0, 1, ...): equal ones have an equal left rank to depth d and right
 rank to depth ``length`` - d, both compared on the bytes themselves, so no hash
-decides. Where one sample string has more than ``HEAVY`` contexts (a sentence that is everywhere), its windows
+decides. Where one sample string occurs more than ``heavy`` times (a sentence that is everywhere), its windows
 are grouped by 128-bit digests instead, each on its own, so that no bucket grows with the
 input. Memory is bounded by a block of text and a bucket.
 
@@ -31,7 +31,6 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -133,19 +132,19 @@ def _steps(table: pa.Table, copies: dict[bytes, int], length: int):
         yield batch, data, offsets, role, over(data, offsets, role)
 
 
-def _contexts(steps, told: _Told, length: int):
+def _contexts(steps, told: _Told, length: int, heavy: int):
     """Each run that may repeat: its chunk's bytes, base, first and last window, whether its windows go alone, weight, context and lead."""
     for _, _, _, _, pieces in steps:
-        yield from _hot(pieces, told, length)
+        yield from _hot(pieces, told, length, heavy)
 
 
-def _hot(pieces, told: _Told, length: int):
+def _hot(pieces, told: _Told, length: int, heavy: int):
     for base, piece, first, last, at, names, weight in pieces:
         count = told.count(names)
         hot = np.flatnonzero(count)
         raw = piece.tobytes() if len(hot) else b""
         for a, z, s, h, w, n in zip(first[hot].tolist(), last[hot].tolist(), at[hot].tolist(), names[hot].view(np.int64).tolist(), weight[hot].tolist(), count[hot].tolist(), strict=True):
-            yield base + a, base + z, n > HEAVY, h, w, raw[a : z + length], s - a
+            yield base + a, base + z, n > heavy, h, w, raw[a : z + length], s - a
 
 
 def ranked(table: pa.Table, length: int) -> list[bytes]:
@@ -188,7 +187,7 @@ def ranked(table: pa.Table, length: int) -> list[bytes]:
     return [np.packbits(twice[i, k - z : k + 1][::-1]).tobytes() if twice[i].any() else b"" for i, (k, z) in enumerate(zip(lead.tolist(), last.tolist(), strict=True))]
 
 
-def removal(docs: DataFrame, length: int, schema: pa.Schema, emit: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.Table]) -> DataFrame:
+def removal(docs: DataFrame, length: int, schema: pa.Schema, emit: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.Table], heavy: int) -> DataFrame:
     """Applies ``emit`` to rows, their bytes, offsets and the mask of bytes to remove."""
     blocks, total = B.layout(docs)
     buckets = max(ceil(total / BUCKET_TEXT), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -206,8 +205,8 @@ def removal(docs: DataFrame, length: int, schema: pa.Schema, emit: Callable[[pa.
         if not table.num_rows:
             return sent.empty_table()
         known, named, alone = _Told(told), {}, {}
-        for _, _, heavy, h, weight, context, lead in _contexts(_steps(table, known.copies, length), known, length):
-            if heavy:
+        for _, _, single, h, weight, context, lead in _contexts(_steps(table, known.copies, length), known, length, heavy):
+            if single:
                 for k in range(len(context) - length + 1):
                     x = T.digest(context[k : k + length])
                     alone[x] = min(2, alone.get(x, 0) + weight)
@@ -222,9 +221,20 @@ def removal(docs: DataFrame, length: int, schema: pa.Schema, emit: Callable[[pa.
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, sent, strict=True)], schema=sent)
 
     def bucket(table: pa.Table) -> pa.Table:
-        bits = ranked(table, length)
-        out = pa.table({"blk": table.column("blk"), "kind": pa.array([CONTEXTS] * table.num_rows, pa.int32()), "one": table.column("number"), "two": pa.array([0] * table.num_rows, pa.int64()), "bits": pa.array(bits, pa.binary())})
-        return out.filter(pa.array([bool(x) for x in bits]))
+        """What repeats: bits of a context's windows, or the digest of a window that goes alone."""
+        alone = table.filter(table.column("h").is_null())
+        table = table.filter(table.column("h").is_valid())
+        bits = ranked(table, length) if table.num_rows else []
+        digest = alone.column("context").to_pylist()
+        total = {}
+        for x, n in zip(digest, alone.column("weight").to_pylist(), strict=True):
+            total[x] = total.get(x, 0) + n
+        twice = [x if total[x] > 1 else b"" for x in digest]
+        kind = pa.array([CONTEXTS] * len(bits) + [WINDOWS] * len(twice), pa.int32())
+        number = pa.chunked_array([*table.column("number").chunks, *alone.column("number").fill_null(0).chunks], pa.int64())
+        blk = pa.chunked_array([*table.column("blk").chunks, *alone.column("blk").chunks], pa.int32())
+        out = pa.table({"blk": blk, "kind": kind, "one": number, "two": pa.array([0] * len(kind), pa.int64()), "bits": pa.array(bits + twice, pa.binary())})
+        return out.filter(pa.array([bool(x) for x in bits + twice]))
 
     def result(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -232,8 +242,8 @@ def removal(docs: DataFrame, length: int, schema: pa.Schema, emit: Callable[[pa.
         known, numbers, out = _Told(told), {}, []
         for batch, data, offsets, role, pieces in _steps(table, known.copies, length):
             marks = []
-            for first, last, heavy, _, _, context, lead in _hot(pieces, known, length):
-                if heavy:
+            for first, last, single, _, _, context, lead in _hot(pieces, known, length, heavy):
+                if single:
                     marks += [first + k for k in range(len(context) - length + 1) if T.digest(context[k : k + length]) in known.windows]
                 elif bits := known.contexts.get(numbers.setdefault((context, lead), len(numbers))):
                     marks += (first + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=last - first + 1))).tolist()
@@ -248,12 +258,9 @@ def removal(docs: DataFrame, length: int, schema: pa.Schema, emit: Callable[[pa.
     samples = B.repeated(asked).select("blk", F.lit(SAMPLES).alias("kind"), F.col("name").alias("one"), F.col("total").alias("two"), F.lit(None).cast("binary").alias("bits"))
     told = copies.unionByName(samples)
     found = text.cogroup(told.groupBy("blk")).applyInArrow(contexts, from_arrow_schema(sent))
-    dealt = found.filter("h is not null").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    light = dealt.groupBy("bucket").applyInArrow(bucket, TOLD)
-    every = W.partitionBy("context")
-    heavy = found.filter("h is null").select("blk", "context", F.sum("weight").over(every).alias("n")).filter("n > 1")
-    heavy = heavy.select("blk", F.lit(WINDOWS).alias("kind"), F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.col("context").alias("bits"))
-    return text.cogroup(told.unionByName(light).unionByName(heavy).groupBy("blk")).applyInArrow(result, from_arrow_schema(schema))
+    place = F.when(F.col("h").isNull(), F.xxhash64("context")).otherwise(F.xxhash64("h"))
+    repeats = found.withColumn("bucket", F.pmod(place, F.lit(buckets))).groupBy("bucket").applyInArrow(bucket, TOLD)
+    return text.cogroup(told.unionByName(repeats).groupBy("blk")).applyInArrow(result, from_arrow_schema(schema))
 
 
 def _counts(offsets: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,7 +279,7 @@ def _kept(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> Iterator[b
         yield data[lo:hi][~gone[lo:hi]].tobytes()
 
 
-def dedup_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 200, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, kept binary, spans array of removed byte ranges) for each row."""
     schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
@@ -280,10 +287,10 @@ def dedup_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
         spans = [[{"start": int(a), "end": int(b)} for a, b in zip(*T.runs(gone[lo:hi]), strict=True)] for lo, hi in zip(offsets, offsets[1:], strict=False)]
         return pa.Table.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(_kept(data, offsets, gone), pa.binary()), pa.array(spans, schema.field("spans").type)], schema=schema)
 
-    return removal(docs, length, schema, emit)
+    return removal(docs, length, schema, emit, heavy)
 
 
-def digests(docs: DataFrame, length: int = 200) -> DataFrame:
+def digests(docs: DataFrame, length: int = 200, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of what ``dedup_bytes`` leaves."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -291,4 +298,4 @@ def digests(docs: DataFrame, length: int = 200) -> DataFrame:
         sizes, removed, spans = _counts(offsets, gone)
         return pa.Table.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(removed), pa.array(spans), pa.array([T.sha256(x) for x in _kept(data, offsets, gone)], pa.string())], schema=schema)
 
-    return removal(docs, length, schema, emit)
+    return removal(docs, length, schema, emit, heavy)
