@@ -2,22 +2,23 @@
 
 Each source sends its documents in a seeded shuffle, once and then a second time.
 A document's virtual finish time is the source's words up to its end, divided by
-the source's target; all sources reach time 1 when their targets are spent,
-which is where the total budget is. So instead of sorting globally and truncating
-there, each source is cut alone at its own target; only ``mix`` then sorts, by
-finish time. A document on the border is taken if at least half of it lies inside,
-so a source misses its target by half a document at most.
+the source's target; all sources reach time 1 when their targets are spent. All
+documents of all sources are ordered by finish time, and the order is truncated where the next
+document would pass the total budget. What finishes by time 1 always fits, so a
+source misses its target by a document or so.
 
 Targets: sources by code point, null last, weigh ``weights`` in turn and share
 ``share`` times all words; none gets over ``most`` times its own words, and what
 it can't use is shared by the others by weight (water-filling, in closed form).
 
 Running sums never meet in one task: the shuffle key's leading digits cut every
-source into ``SLOTS`` slots, whose sums give each slot its offset.
+source into slots, whose sums give each slot its offset. Likewise time is cut into ``BINS`` to a unit;
+sums by bin tell in which bin the order is truncated, and only that bin is summed
+row by row. Windows without a partition see a row for each source or bin.
 
 Defined results: a null text has size 0; documents of size 0 take 0; a null
-source is a source of its own; rows with equal ids follow each other by size;
-null ids are one id; an empty table gives no rows.
+source is a source of its own; rows with equal ids are shuffled by id and text; null
+ids are one id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slots of a source; a slot of a source of 10**9 documents holds some 250,000.
 SLOT_DIGITS = 3
+#: Bins of a unit of time, and units that are binned; what finishes later shares a bin.
+BINS, UNITS = 4096, 2
 
 
 def words(text: str | Column) -> Column:
@@ -50,9 +53,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return out.select("source", "source_size", F.least(F.col("cap"), F.coalesce(first["level"] * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _order(lap: int) -> Column:
+    """Place in the global order of a document's turn."""
+    finish = (F.col("start") + lap * F.col("source_size") + F.col("size")) / F.when(F.col("target") > 0, F.col("target"))
+    return F.struct(finish.alias("finish"), F.col("key"), F.col("doc_id"), F.col("size"), F.lit(lap).alias("lap"))
+
+
+def _bin(order: Column) -> Column:
+    return F.least(F.floor(order["finish"] * BINS), F.lit(BINS * UNITS)).cast("int")
+
+
 def queued(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, *carried: str) -> DataFrame:
     """Adds size, source_size, target, start (words of the source before) and taken."""
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     sized = docs.select("doc_id", "source", words("text").alias("size"), key.alias("key"), *carried).withColumn("slot", F.substring("key", 1, SLOT_DIGITS))
     slots = sized.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
     aims = targets(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, share, most)
@@ -62,8 +75,21 @@ def queued(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2,
     both = sized.join(small, sized["source"].eqNullSafe(small["s"]) & (sized["slot"] == small["t"])).drop("s", "t")
     inside = W.partitionBy("source", "slot").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     both = both.withColumn("start", F.col("offset") + F.sum("size").over(inside) - F.col("size"))
-    times = [(2 * (F.col("start") + lap * F.col("source_size")) + F.col("size") <= 2 * F.col("target")).cast("long") for lap in range(2)]
-    return both.withColumn("taken", F.col("size") * (times[0] + times[1])).drop("key", "slot", "offset")
+    cut, last = _cut(both.select("start", "source_size", "target", "size", "key", "doc_id"), aims.agg(F.sum("target")).scalar())
+    laps = [F.coalesce((_bin(_order(k)) < cut) | (_order(k) <= last), F.lit(False)).cast("long") for k in range(2)]
+    return both.withColumn("taken", F.col("size") * (laps[0] + laps[1])).drop("key", "slot", "offset")
+
+
+def _cut(rows: DataFrame, budget: Column) -> tuple[Column, Column]:
+    """The bin in which the order is truncated, and the last turn in it that fits, if any."""
+    turns = rows.select(F.explode(F.array(_order(0), _order(1))).alias("o")).filter("o.finish is not null").select("o", _bin(F.col("o")).alias("bin"))
+    in_turn = W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    bins = turns.groupBy("bin").agg(F.sum("o.size").alias("n")).withColumn("upto", F.sum("n").over(in_turn))
+    at = bins.filter(F.col("upto") > budget).agg(F.min(F.struct("bin", (F.col("upto") - F.col("n")).alias("before"))).alias("at"))  # bins are as many at any size
+    cut = at.select(F.coalesce("at.bin", F.lit(BINS * UNITS + 1))).scalar()
+    upto = at.select("at.before").scalar() + F.sum("o.size").over(W.partitionBy("bin").orderBy("o").rowsBetween(W.unboundedPreceding, 0))
+    border = turns.filter(F.col("bin") == cut).select("o", upto.alias("upto"))
+    return cut, border.filter(F.col("upto") <= budget).agg(F.max("o")).scalar()
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -77,13 +103,17 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 ORACLE = f"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5('mix' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, 2.0::DOUBLE * source_size AS cap, [5.0, 2.0, 1.0][(turn - 1) % 3 + 1]::DOUBLE AS weight, 1.5::DOUBLE * (sum(source_size) OVER ()) AS budget FROM (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS turn FROM src)),
 l AS (SELECT *, cap / weight AS ratio FROM w),
 v AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY ratio, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l),
 f AS (SELECT level AS lam FROM v WHERE level <= ratio ORDER BY ratio, turn LIMIT 1),
 aims AS (SELECT source, source_size, least(cap, lam * weight) AS target FROM v, f),
-q AS (SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY sized.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM sized JOIN aims ON sized.source IS NOT DISTINCT FROM aims.source)
-SELECT doc_id, size, source_size, target, (size * ((2 * start + size <= 2 * target)::BIGINT + (2 * (start + source_size) + size <= 2 * target)::BIGINT))::BIGINT AS taken FROM q
+q AS (SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY sized.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start, key FROM sized JOIN aims ON sized.source IS NOT DISTINCT FROM aims.source),
+t AS (SELECT *, (start + lap * source_size + size) / target AS finish FROM q, (VALUES (0), (1)) AS laps(lap) WHERE target > 0),
+c AS (SELECT doc_id, key, size, lap, source_size, start, sum(size) OVER (ORDER BY finish, key, doc_id, size, lap ROWS UNBOUNDED PRECEDING) <= (SELECT sum(target) FROM aims) AS fits FROM t)
+SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(n, 0))::BIGINT AS taken
+FROM q LEFT JOIN (SELECT doc_id, key, source_size, start, count_if(fits) AS n FROM c WHERE size > 0 GROUP BY ALL) k
+ON q.doc_id IS NOT DISTINCT FROM k.doc_id AND q.key = k.key AND q.source_size = k.source_size AND q.start = k.start
 """
