@@ -1,8 +1,8 @@
 """Vectorised text kernels: word boundaries, word names, rolling hashes, minimisers.
 
 Everything works on one contiguous UTF-8 buffer and its document offsets, the
-layout in which Arrow hands strings to Python. A word's name is the first 64 bits
-of its BLAKE2b digest. Rolling (Rabin-Karp) hashes are polynomials modulo 2**64 over
+layout in which Arrow hands strings to Python. A word of up to ``SHORT`` bytes is its own
+name, a longer one is named by 63 bits of its BLAKE2b digest. Rolling (Rabin-Karp) hashes are polynomials modulo 2**64 over
 such names or over randomised bytes; since strings can be made that share one, they
 only *select* what is compared, and the strings or their digests decide.
 """
@@ -19,8 +19,8 @@ import pyarrow as pa
 #: Bytes of text that one vectorised step handles (a longer document is one step).
 CHUNK = 1 << 21
 
-#: Names of words that a process keeps at a time.
-MOST_NAMES = 1 << 19
+#: Bytes of a word that is a number as it is, and names of longer ones that a process keeps at a time.
+SHORT, MOST_NAMES = 7, 1 << 19
 
 U64 = np.uint64
 _rng = np.random.default_rng(0x5EED_1DEA)
@@ -30,6 +30,8 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
+_PADDING = np.array([*((1 << 64) - (1 << 8 * n) for n in range(SHORT + 1)), 0], U64)
+
 #: Word characters of the two word definitions in use.
 SPACE_SPLIT = np.ones(256, bool)
 SPACE_SPLIT[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -96,17 +98,17 @@ def lengths_to_owner(counts: np.ndarray) -> np.ndarray:
 
 
 class _Names(dict):
-    """The names of words, filled as words come."""
+    """Numbers of long words, filled as words come; none has 255 as its last byte."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MOST_NAMES:
             self.clear()
-        name = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        name = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1
         return name
 
 
 def names(words: list[bytes]) -> np.ndarray:
-    """The name of each word."""
+    """The number of each long word."""
     known = vars(sys.modules["numpy"]).setdefault("_word_names", _Names())  # of the process, not of a task; never pickled
     return np.fromiter(map(known.__getitem__, words), U64, len(words))
 
@@ -142,14 +144,17 @@ class Words:
         self.hash = self._names(data) if kind is SPACE_SPLIT else spans(prefix(_SYMBOL[data]), self.start, self.end)
 
     def _names(self, data: np.ndarray) -> np.ndarray:
-        out, done = [np.empty(0, U64)], 0
-        while done < len(self.start):  # by pieces of about CHUNK bytes of whole words
-            to = max(done + 1, int(np.searchsorted(self.end, self.start[done] + CHUNK, "right")))
-            lo, hi = int(self.start[done]), int(self.end[to - 1])
-            cuts = self.offsets[(self.offsets > lo) & (self.offsets < hi)] - lo
-            out.append(names(np.insert(data[lo:hi], cuts, 32).tobytes().split()))
-            done = to
-        return np.concatenate(out)
+        size = self.end - self.start
+        short = np.minimum(size, SHORT + 1)
+        at = np.ndarray(len(data) + 1, U64, np.concatenate([data, np.full(8, 255, np.uint8)]), strides=(1,))
+        out = at[self.start] | _PADDING[short]  # no byte of UTF-8 is 255, so each short word has a number of its own
+        long = np.flatnonzero(size > SHORT)
+        for lo in range(0, len(long), 1 << 17):
+            part = long[lo : lo + (1 << 17)]
+            base = int(self.start[part[0]])
+            raw = data[base : int(self.end[part[-1]])].tobytes()
+            out[part] = names([raw[a:b] for a, b in zip((self.start[part] - base).tolist(), (self.end[part] - base).tolist(), strict=True)])
+        return mix(out)
 
 
 def byte_sums(data: np.ndarray) -> np.ndarray:
