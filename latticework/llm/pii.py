@@ -21,8 +21,8 @@ an IPv4 one), so the rounds end however many entities a corpus has. Documents co
 entities with later attempts are joined back to the texts that mention them.
 
 Defined results: a null or empty text stays as it is and has no entities;
-repeated rows are treated alike; other columns pass through untouched, except
-``n_chars``, which follows a changed text.
+repeated rows are treated alike, texts of any length whole; other columns, of any name, pass through untouched, except
+``n_chars``, which follows a changed text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -203,9 +203,11 @@ def later_attempts(docs: DataFrame, key: str) -> DataFrame | None:
     found = docs.select(F.explode(_mentions(F.col("text"))).alias("mention")).distinct().withColumn("kind", _type(F.col("mention")))
     entity = found.select(F.explode(_entities(F.col("mention"), F.col("kind"))).alias("e")).select("e.type", "e.canon").distinct()
     state = kept(entity.withColumn("attempt", F.lit(0)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     real = state.select("type", F.col("canon").alias("drawn"), F.lit(True).alias("real"))
     while True:
-        each = state.withColumn("e", _seeded(key, F.col("type"), F.col("canon"), F.col("attempt"))).withColumn("drawn", _drawn(F.col("e"))).drop("e")
+        # the table is a small file, its surrogates are dear: dealt out by hand
+        each = state.repartition(parts, "type", "canon").withColumn("e", _seeded(key, F.col("type"), F.col("canon"), F.col("attempt"))).withColumn("drawn", _drawn(F.col("e"))).drop("e")
         turn = F.row_number().over(W.partitionBy("type", "drawn").orderBy("attempt", "canon"))
         each = each.withColumn("turn", turn).join(real, ["type", "drawn"], "left")
         again = F.coalesce(F.col("real"), F.lit(False)) | (F.col("turn") > 1)
@@ -216,18 +218,21 @@ def later_attempts(docs: DataFrame, key: str) -> DataFrame | None:
         state = state.drop("again")
 
 
-def replace(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
+def replace(docs: DataFrame, key: str = "surrogate-key", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with ``text`` rewritten, and ``n_entities`` and ``changed`` added."""
+    # a caller's columns travel in one, so that none has a name in use here
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
     late = later_attempts(docs, key)
-    named = docs.withColumn("_mentions", _mentions(F.col("text")))
+    named = named.withColumn("_mentions", _mentions(F.col("text")))
     attempts = F.create_map().cast("map<string,int>")
     if late is not None:
-        texts = docs.filter(F.col("text").rlike(HINT)).select(F.xxhash64("text").alias("_h"), F.explode(_mentions(F.col("text"))).alias("m")).distinct()
+        texts = docs.filter(F.col("text").rlike(HINT)).select(F.sha2("text", 256).alias("_h"), F.explode(_mentions(F.col("text"))).alias("m")).distinct()
         texts = texts.withColumn("kind", _type(F.col("m"))).select("_h", F.explode(_entities(F.col("m"), F.col("kind"))).alias("e")).select("_h", "e.type", "e.canon").distinct()
         own = kept(texts.join(late, ["type", "canon"]).groupBy("_h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "type", "canon"), "attempt"))).alias("_late")))
-        if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # a choice of joins only
+        if own.limit(broadcast_rows + 1).count() <= broadcast_rows:
             own = F.broadcast(own)
-        named = named.withColumn("_h", F.xxhash64("text")).join(own, "_h", "left").drop("_h")
+        named = named.withColumn("_h", F.when(F.size("_mentions") > 0, F.sha2("text", 256)).otherwise(F.monotonically_increasing_id().cast("string"))).join(own, "_h", "left").drop("_h")
         attempts = F.coalesce(F.col("_late"), attempts)
 
     # one column a step, so that nothing is evaluated twice
@@ -245,8 +250,9 @@ def replace(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     filled = F.zip_with(between, F.col("_written"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     changed = F.size("_mentions") > 0
     text = F.when(changed, F.array_join(filled, "")).otherwise(F.col("text"))
-    out = named.withColumn("n_entities", F.coalesce(F.size("_mentions"), F.lit(0)).cast("long")).withColumn("changed", F.coalesce(changed, F.lit(False)))
-    out = out.withColumn("text", text)
+    changed = F.coalesce(changed, F.lit(False))
+    new = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "n_entities", "changed")
+        new["n_chars"] = F.when(changed, F.length(text).cast("long")).otherwise(F.col("_row.n_chars"))
+    new |= {"n_entities": F.coalesce(F.size("_mentions"), F.lit(0)).cast("long"), "changed": changed}
+    return named.select(*[x.alias(c) for c, x in new.items()])

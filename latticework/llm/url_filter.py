@@ -10,8 +10,9 @@ Host: between the first ``://`` and the next ``/``, ``?``, ``#`` or the end, wit
 A-Z in lower case; path: from there to the next ``?``, ``#`` or the end.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
-fits no rule and gets ``default``; repeated rows are judged each; further columns
-are ignored; without rules all get ``default``.
+fits no rule and gets ``default``; repeated rows are judged each, of any length; further
+columns are ignored; without rules all get ``default``; rules with a null count as none;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Hex digits of the short hash, and the most rules that are broadcast (some 20 MB).
+#: Hex digits of the short hash, and the most rules that are broadcast (some 20 MB); more are joined by a shuffle, with the same result.
 PREFIX, BROADCAST_RULES = 8, 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,27 +42,30 @@ def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumns({"host": F.translate(host, UPPER, LOWER), "path": path})
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of (page_id, url)."""
     host = F.substring_index("rule", "/", 1)
     path = F.substring(F.col("rule"), F.length(host) + 1, F.length("rule"))
     rules = rules.filter("rule is not null and verdict is not null").dropDuplicates(["rule", "verdict"])
-    order = W.orderBy(F.length("rule"), F.length(host), F.col("verdict").desc(), "rule")
-    ranked = rules.select("rule", "verdict", F.row_number().over(order).cast("long").alias("rank"), F.size(F.split(host, r"\.")).alias("labels"), F.length(path).alias("reach"), F.sha2("rule", 256).alias("digest"))
-    shapes = [(r.labels, r.reach) for r in ranked.select("labels", "reach").distinct().collect()]  # as many as differ, not as there are rules
-    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    small = F.broadcast if few else (lambda x: x)
+    # the longest rule, then the longer host, then the lesser verdict
+    rank = F.struct(F.length("rule").alias("size"), F.length(host).alias("host"), (F.col("verdict") == "allow").alias("allow"), F.col("rule").alias("rule"), F.col("verdict").alias("verdict"))
+    digest = F.sha2("rule", 256)
+    keyed = rules.select(F.substring(digest, 1, PREFIX).alias("short"), digest.alias("digest"), rank.alias("rank"))
+    # as many as labels and path lengths differ, not as there are rules
+    shapes = rules.select(F.size(F.split(host, r"\.")).alias("n"), F.length(path).alias("k")).distinct().collect()
+    small = F.broadcast if rules.limit(broadcast_rules + 1).count() <= broadcast_rules else (lambda x: x)
 
     rows = with_parts(pages.select("page_id", "url").withColumn("row", F.monotonically_increasing_id()))
     names = F.split("host", r"\.")
-    spelled = [F.when((F.size(names) >= n) & (F.length("path") >= k), F.concat(F.array_join(F.slice(names, -n, n), "."), F.substring("path", 1, k))) for n, k in shapes]
-    spelled = F.array_compact(F.array(*spelled)) if spelled else F.array().cast("array<string>")
+    known = F.array(*[F.struct(F.lit(x.n).alias("n"), F.lit(x.k).alias("k")) for x in shapes]) if shapes else F.array().cast("array<struct<n:int,k:int>>")
+    fits = F.filter(known, lambda x: (F.size(names) >= x["n"]) & (F.length("path") >= x["k"]))
+    spelled = F.transform(fits, lambda x: F.concat(F.array_join(F.slice(names, F.size(names) - x["n"] + 1, x["n"]), "."), F.substring(F.col("path"), F.lit(1), x["k"])))
     asked = rows.select("row", "page_id", "host", "path", F.explode_outer(F.when(F.col("host") != "", spelled)).alias("expression"))
     asked = asked.withColumn("full", F.sha2("expression", 256)).withColumn("short", F.substring("full", 1, PREFIX))
-    keyed = ranked.select(F.substring("digest", 1, PREFIX).alias("short"), "digest", "rank")
     hits = asked.join(small(keyed), "short", "left")
+    # folded before the shuffle: a page's expressions are in one task
     best = hits.groupBy("row", "page_id", "host", "path").agg(F.max(F.when(F.col("full") == F.col("digest"), F.col("rank"))).alias("rank"))
-    return best.join(small(ranked.select("rank", "rule", "verdict")), "rank", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return best.select("page_id", "host", "path", F.col("rank.rule").alias("rule"), F.coalesce("rank.verdict", F.lit(default)).alias("verdict"))
 
 
 _HOST = "CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(url[instr(url, '://') + 3:], '^[^/?#]*'), '" + UPPER + "', '" + LOWER + "') ELSE '' END"
