@@ -1,127 +1,129 @@
 """Benchmark decontamination: documents scanned for n-word windows of benchmark items.
 
-Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z in lower case. The hashes
-of all item windows form a set that each task holds; document windows that fall
-into it are verified word by word. An item of fewer words than the window is one
-window. Nothing is shuffled. The set is broadcast only in parts of at most
-``PART_BYTES`` of item text; a larger benchmark is scanned part by part, with what
-was found so far written to the checkpoint folder in between.
+Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z in lower case. The windows of
+all items are named by 128-bit digests of their words. Sorted rolling hashes of them form a set that each
+task holds; document windows that fall into it are verified by digest. An item of fewer words
+than the window is one window. Documents are never shuffled and are read once. The set is
+broadcast in parts of some ``part_windows`` distinct windows (40 bytes each), of which a task holds one at
+a time and the driver builds one at a time.
 
 Defined results: a null text has no words and no hits; items that are null or
 without words, or without an id, have no windows; rows of the same id are one
-item; repeated rows are judged each.
+item; repeated rows are judged each, texts of any length whole; without items nothing is hit;
+other columns, of any name, pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from . import _text as T
 from ._shared import kept
 
-PART_BYTES = 32 << 20
+PART_WINDOWS = 1 << 20
 #: Bits of a hash that a first look-up uses; the table takes 4 MB.
 LOOK = 22
+WINDOW = pa.schema([("size", pa.int32()), ("hash", pa.int64()), ("digest", pa.binary()), ("item", pa.int64())])
 
 
-def windows(items: list[tuple[int, str]], n: int) -> tuple[np.ndarray, dict]:
-    """The windows of some items: a first look-up, and by length their hashes, words and items."""
-    found: dict[int, dict[int, tuple[bytes, set[int]]]] = {}
+class Known:
+    """Some windows of items: by size the sorted hashes, and for each window its digest and item."""
+
+    def __init__(self, table: pa.Table):
+        size, name = np.asarray(table.column("size")), np.asarray(table.column("hash")).view(T.U64)
+        order = np.lexsort((name, size))
+        self.hash, self.item = name[order], np.asarray(table.column("item"))[order]
+        self.digest = np.frombuffer(b"".join(table.column("digest").to_pylist()), "V16")[order]
+        ends = np.searchsorted(size[order], np.arange(size.max() + 2 if len(size) else 1)).tolist()
+        self.sizes = {n: (lo, hi) for n, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)) if lo < hi}
+
+
+def windows(items: DataFrame, n: int) -> DataFrame:
+    """(size, hash, digest, item): the distinct windows of each item of (item_id, text)."""
+
+    def step(batches):
+        for batch, data, offsets in T.chunks(batches):
+            words, plain = T.Words(data, offsets, T.ALNUM, lower=True), _Plain(data)
+            size = np.minimum(n, words.counts)
+            many = np.where(size > 0, words.counts - size + 1, 0)
+            owner = T.lengths_to_owner(many)
+            start = np.arange(len(owner)) + np.repeat(words.first[:-1] - np.append(0, np.cumsum(many))[:-1], many)
+            end = start + size[owner]
+            digest = [plain.digest(words, a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            columns = [size[owner], T.spans(T.prefix(words.hash), start, end).view(np.int64), digest, np.asarray(batch.column("item_id"))[owner]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, WINDOW, strict=True)], schema=WINDOW)
+
+    return items.mapInArrow(step, from_arrow_schema(WINDOW)).distinct()
+
+
+class _Plain:
+    """Lower-cased bytes of a chunk, made when first needed."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.raw = data, None
+
+    def digest(self, words: T.Words, a: int, b: int) -> bytes:
+        """Of the words a to b."""
+        if self.raw is None:
+            self.raw = T.lowered(self.data)
+        return T.digest(b" ".join(self.raw[x:y] for x, y in zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True)))
+
+
+def hits(known: Known, words: T.Words, plain: _Plain, mask: np.ndarray, items: dict[int, set[int]]) -> None:
+    """Adds verified windows to the mask of words, and their items to those found by document."""
+    sums, owner, ends = T.prefix(words.hash), T.lengths_to_owner(words.counts), words.first[1:]
     look = np.zeros(1 << LOOK, bool)
-    data, offsets = T.text_buffer(pa.array([t for _, t in items], pa.large_string()))
-    words = T.Words(data, offsets, T.ALNUM, lower=True)
-    raw, sums = T.lowered(data), T.prefix(words.hash)
-    at, to = words.start.tolist(), words.end.tolist()
-    for k, (item, _) in enumerate(items):
-        lo, hi = int(words.first[k]), int(words.first[k + 1])
-        size = min(n, hi - lo)
-        if size:
-            starts = np.arange(lo, hi - size + 1)
-            hashes = T.spans(sums, starts, starts + size)
-            look[(hashes >> T.U64(64 - LOOK)).astype(np.int64)] = True
-            of = found.setdefault(size, {})
-            for i, h in zip(starts.tolist(), hashes.tolist(), strict=True):
-                of.setdefault(h, (b" ".join(raw[a:b] for a, b in zip(at[i : i + size], to[i : i + size], strict=True)), set()))[1].add(item)
-    return look, {size: (np.array(sorted(of), T.U64), of) for size, of in found.items()}
-
-
-def hits(known: tuple[np.ndarray, dict], data: np.ndarray, words: T.Words) -> tuple[np.ndarray, dict[int, set[int]]]:
-    """Mask of the words in verified windows, and the items found by document."""
-    sums, owner = T.prefix(words.hash), T.lengths_to_owner(words.counts)
-    ends, raw = words.first[1:], None
-    mask, items = np.zeros(len(owner), bool), {}
-    look, sizes = known
-    for size, (listed, of) in sizes.items():
-        hashes = T.rolling(sums, size)
+    look[(known.hash >> T.U64(64 - LOOK)).astype(np.int64)] = True
+    for size, (lo, hi) in known.sizes.items():
+        hashes, listed = T.rolling(sums, size), known.hash[lo:hi]
         at = np.flatnonzero(look[(hashes >> T.U64(64 - LOOK)).astype(np.int64)])
         at = at[at + size <= ends[owner[at]]]
         at = at[T.found(hashes[at], listed)]
+        begin, end = (lo + np.searchsorted(listed, hashes[at], side) for side in ("left", "right"))
         good = []
-        for i, h in zip(at.tolist(), hashes[at].tolist(), strict=True):
-            raw = T.lowered(data) if raw is None else raw
-            text, of_items = of[h]
-            if text == b" ".join(raw[a:b] for a, b in zip(words.start[i : i + size].tolist(), words.end[i : i + size].tolist(), strict=True)):
+        for i, a, b in zip(at.tolist(), begin.tolist(), end.tolist(), strict=True):
+            same = known.digest[a:b] == np.frombuffer(plain.digest(words, i, i + size), "V16")[0]
+            if same.any():
                 good.append(i)
-                items.setdefault(int(owner[i]), set()).update(of_items)
-        if good:
-            mask |= T.cover(len(owner), np.array(good), size)
-    return mask, items
+                items.setdefault(int(owner[i]), set()).update(known.item[a:b][same].tolist())
+        mask |= T.cover(len(owner), np.array(good, np.int64), size)
 
 
-def _parts(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], bool]]:
-    """Items in parts of about PART_BYTES, one at a time, and whether it is the last."""
+def _parts(benchmark: DataFrame, n: int, part_windows: int) -> list[Broadcast]:
+    """The windows in parts of about ``part_windows``."""
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total <= PART_BYTES:
-        yield [(r.item_id, r.text) for r in items.collect()], True
-        return
-    part = F.floor(F.sum(F.octet_length("text")).over(W.orderBy("item_id").rowsBetween(W.unboundedPreceding, 0)) / PART_BYTES)
-    items = kept(items.withColumn("part", part))
-    numbers = sorted(r.part for r in items.select("part").distinct().collect())  # one for PART_BYTES of text
-    for k in numbers:
-        yield [(r.item_id, r.text) for r in items.filter(F.col("part") == k).select("item_id", "text").collect()], k == numbers[-1]
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, n: int, schema: pa.Schema, emit: Callable[[pa.RecordBatch, T.Words, np.ndarray, dict[int, set[int]]], pa.RecordBatch]) -> DataFrame:
+    every = kept(windows(items, n))
+    parts = max(1, ceil(every.count() / part_windows))
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(Known(every.filter(F.pmod("hash", F.lit(parts)) == k).toArrow())) for k in range(parts)]
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int, schema: pa.Schema, emit: Callable[[pa.RecordBatch, T.Words, np.ndarray, dict[int, set[int]]], pa.RecordBatch], part_windows: int = PART_WINDOWS) -> DataFrame:
     """Applies ``emit`` to rows, their words, the mask of words hit, and the items by row."""
-    found_at, found_items = "__hit", "__items"
-    for k, (part, last) in enumerate(_parts(benchmark)):
-        known = docs.sparkSession.sparkContext.broadcast(windows(part, n))
-        before = [found_at, found_items] if k else []
-        out = schema if last else None
-
-        def step(batches, known=known, before=before, out=out):
-            for batch, data, offsets in T.chunks(batches):
-                words = T.Words(data, offsets, T.ALNUM, lower=True)
-                mask, items = hits(known.value, data, words)
-                if before:
-                    at = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=c) for x, c in zip(batch.column(found_at), words.counts, strict=True)] or [np.empty(0, np.uint8)]).astype(bool)
-                    mask |= at
-                    for i, own in enumerate(batch.column(found_items).to_pylist()):
-                        if own:
-                            items.setdefault(i, set()).update(own)
-                    batch = batch.drop_columns(before)
-                if out is not None:
-                    yield emit(batch, words, mask, items)
-                else:
-                    bits = [np.packbits(x).tobytes() for x in np.split(mask, words.first[1:-1])]
-                    yield batch.append_column(found_at, pa.array(bits, pa.binary())).append_column(found_items, pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.int64())))
-
-        if last:
-            return docs.mapInArrow(step, from_arrow_schema(schema))
-        fields = [f for f in docs.schema.fields if f.name not in (found_at, found_items)]
-        docs = kept(docs.mapInArrow(step, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fields)}, {found_at} binary, {found_items} array<bigint>"))
-    raise AssertionError("a benchmark has one part at least")
-
-
-def digests(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
+    parts = _parts(benchmark, n, part_windows)
+
+    def step(batches):
+        for batch, data, offsets in T.chunks(batches):
+            words, plain = T.Words(data, offsets, T.ALNUM, lower=True), _Plain(data)
+            mask, items = np.zeros(len(words.start), bool), {}
+            for part in parts:
+                hits(part.value, words, plain, mask, items)
+                if len(parts) > 1:  # one at a time in memory; read again from the executor's copy
+                    vars(part).pop("_value", None)
+            yield emit(batch, words, mask, items)
+
+    return docs.mapInArrow(step, from_arrow_schema(schema))
+
+
+def digests(docs: DataFrame, benchmark: DataFrame, n: int = 13, part_windows: int = PART_WINDOWS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
@@ -131,10 +133,10 @@ def digests(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
         columns = [batch.column("doc_id").cast(pa.int64()), words.counts, hit, [len(x) for x in own], [T.sha256(",".join(x).encode()) for x in own], (hit > 0) & (20 * hit >= words.counts)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return scan(docs.select("doc_id", "text"), benchmark, n, schema, emit)
+    return scan(docs.select("doc_id", "text"), benchmark, n, schema, emit, part_windows)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13, part_windows: int = PART_WINDOWS) -> DataFrame:
     """``docs`` without contaminated rows, and without the hit spans in the others.
 
     A span goes from the start of a run's first word to the end of its last one;
@@ -161,4 +163,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
             batch = batch.set_column(batch.schema.get_field_index("n_chars"), "n_chars", pa.array(sizes, schema.field("n_chars").type))
         return batch.filter(pa.array(keep)).cast(schema)
 
-    return scan(docs, benchmark, n, schema, emit)
+    return scan(docs, benchmark, n, schema, emit, part_windows)

@@ -294,12 +294,13 @@ def brute_hits(rows, items, n=13):
 HITS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def test_decontamination(spark, docs, rows, monkeypatch):
+def test_decontamination(spark, docs, rows):
     items = [(1, rows[0][1]), (2, "one TWO"), (3, None), (4, "..."), (5, rows[2][1][40:200]), (11, rows[2][1][40:200].upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert got(decontamination.digests(docs, bench), *HITS) == brute_hits(rows, items)
-    monkeypatch.setattr(decontamination, "PART_BYTES", 300)
-    assert got(decontamination.digests(docs, bench), *HITS) == brute_hits(rows, items)
+    assert got(decontamination.digests(docs, bench, part_windows=9), *HITS) == brute_hits(rows, items)  # a dozen parts
+    left = decontamination.clean(docs, bench, part_windows=40)
+    assert left.columns == docs.columns and got(left, "doc_id", "text") == got(decontamination.clean(docs, bench), "doc_id", "text")
     assert got(decontamination.digests(docs, bench.filter("false")), *HITS) == brute_hits(rows, [])
 
 
