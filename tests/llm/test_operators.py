@@ -359,21 +359,53 @@ def test_mixing(spark):
     assert mixing.queued(docs.filter("false")).isEmpty()
 
 
-def test_topk_search(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "DATA_ROWS", 100)
-    draw = random.Random(4)
-    rows = [(i, [draw.gauss(0, 0.3) for _ in range(6)]) for i in range(400)]
-    rows += [(450, None), (451, [1.0, None]), (452, [float("nan")] * 6), (453, [float("inf")] * 6), (500, rows[3][1]), (501, rows[3][1]), (502, [0.1])]
-    found = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), topk_search.F.col("vec_id") % 50 == 0)
+def brute_top(rows, k=5):
+    """Of (id, vector) rows, in whole numbers of any size, held at the ends of a long."""
+    from fractions import Fraction
+    from math import floor, isfinite, ldexp
+
     import numpy as np
 
-    fine = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v] + [0] * (6 - len(v))) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
-    wanted = []
-    for q, v in fine:
+    fine = [(i, [floor(Fraction(float(np.float32(x))) * 256) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and isfinite(np.float32(x)) for x in v)]
+    out = []
+    for at, (q, v) in enumerate(fine):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in fine if i != q)[:5]
-            wanted += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got(found, "query_id", "rank", "vec_id", "score") == sorted(wanted, key=repr)
+            best = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=False)), -int(ldexp(1, 63)) + 1), int(ldexp(1, 63)) - 1), i) for n, (i, w) in enumerate(fine) if n != at)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out, key=repr)
+
+
+TOP = ("query_id", "rank", "vec_id", "score")
+
+
+@pytest.mark.parametrize(("data_rows", "query_rows"), [(8192, 4096), (60, 5)])
+def test_topk_search(spark, data_rows, query_rows):
+    """One cell and many; null, non-finite, short, tied and repeated vectors, and ids that repeat with other vectors."""
+    draw = random.Random(4)
+    middle = [[draw.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    rows = [(i, [x + draw.gauss(0, 0.1) for x in middle[i % 5]]) for i in range(400)]
+    rows += [(450, None), (451, [1.0, None]), (452, [float("nan")] * 6), (453, [float("inf")] * 6), (500, rows[3][1]), (501, rows[3][1]), (502, [0.1]), (550, []), (None, rows[3][1])]
+    rows += [(600, rows[7][1]), (600, rows[7][1]), (600, rows[8][1]), (50, rows[9][1])] + [(700 + i, [1.0] * 6) for i in range(80)]
+    docs = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, row int, cell int").repartition(3)
+    found = topk_search.top_k(docs, topk_search.F.col("vec_id") % 50 == 0, data_rows=data_rows, query_rows=query_rows)
+    assert got(found, *TOP) == brute_top(rows)
+
+
+@pytest.mark.parametrize("big", [50000.0, 3e7, 1e30])
+def test_topk_search_of_large_components(spark, big):
+    """Scores beyond 2**53, near the ends of a long, and beyond them."""
+    draw = random.Random(9)
+    rows = [(i, [big * draw.choice([-1, 1]) * (1 + draw.randrange(100) / 64) for _ in range(64)]) for i in range(120)]
+    found = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), topk_search.F.col("vec_id") % 50 == 0, data_rows=50)
+    assert got(found, *TOP) == brute_top(rows)
+
+
+def test_topk_search_without_queries_or_candidates(spark):
+    def found(rows):
+        return got(topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), topk_search.F.col("vec_id") % 50 == 0), *TOP)
+
+    assert found([]) == [] and found([(1, [1.0])]) == [] and found([(50, [1.0])]) == [] and found([(50, [])]) == []
+    assert found([(50, [1.0]), (1, [2.0])]) == [(50, 1, 1, 256 * 512)]
 
 
 # --- personal data, toxicity
