@@ -214,6 +214,14 @@ def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     return kept(classes.select("cls").join(components(links).toDF("cls", "to"), "cls", "left").select("cls", F.coalesce("to", "cls").alias("comp")))
 
 
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (cls, comp), joined further by links (a, b) of classes; between components, not members: few are left."""
+    for side in "ab":
+        links = links.join(comps.toDF(side, f"{side}_comp"), side)
+    further = components(links.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))).toDF("comp", "to")
+    return kept(comps.join(further, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")))
+
+
 def _leads(posted: DataFrame, comps: DataFrame, salt: str) -> DataFrame:
     """Pairs of each member with its group's leader, where their components differ."""
     members = posted.join(comps, "cls")
@@ -234,7 +242,7 @@ def _meeting(members: DataFrame, group: str) -> DataFrame:
 
     Members of a group's largest component (side 2) don't meet each other, only the others
     (side 1, in chunks); these meet each other as side 2 too. A group that one
-    component has for the most part takes few tiles.
+    component has for the most part takes few tiles; in a small group all meet (side 0).
     """
     counts = members.groupBy(group, "comp").count()
     tops = counts.groupBy(group).agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.sum("count").alias("n"), F.max("count").alias("most")).filter("n > most")
@@ -243,7 +251,8 @@ def _meeting(members: DataFrame, group: str) -> DataFrame:
     tile, chunk = (F.pmod(F.xxhash64("cls"), F.col(c)).cast("int") for c in ("tiles", "chunks"))
     few = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(chunk.alias("chunk"), t.alias("tile"), F.lit(1).alias("side")))
     many = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), tile.alias("tile"), F.lit(2).alias("side")))
-    places = F.when(F.col("comp") == F.col("top"), many).otherwise(F.concat(few, many))
+    alone = F.array(F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("tile"), F.lit(0).alias("side")))
+    places = F.when(F.col("tiles") == 1, alone).when(F.col("comp") == F.col("top"), many).otherwise(F.concat(few, many))
     return rows.withColumn("place", F.explode(places)).select(*members.columns, "place.chunk", "place.tile", "place.side")
 
 
@@ -272,14 +281,14 @@ def _across(posted: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFram
     members = posted.join(comps, "cls")
     sizes = members.groupBy("token", "comp").count().groupBy("token").agg((F.sum("count") - F.max("count")).alias("few")).filter("few > 0")
     members = members.join(sizes, "token")
-    large = F.col("few") > 4 * TILE
+    large = F.col("few") > TILE
     dealt = members.filter(~large).drop("few").unionByName(_refined(members.filter(large).drop("few"), classes))
     dealt = _meeting(dealt, "token").join(classes.select("cls", "sig"), "cls")
 
     def compare(table: pa.Table) -> pa.Table:
         cls, comp, side = (np.asarray(table.column(c).combine_chunks()) for c in ("cls", "comp", "side"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        return _spanning(cls, comp, sig, side, None)
+        return _spanning(cls, comp, sig, None if (side == 0).all() else side, None)
 
     return dealt.groupBy("token", "chunk", "tile").applyInArrow(compare, "a long, b long").distinct()
 
@@ -366,10 +375,7 @@ def _family_links(docs: DataFrame, family: DataFrame, classes: DataFrame, shingl
         return comps
     rows = _meeting(wide, "fam").join(full.select("cls", "sig", "shingles"), "cls")
     more = _links(rows, ["fam", "chunk", "tile"], percent)
-    for side in "ab":  # between components, not their members: few are left
-        more = more.join(comps.toDF(side, f"{side}_comp"), side)
-    further = components(more.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))).toDF("comp", "to")
-    return kept(comps.join(further, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")))
+    return _merged(comps, more)
 
 
 def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -384,13 +390,8 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     apart = kept(posted.select("cls").distinct().withColumn("comp", F.col("cls")))
     likely_classes = kept(classes.join(apart.select("cls"), "cls"))
     led = kept(likely(_leads(posted, apart, "xxhash64(cls)"), likely_classes))
-    hubs = led.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-    # members with an equal label are linked by it: each takes its least likely partner that has no smaller one itself
-    nearest = hubs.groupBy(F.col("e.a").alias("cls")).agg(F.min("e.b").alias("low")).select("cls", F.least("cls", "low").alias("low"))
-    roots = nearest.filter("cls = low").select(F.col("cls").alias("low"))
-    labels = nearest.join(roots, "low").select("cls", "low")
-    known = apart.join(labels, "cls", "left").select("cls", F.coalesce("low", "cls").alias("comp"))
-    families = _joined(apart, _starred(led.toDF("member", "leader")).union(_across(posted, known, likely_classes)))
+    known = _joined(apart, _starred(led.toDF("member", "leader")))
+    families = _merged(known, kept(_across(posted, known, likely_classes)))
     several = families.groupBy("comp").count().filter("count > 1").select("comp")
     family = kept(families.join(several, "comp").select("cls", F.col("comp").alias("fam")))
     comps = _family_links(docs, family, likely_classes, shingle, percent)
