@@ -1,11 +1,12 @@
 """MinHash near-dedup: signature coordinates as an inverted index, links confirmed on full sets.
 
 A document's set holds its distinct ``shingle``-word shingles; equal sets are one
-class. A class posts itself under its (coordinate, value) pairs. Pairs of classes
-that can reach ``matches`` equal coordinates share one of their
-``coordinates - matches + 1`` rarest values (prefix), and a value that no other
-class has needs no posting (skip), so a text without relatives posts nothing.
-The values' frequencies come from the packed exchange in ``_blocks``.
+class. A class posts itself under its (coordinate, value) pairs, two neighbouring coordinates at
+a time, as texts of one language share many single values. Two classes
+with ``matches`` of 64 equal coordinates (36) have at least 4 of 32 such posts in common, so one among the
+29 that are rarest (prefix), and a post that no other
+class has is left out (skip), so a text without relatives posts nothing.
+The posts' frequencies come from the packed exchange in ``_blocks``.
 
 Groups under one value are never turned into all of their pairs; a large one is
 posted again within itself, under the values that are rarest there. Signatures alone
@@ -39,6 +40,9 @@ from . import _text as T
 from ._shared import kept
 
 COORDINATES, MATCHES, TILE, LEADS = 64, 36, 1024, 8
+#: Coordinates are posted two at a time; a mismatch spoils one pair, so so many pairs are equal at least, and a prefix that leaves out one less meets.
+POSTS = COORDINATES // 2
+PREFIX = POSTS - (POSTS - (COORDINATES - MATCHES)) + 1
 TOKENS = 0
 #: Most bits of the filter in front of the join with texts (32 MB), and what stands for a null id in it.
 FILTER_BITS, NO_ID = 1 << 28, np.iinfo(np.int64).min
@@ -80,15 +84,14 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _tokens(sigs: list[bytes]) -> np.ndarray:
-    """A name for each (coordinate, value) of each signature."""
-    values = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, COORDINATES).astype(T.U64)
-    return T.mix(values * T.U64(COORDINATES) + np.arange(COORDINATES, dtype=T.U64)[None, :] + T.U64(1))
+    """A name for each pair of coordinates and their values, of each signature."""
+    values = np.frombuffer(b"".join(sigs), T.U64).reshape(-1, POSTS)
+    return T.mix(T.mix(values.copy()) + np.arange(1, POSTS + 1, dtype=T.U64)[None, :])
 
 
 def postings(classes: DataFrame, blocks: int, buckets: int) -> DataFrame:
     """(token, cls): the values in the prefixes that more than one class has."""
     parts = classes.select(F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int").alias("blk"), "cls", "sig")
-    length = COORDINATES - MATCHES + 1
     schema = pa.schema([("token", pa.int64()), ("cls", pa.int64())])
 
     def counted(names):
@@ -103,7 +106,7 @@ def postings(classes: DataFrame, blocks: int, buckets: int) -> DataFrame:
         names = _tokens(table.column("sig").to_pylist())
         known = np.unique(names)
         often = B.answered(told, TOKENS)[np.searchsorted(known, names)]
-        rarest = np.lexsort((names, often), axis=1)[:, :length]
+        rarest = np.lexsort((names, often), axis=1)[:, :PREFIX]
         names, often = np.take_along_axis(names, rarest, 1), np.take_along_axis(often, rarest, 1)
         row, column = np.nonzero(often > 1)
         cls = np.asarray(table.column("cls").combine_chunks())
@@ -266,13 +269,13 @@ def _refined(members: DataFrame, classes: DataFrame) -> DataFrame:
     def values(batches):
         for batch in batches:
             names = _tokens(batch.column("sig").to_pylist())
-            wide = [np.repeat(np.asarray(batch.column(c)), COORDINATES) for c in ("token", "cls", "comp")]
+            wide = [np.repeat(np.asarray(batch.column(c)), POSTS) for c in ("token", "cls", "comp")]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (wide[0], names.ravel().view(np.int64), wide[1], wide[2])], names=["token", "value", "cls", "comp"])
 
     every = members.join(classes.select("cls", "sig"), "cls").select("token", "cls", "comp", "sig").mapInArrow(values, "token long, value long, cls long, comp long")
     often = every.groupBy("token", "value").agg(F.count("*").alias("n"))
     rank = F.row_number().over(W.partitionBy("token", "cls").orderBy("n", "value"))
-    rarest = every.join(often, ["token", "value"]).withColumn("rank", rank).filter((F.col("rank") <= COORDINATES - MATCHES + 1) & (F.col("n") > 1))
+    rarest = every.join(often, ["token", "value"]).withColumn("rank", rank).filter((F.col("rank") <= PREFIX) & (F.col("n") > 1))
     return rarest.select(F.xxhash64("token", "value").alias("token"), "cls", "comp")
 
 
@@ -383,7 +386,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     signed = kept(signatures(docs, shingle))
     classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("head"), F.first("sig").alias("sig"))
     classes = kept(classes.withColumn("cls", F.monotonically_increasing_id()))  # as written, so each class has one number
-    buckets = B.buckets(classes, classes.count() * COORDINATES)
+    buckets = B.buckets(classes, classes.count() * POSTS)
     posted = postings(classes, buckets, buckets)
     posted = kept(posted)
     # families: closed under likely pairs, found by signature alone
