@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step handles (a longer document is one step).
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 #: Bytes of a word that is a number as it is, and names of longer ones that a process keeps at a time.
 SHORT, MOST_NAMES = 7, 1 << 19
