@@ -20,7 +20,7 @@ import pyarrow as pa
 CHUNK = 1 << 20
 
 #: Bytes of a word that is a number as it is, and names of longer ones that a process keeps at a time.
-SHORT, MOST_NAMES = 7, 1 << 19
+SHORT, MOST_NAMES = 7, 1 << 16
 
 U64 = np.uint64
 _rng = np.random.default_rng(0x5EED_1DEA)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from . import _text as T
-from ._shared import kept
+from ._shared import bounded, kept
 
 PART_WINDOWS = 1 << 20
 #: Bits of a hash that a first look-up uses; the table takes 4 MB.
@@ -120,7 +120,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int, schema: pa.Schema, emit:
                     vars(part).pop("_value", None)
             yield emit(batch, words, mask, items)
 
-    return docs.mapInArrow(step, from_arrow_schema(schema))
+    return bounded(docs).mapInArrow(step, from_arrow_schema(schema))
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, n: int = 13, part_windows: int = PART_WINDOWS) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from . import _blocks as B
 from . import _text as T
+from ._shared import bounded
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_backoff", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
 
@@ -95,7 +96,7 @@ class _Block:
 
 def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
     """(doc_id, n_tokens, n_backoff, log_score, mean_log_score) for each row."""
-    blocks, total = B.layout(docs)
+    blocks, total = B.layout(bounded(docs))
     buckets = B.buckets(docs, 0.1 * order * total)
     text = B.in_blocks(docs, blocks).groupBy("blk")
 

@@ -37,7 +37,7 @@ from pyspark.sql.types import StructType
 
 from . import _blocks as B
 from . import _text as T
-from ._shared import kept
+from ._shared import bounded, kept
 
 COORDINATES, MATCHES, TILE, LEADS = 64, 36, 1024, 8
 #: Coordinates are posted two at a time; a mismatch spoils one pair, so so many pairs are equal at least, and a prefix that leaves out one less meets.
@@ -383,7 +383,7 @@ def _family_links(docs: DataFrame, family: DataFrame, classes: DataFrame, shingl
 
 def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(doc_id, h, n_shingles, comp, component_id) for each row; h is the text's xxhash64, comp null where the set is empty."""
-    signed = kept(signatures(docs, shingle))
+    signed = kept(signatures(bounded(docs), shingle))
     classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("head"), F.first("sig").alias("sig"))
     classes = kept(classes.withColumn("cls", F.monotonically_increasing_id()))  # as written, so each class has one number
     buckets = B.buckets(classes, classes.count() * POSTS)

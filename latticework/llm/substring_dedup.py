@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from . import _text as T
-from ._shared import kept
+from ._shared import bounded, kept
 
 ANCHORS, WINDOWS = "doc_id long, tag long, sha binary, hs array<long>", "w1 long, w2 long, doc_id long, tag long, pos int"
 
@@ -112,7 +112,7 @@ def removal(docs: DataFrame, window: int, schema: pa.Schema, emit: Callable[[pa.
     if window < 1:
         raise ValueError("a window has one word at least")
     key = ["doc_id", "tag"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256))).withColumn("tag", F.xxhash64("sha"))
     # packed and written, so that no text is read twice for what is counted and then asked
     every = kept(anchors(rows.filter("doc_id is not null"), window))

@@ -36,6 +36,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from . import _blocks as B
 from . import _text as T
+from ._shared import bounded
 
 #: Occurrences of a sample string from which its windows go alone, and bytes of text that a bucket is laid out for.
 HEAVY, BUCKET_TEXT = 8192, 16 << 20
@@ -189,7 +190,7 @@ def ranked(table: pa.Table, length: int) -> list[bytes]:
 
 def removal(docs: DataFrame, length: int, schema: pa.Schema, emit: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.Table], heavy: int) -> DataFrame:
     """Applies ``emit`` to rows, their bytes, offsets and the mask of bytes to remove."""
-    blocks, total = B.layout(docs)
+    blocks, total = B.layout(bounded(docs))
     buckets = max(ceil(total / BUCKET_TEXT), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parts = B.in_blocks(docs, blocks, F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("sha"))
     sent = pa.schema([("blk", pa.int32()), ("h", pa.int64()), ("number", pa.int64()), ("lead", pa.int32()), ("weight", pa.int64()), ("context", pa.binary())])

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from . import _text as T
+from ._shared import bounded
 
 SIZES, BITS, WIDTH = (3, 4, 5), 19, 8
 PER_CLASS, MOST_BYTES, LEAST_TEXTS = 2000, 1 << 16, 3
@@ -183,7 +184,7 @@ def score(docs: DataFrame, fitted: tuple[np.ndarray, float], schema: pa.Schema,
             mean = total / (PRIOR + np.bincount(owner, minlength=batch.num_rows))
             yield emit(batch, 1 / (1 + np.exp(-np.clip(mean + bias, -500, 500))))
 
-    return docs.mapInArrow(step, from_arrow_schema(schema))
+    return bounded(docs).mapInArrow(step, from_arrow_schema(schema))
 
 
 def scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES, least_texts: int = LEAST_TEXTS) -> DataFrame:
