@@ -250,9 +250,9 @@ def replace(docs: DataFrame, key: str = "surrogate-key", broadcast_rows: int = B
     filled = F.zip_with(between, F.col("_written"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     changed = F.size("_mentions") > 0
     text = F.when(changed, F.array_join(filled, "")).otherwise(F.col("text"))
-    changed = F.coalesce(changed, F.lit(False))
-    new = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": text}
+    named = named.select("_row", text.alias("_text"), F.coalesce(changed, F.lit(False)).alias("_changed"), F.coalesce(F.size("_mentions"), F.lit(0)).cast("long").alias("_n"))
+    new = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length(text).cast("long")).otherwise(F.col("_row.n_chars"))
-    new |= {"n_entities": F.coalesce(F.size("_mentions"), F.lit(0)).cast("long"), "changed": changed}
+        new["n_chars"] = F.when(F.col("_changed"), F.length("_text").cast("long")).otherwise(F.col("_row.n_chars"))
+    new |= {"n_entities": F.col("_n"), "changed": F.col("_changed")}
     return named.select(*[x.alias(c) for c, x in new.items()])
