@@ -202,16 +202,17 @@ def later_attempts(docs: DataFrame, key: str) -> DataFrame | None:
     """(type, canon, attempt) of the entities whose first surrogates collide; None if none does."""
     found = docs.select(F.explode(_mentions(F.col("text"))).alias("mention")).distinct().withColumn("kind", _type(F.col("mention")))
     entity = found.select(F.explode(_entities(F.col("mention"), F.col("kind"))).alias("e")).select("e.type", "e.canon").distinct()
-    state = kept(entity.withColumn("attempt", F.lit(0)))
+    # a small table, but its surrogates are dear: files enough for all tasks
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = kept(entity.withColumn("attempt", F.lit(0)).repartition(parts, "type", "canon"))
     real = state.select("type", F.col("canon").alias("drawn"), F.lit(True).alias("real"))
     while True:
-        # the table is a small file, its surrogates are dear: dealt out by hand
-        each = state.repartition(parts, "type", "canon").withColumn("e", _seeded(key, F.col("type"), F.col("canon"), F.col("attempt"))).withColumn("drawn", _drawn(F.col("e"))).drop("e")
+        # drawn in a plan of its own, which is planned once
+        each = kept(state.withColumn("e", _seeded(key, F.col("type"), F.col("canon"), F.col("attempt"))).withColumn("drawn", _drawn(F.col("e"))).drop("e"))
         turn = F.row_number().over(W.partitionBy("type", "drawn").orderBy("attempt", "canon"))
         each = each.withColumn("turn", turn).join(real, ["type", "drawn"], "left")
         again = F.coalesce(F.col("real"), F.lit(False)) | (F.col("turn") > 1)
-        state = kept(each.select("type", "canon", (F.col("attempt") + again.cast("int")).alias("attempt"), again.alias("again")))
+        state = kept(each.select("type", "canon", (F.col("attempt") + again.cast("int")).alias("attempt"), again.alias("again")).repartition(parts, "type", "canon"))
         if state.filter("again").isEmpty():
             late = state.filter("attempt > 0").select("type", "canon", "attempt")
             return None if late.isEmpty() else late
