@@ -221,39 +221,40 @@ def later_attempts(docs: DataFrame, key: str) -> DataFrame | None:
 
 def replace(docs: DataFrame, key: str = "surrogate-key", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with ``text`` rewritten, and ``n_entities`` and ``changed`` added."""
-    # a caller's columns travel in one, so that none has a name in use here
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
+    lead = "_"
+    while any(c.lower().startswith(lead) for c in docs.columns):  # no caller's column has a name in use here
+        lead += "_"
+    mentions, late_, of_text, attempts_, steps, written = (lead + c for c in ("mentions", "late", "of_text", "attempts", "steps", "written"))
     late = later_attempts(docs, key)
-    named = named.withColumn("_mentions", _mentions(F.col("text")))
+    named = docs.withColumn(mentions, _mentions(F.col("text")))
     attempts = F.create_map().cast("map<string,int>")
     if late is not None:
-        texts = docs.filter(F.col("text").rlike(HINT)).select(F.sha2("text", 256).alias("_h"), F.explode(_mentions(F.col("text"))).alias("m")).distinct()
-        texts = texts.withColumn("kind", _type(F.col("m"))).select("_h", F.explode(_entities(F.col("m"), F.col("kind"))).alias("e")).select("_h", "e.type", "e.canon").distinct()
-        own = kept(texts.join(late, ["type", "canon"]).groupBy("_h").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "type", "canon"), "attempt"))).alias("_late")))
+        texts = docs.filter(F.col("text").rlike(HINT)).select(F.sha2("text", 256).alias(of_text), F.explode(_mentions(F.col("text"))).alias("m")).distinct()
+        texts = texts.withColumn("kind", _type(F.col("m"))).select(of_text, F.explode(_entities(F.col("m"), F.col("kind"))).alias("e")).select(of_text, "e.type", "e.canon").distinct()
+        own = kept(texts.join(late, ["type", "canon"]).groupBy(of_text).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "type", "canon"), "attempt"))).alias(late_)))
         # a choice of joins only
         if own.limit(broadcast_rows + 1).count() <= broadcast_rows:
             own = F.broadcast(own)
-        named = named.withColumn("_h", F.when(F.size("_mentions") > 0, F.sha2("text", 256)).otherwise(F.monotonically_increasing_id().cast("string"))).join(own, "_h", "left").drop("_h")
-        attempts = F.coalesce(F.col("_late"), attempts)
+        named = named.withColumn(of_text, F.sha2("text", 256)).join(own, of_text, "left").drop(of_text)
+        attempts = F.coalesce(F.col(late_), attempts)
 
     # one column a step, so that nothing is evaluated twice
-    named = named.withColumn("_attempts", attempts)
-    named = named.withColumn("_steps", F.transform("_mentions", lambda m: F.struct(m.alias("m"), _type(m).alias("kind"))))
-    named = named.withColumn("_steps", F.transform("_steps", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _entities(x["m"], x["kind"]).alias("e"))))
+    named = named.withColumn(attempts_, attempts)
+    named = named.withColumn(steps, F.transform(mentions, lambda m: F.struct(m.alias("m"), _type(m).alias("kind"))))
+    named = named.withColumn(steps, F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), _entities(x["m"], x["kind"]).alias("e"))))
 
     def seeded(e):
-        return _seeded(key, e["type"], e["canon"], F.coalesce(F.element_at("_attempts", F.concat_ws("|", e["type"], e["canon"])), F.lit(0)))
+        return _seeded(key, e["type"], e["canon"], F.coalesce(F.element_at(attempts_, F.concat_ws("|", e["type"], e["canon"])), F.lit(0)))
 
-    named = named.withColumn("_steps", F.transform("_steps", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), F.transform(x["e"], seeded).alias("e"))))
-    named = named.withColumn("_steps", F.transform("_steps", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), F.transform(x["e"], _drawn).alias("d"))))
-    named = named.withColumn("_written", F.transform("_steps", lambda x: _written(x["m"], x["kind"], x["d"])))
+    named = named.withColumn(steps, F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), F.transform(x["e"], seeded).alias("e"))))
+    named = named.withColumn(steps, F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), F.transform(x["e"], _drawn).alias("d"))))
+    named = named.withColumn(written, F.transform(steps, lambda x: _written(x["m"], x["kind"], x["d"])))
     between = F.split("text", MENTION, -1)
-    filled = F.zip_with(between, F.col("_written"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    changed = F.size("_mentions") > 0
+    filled = F.zip_with(between, F.col(written), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    changed = F.size(mentions) > 0
     text = F.when(changed, F.array_join(filled, "")).otherwise(F.col("text"))
-    named = named.select("_row", text.alias("_text"), F.coalesce(changed, F.lit(False)).alias("_changed"), F.coalesce(F.size("_mentions"), F.lit(0)).cast("long").alias("_n"))
-    new = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_text")}
+    out = named.withColumn("n_entities", F.coalesce(F.size(mentions), F.lit(0)).cast("long")).withColumn("changed", F.coalesce(changed, F.lit(False)))
+    out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_changed"), F.length("_text").cast("long")).otherwise(F.col("_row.n_chars"))
-    new |= {"n_entities": F.col("_n"), "changed": F.col("_changed")}
-    return named.select(*[x.alias(c) for c, x in new.items()])
+        out = out.withColumn("n_chars", F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_entities", "changed")], "n_entities", "changed")

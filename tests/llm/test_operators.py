@@ -447,6 +447,15 @@ def test_pii_emails_of_few_surrogates(spark):
     assert all(re.fullmatch(pii.PATTERNS["email"], m) and m.rpartition(".")[2] == old.rpartition(".")[2] for m, old in zip(new, mails, strict=True))
 
 
+def test_pii_with_clashing_names_and_late_attempts(spark):
+    """A caller's columns of any name pass through, also where surrogates collide and are joined back, by either join."""
+    rows = [(i, f"{i % 10}@{i // 10}.99", "m", "l", f"h{i}", None, i) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _mentions string, _late string, _h string, _steps int, type long")
+    one, two = (sorted(map(repr, pii.replace(docs, broadcast_rows=n).collect())) for n in (20_000, 0))
+    assert one == two and pii.replace(docs).columns == [*docs.columns, "n_entities", "changed"]
+    assert sorted(r[2:7] + (r[0],) for r in pii.replace(docs).collect()) == sorted(r[2:] + (r[0],) for r in rows)
+
+
 def test_pii_more_surnames_than_short_surrogates(spark):
     n = 70_000
     docs = spark.range(n).selectExpr("id doc_id", "concat('Mr Q', translate(format_string('%05d', id), '0123456789', 'bcdfghjklm')) text", "0L n_chars")
