@@ -128,6 +128,11 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0), add) % 10
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once and written once in the plan."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _drawn(entity: Column) -> Column:
     """The surrogate's canonical form, of a seeded entity."""
     kind, canon, seed = entity["type"], entity["canon"], entity["seed"]
@@ -144,35 +149,45 @@ def _drawn(entity: Column) -> Column:
         new = F.when(lead & new.isin("0", "1"), F.lit("7")).otherwise(new)
         return F.when((i <= keep) | (i > ends), old).otherwise(new)
 
-    spelled = F.array_join(F.transform(F.sequence(F.lit(1), F.length(canon)), letter), "")
     attempt = entity["attempt"]
-    extra = F.least(attempt, F.lit(MOST_LETTERS))
-    over = F.greatest(F.instr(canon, "@") - 1 + extra - LOCAL, F.lit(0))
-    longer = F.concat(F.substring(letters, F.lit(1), extra), F.substring(spelled, over + 1, F.length(spelled)))
-    longer_number = F.concat(spelled, F.substring(digits, F.lit(1), attempt - EARLY))
-    spelled = F.when(attempt == 0, spelled).when(kind == "email", longer).when(attempt > EARLY, longer_number).otherwise(spelled)
-    open_ = F.concat(F.substring(spelled, F.lit(1), F.length(spelled) - 1), F.lit("0"))
-    valid = F.concat(F.substring(spelled, F.lit(1), F.length(spelled) - 1), ((10 - _luhn(open_)) % 10).cast("string"))
+
+    def longer(spelled: Column) -> Column:
+        extra = F.least(attempt, F.lit(MOST_LETTERS))
+        over = F.greatest(F.instr(canon, "@") - 1 + extra - LOCAL, F.lit(0))
+        mail = F.concat(F.substring(letters, F.lit(1), extra), F.substring(spelled, over + 1, F.length(spelled)))
+        number = F.concat(spelled, F.substring(digits, F.lit(1), attempt - EARLY))
+        return F.when(attempt == 0, spelled).when(kind == "email", mail).when(attempt > EARLY, number).otherwise(spelled)
+
+    def checked(spelled: Column) -> Column:
+        """A card number whose check passes stays one."""
+        front = F.substring(spelled, F.lit(1), F.length(spelled) - 1)
+        return F.when((kind == "card") & (_luhn(canon) == 0), F.concat(front, ((10 - _luhn(F.concat(front, F.lit("0")))) % 10).cast("string"))).otherwise(spelled)
+
+    plain = F.array_join(F.transform(F.sequence(F.lit(1), F.length(canon)), letter), "")
+    plain = _let(_let(plain, longer), checked)
 
     def number(at, most):
         return F.conv(F.substring(seed, at, 4), 16, 10).cast("int") % most
 
     address = F.concat_ws(".", (number(1, 222) + 1).cast("string"), *((number(a, 256)).cast("string") for a in (5, 9, 13)))
     wide = F.concat_ws(":", F.concat(F.lit("fd"), F.substring(seed, 17, 2)), *(F.substring(seed, a, 4) for a in range(19, 47, 4)))
-    out = F.when(kind == "ip6", wide).when(kind == "ip", F.when(attempt > EARLY, wide).otherwise(address)).when((kind == "card") & (_luhn(canon) == 0), valid)
-    places = F.sequence(F.lit(9), F.least(attempt + 3, F.lit(MOST_SYLLABLES - 1)) * 4 + 9, F.lit(4))
 
-    def drawn_from(syllables):
-        return lambda at: syllables[F.conv(F.substring(seed, at, F.lit(4)), 16, 10).cast("int") % 16]
-
-    for (sex, script), given in GIVEN.items():
-        syllables = F.array(*map(F.lit, SYLLABLES[script]))
-        more = F.array_join(F.transform(places, drawn_from(syllables)), "")
-        first = F.array(*map(F.lit, given))[number(5, 16)]
-        # a first name is drawn from the list, with a syllable where attempts show the list to be too short
-        late = F.when(attempt > 2, more).otherwise("")
-        out = out.when(kind == f"given_{sex}_{script}", F.lower(F.concat(first, late))).when(kind == f"surname_{sex}_{script}", F.concat(more, F.lit(ENDINGS[sex, script])))
-    return out.otherwise(spelled)
+    # names: one list of syllables and of given names, chosen by type
+    syllables = F.when(kind.endswith("latin"), F.array(*map(F.lit, SYLLABLES["latin"]))).otherwise(F.array(*map(F.lit, SYLLABLES["cyrillic"])))
+    places = F.sequence(F.lit(9), F.least(attempt + 3, F.lit(MOST_SYLLABLES - 1)) * 4 + 9, F.lit(4))
+    drawn = _let(syllables, lambda from_: F.array_join(F.transform(places, lambda at: from_[F.conv(F.substring(seed, at, F.lit(4)), 16, 10).cast("int") % 16]), ""))
+    given, ending = F.array().cast("array<string>"), F.lit("")
+    for (sex, script), names in GIVEN.items():
+        given = F.when(kind == f"given_{sex}_{script}", F.array(*map(F.lit, names))).otherwise(given)
+        ending = F.when(kind == f"surname_{sex}_{script}", F.lit(ENDINGS[sex, script])).otherwise(ending)
+
+    def name(more: Column) -> Column:
+        # a first name is drawn from the list, with syllables where attempts show the list to be too short
+        first = F.lower(F.concat(given[number(5, 16)], F.when(attempt > 2, more).otherwise("")))
+        return F.when(kind.startswith("given_"), first).otherwise(F.concat(more, ending))
+
+    out = F.when(kind.startswith("given_") | kind.startswith("surname_"), _let(drawn, name)).when(kind == "ip6", wide)
+    return out.when(kind == "ip", F.when(attempt > EARLY, wide).otherwise(address)).otherwise(plain)
 
 
 def _written(mention: Column, kind: Column, drawn: Column) -> Column:
