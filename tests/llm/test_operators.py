@@ -90,6 +90,21 @@ def test_suffix_dedup(docs, rows, length):
     assert got(suffix_dedup.digests(docs, length), *BYTES) == brute_bytes(rows, length)
 
 
+@pytest.mark.parametrize("heavy", [0, 3])
+def test_suffix_dedup_of_frequent_samples(docs, rows, heavy):
+    """Windows that go alone, by digest, give the same."""
+    assert got(suffix_dedup.digests(docs, 20, heavy), *BYTES) == brute_bytes(rows, 20)
+
+
+def test_words_of_equal_polynomial_hashes(spark):
+    """A Thue-Morse word and its complement, which a polynomial modulo 2**64 can't tell apart."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, " ".join([one] * 60)), (2, " ".join([one.translate({97: 98, 98: 97})] * 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(substring_dedup.digests(docs), *WINDOWS) == brute_windows(rows, 50)
+    assert got(minhash_dedup.near_duplicates(docs, 2), *NEAR) == brute_near(rows, 2)
+
+
 def test_suffix_dedup_on_documents(real):
     assert got(suffix_dedup.digests(real), *BYTES) == brute_bytes(as_rows(real), 200)
 
