@@ -7,12 +7,15 @@ the array kernels. Two shuffles a sweep, whatever the size.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import require
+
 
 def neighbours(cells: DataFrame, x: str = "x") -> DataFrame:
     """Adds left, right, up and down."""
@@ -61,7 +64,9 @@ def iterate(cells: DataFrame, sweep: Callable[[DataFrame], DataFrame], sweeps: i
     """``sweeps`` sweeps; lineage is cut by a checkpoint in the shared folder every few."""
     context = cells.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        shared = context.getConf().get("spark.checkpoint.dir")
+        require(bool(shared) or context.master.startswith("local"), "on a cluster, spark.checkpoint.dir must name a shared folder")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     for k in range(sweeps):
         cells = sweep(cells)
         if (k + 1) % every == 0 and k + 1 < sweeps:

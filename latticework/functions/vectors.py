@@ -97,3 +97,16 @@ def spmv(entries: DataFrame, vector: DataFrame) -> DataFrame:
 def matvec(rows: DataFrame, x: Column) -> DataFrame:
     """(i, y) of dense rows (i, row array) times an array, each from left to right."""
     return rows.select("i", fold(F.zip_with("row", x, lambda a, b: a * b)).alias("y"))
+
+
+def owner(place: Column, n: Column, parts: Column) -> Column:
+    """Which of the balanced blocks holds a place of 0 to n - 1: the inverse of block_start."""
+    base, extra = F.floor(n / parts), n % parts
+    small = F.when(base > 0, extra + F.floor((place - extra * (base + 1)) / base))
+    return F.when(place < extra * (base + 1), F.floor(place / (base + 1))).otherwise(small)
+
+
+def local_rows(rows: DataFrame, place: str, n: int | Column, parts: int) -> DataFrame:
+    """Rows with the block that owns them, the rows of a block in one partition and blocks in order."""
+    own = owner(F.col(place), (n if isinstance(n, Column) else F.lit(n)).cast("long"), F.lit(parts).cast("long"))
+    return rows.withColumn("owner", own).repartitionByRange(parts, "owner")

@@ -45,8 +45,9 @@ def generation(runs: DataFrame) -> DataFrame:
 
 
 def latest(runs: DataFrame, identity: list[str]) -> DataFrame:
-    """One run for each identity, the newest (upsert)."""
-    new = W.partitionBy(*identity).orderBy(F.col("measured_at").desc(), F.col("seconds_median"))
+    """One run for each identity, the newest (upsert); ties by seconds, then by the other columns in their order."""
+    rest = [c for c, kind in runs.dtypes if c not in {*identity, "measured_at", "seconds_median"} and not kind.startswith("map")]
+    new = W.partitionBy(*identity).orderBy(F.col("measured_at").desc(), "seconds_median", *rest)
     return runs.withColumn("_turn", F.row_number().over(new)).filter("_turn = 1").drop("_turn")
 
 
@@ -64,6 +65,13 @@ def status(wanted: DataFrame, runs: DataFrame, identity: list[str]) -> DataFrame
     return out.select(*wanted.columns, F.when(F.col("_own"), "have").when(F.col("_some"), "have-earlier").otherwise("run").alias("status"))
 
 
+def status_counts(wanted: DataFrame, runs: DataFrame, identity: list[str], by: str) -> DataFrame:
+    """Configurations by status, with the identities of runs that nobody wants as "unpredicted"."""
+    odd = runs.select(*identity).distinct().join(wanted.select(*identity), identity, "left_anti")
+    said = status(wanted, runs, identity).select(by, "status").unionByName(odd.select(by, F.lit("unpredicted").alias("status")))
+    return said.groupBy(by, "status").agg(F.count("*").alias("n"))
+
+
 def expand(spark, axes: dict[str, list]) -> DataFrame:
     """A row for each combination of the axes' values."""
     out = spark.range(1)
@@ -99,6 +107,19 @@ def separable(runs: DataFrame, keys: list[str], base: Column) -> DataFrame:
     return out.withColumns({"effect": effect, "verdict": F.when(told, F.when(effect > 0, "slower").otherwise("faster")).otherwise("not separable at this precision")})
 
 
+def axis_cost(runs: DataFrame, axis: str, values: list[str], base: str, keys: list[str]) -> DataFrame:
+    """What each value of one axis (reduction, schedule, pinning) costs against ``base``, the keys being equal.
+
+    A row for each value and each keys that any run has; the verdict of the base itself
+    is "baseline", and "pending" where the run or its baseline is missing.
+    """
+    wanted = runs.select(*keys).distinct().withColumn(axis, F.explode(F.array(*map(F.lit, values))))
+    have = runs.select(*keys, axis, "seconds_median", spread().alias("spread"))
+    told = separable(runs, keys, F.col(axis) == base).select(*keys, axis, "effect", "verdict")
+    verdict = F.when(F.col("seconds_median").isNull(), "pending").when(F.col(axis) == base, "baseline").otherwise(F.coalesce("verdict", F.lit("pending")))
+    return wanted.join(have, [*keys, axis], "left").join(told, [*keys, axis], "left").withColumn("verdict", verdict)
+
+
 def convergence_pivot(runs: DataFrame, sides: list[int]) -> DataFrame:
     """Iterations by solver and grid side: a number, cap or pending."""
     cell = F.when(F.col("converged") == 1, F.col("iterations").cast("string")).otherwise("cap")
@@ -181,19 +202,32 @@ def _two_lines(y: list[float], x: list[float]) -> float:
 
 
 def bootstrap_knee(points: DataFrame, keys: list[str], resamples: int = 2000, seed: int = 20260906) -> DataFrame:
-    """2.5 and 97.5 % nearest-rank bounds of the knee, over resampled repetitions (x, reps array)."""
+    """2.5 and 97.5 % nearest-rank bounds of the knee, over resampled repetitions (x, reps array).
+
+    Where reps are null or empty and the columns seconds_min, seconds_median, seconds_max and n
+    are there, n draws from the triangle of these three stand for them; keys with neither have no row.
+    """
     types = dict(points.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "low double", "high double"])
+    triangle = ["seconds_min", "seconds_median", "seconds_max", "n"]
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("x")
         if len(frame) < 5:
             return pd.DataFrame(columns=[*keys, "low", "high"])
         draw, x = random.Random(seed), frame["x"].astype(float).tolist()
-        reps = [sorted(r) for r in frame["reps"]]
+        reps = [sorted(r) if r is not None else [] for r in frame["reps"]]
+        corners = frame[triangle].to_numpy().tolist() if set(triangle) <= set(frame.columns) else [[float("nan")] * 4] * len(x)
+        if any(not r and not sum(c) == sum(c) for r, c in zip(reps, corners, strict=True)):
+            return pd.DataFrame(columns=[*keys, "low", "high"])
+
+        def median(r: list[float], low: float, middle: float, high: float, n: float) -> float:
+            drawn = [draw.choice(r) for _ in r] or [draw.triangular(low, high, middle) for _ in range(int(n))]
+            return sorted(drawn)[len(drawn) // 2]
+
         found = []
         for _ in range(resamples):
-            medians = [sorted(draw.choice(r) for _ in r)[len(r) // 2] for r in reps]
+            medians = [median(r, *c) for r, c in zip(reps, corners, strict=True)]
             found.append(x[_two_lines([medians[0] / m for m in medians], x)])
         found.sort()
         low, high = (found[round((len(found) - 1) * q)] for q in (0.025, 0.975))
@@ -236,6 +270,30 @@ def device_comparison(runs: DataFrame, device: str, peaks: DataFrame) -> DataFra
     return out.withColumns({"measured": F.try_divide("seconds_median", "device_seconds_median"), "predicted": F.try_divide("device_efficiency", "efficiency") * F.try_divide("device_peak", "peak")})
 
 
+def efficiency_by_method(runs: DataFrame, host: str, device: str, peaks: DataFrame, resident: Column, cache: float) -> DataFrame:
+    """Percent of their own triad (backend, peak) that both sides reach with each solver, at the largest size that streams.
+
+    Of several runs of a solver on a side the fastest counts, ties by fewer workers. The
+    bounds move inversely with the seconds; they and the counted efficiency are null where
+    something is missing. Solvers that one side lacks are left out; without a streaming size
+    there are no rows.
+    """
+    both = runs.filter(F.col("backend").isin(host, device))
+    top = both.filter(cache_regime(resident, cache) == "streaming").agg(F.max("unknowns").alias("unknowns"))
+    given = ["unknowns", "workers", "seconds_median", "seconds_min", "seconds_max", "gib_per_second", "bytes_per_unknown", "dram_bytes_per_unknown_per_sweep", "passes", "sweeps"]
+    best = F.min_by(F.struct(*given), F.struct("seconds_median", "workers")).alias("r")
+    at = both.join(F.broadcast(top), "unknowns").groupBy("solver", "backend").agg(best).select("solver", "backend", "r.*").join(peaks, "backend")
+    share = F.try_divide(F.col("gib_per_second") * 100.0, F.col("peak"))
+    told = {
+        "efficiency": share,
+        "low": share * F.try_divide(F.col("seconds_median"), F.col("seconds_max")),
+        "high": share * F.try_divide(F.col("seconds_median"), F.col("seconds_min")),
+        "counted": F.try_divide(counted_bandwidth() * 100.0, recounted_triad(F.col("peak"))),
+    }
+    sides = [F.max(F.when(F.col("backend") == b, F.col(c))).alias(f"{side}_{c}") for side, b in (("host", host), ("device", device)) for c in told]
+    return at.withColumns(told).groupBy("solver", "unknowns").agg(F.count("*").alias("_sides"), *sides).filter("_sides = 2").drop("_sides")
+
+
 def bandwidth_table(probes: DataFrame) -> DataFrame:
     """Best and worst worker count of each probe, with GiB/s, from (probe, workers, gib)."""
     return probes.groupBy("probe").agg(F.max("gib").alias("best"), F.max_by("workers", F.struct("gib", -F.col("workers"))).alias("best_workers"), F.min("gib").alias("worst"), F.min_by("workers", F.struct("gib", "workers")).alias("worst_workers"))

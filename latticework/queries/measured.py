@@ -156,9 +156,52 @@ def row_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.latest(orders, ["o_custkey"]).select("o_custkey", "o_orderkey", "seconds_median")
 
 
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer with every status, as configurations."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    return customers.withColumn("o_orderstatus", F.explode(F.array(*map(F.lit, ("F", "O", "X")))))
+
+
 def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders, as configurations without runs."""
-    return A.pending(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")), table(spark, sf_dir, "orders"), ["o_custkey"])
+    """Customers and statuses without orders, as configurations without runs."""
+    return A.pending(_wanted(spark, sf_dir), table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"])
+
+
+def dry_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same configurations counted by status; orders of a status that nobody wants are unpredicted."""
+    wanted = _wanted(spark, sf_dir).withColumn("commit", F.lit("1-URGENT"))
+    done = table(spark, sf_dir, "orders").withColumn("commit", F.col("o_orderpriority"))
+    return A.status_counts(wanted, done, ["o_custkey", "o_orderstatus", "commit"], "o_orderstatus")
+
+
+def axis_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workers as the policy whose cost is asked; some runs are missing."""
+    keys, some = ["solver", "backend", "unknowns"], runs(spark, sf_dir).filter("iterations % 7 > 0")
+    asked = some.withColumn("policy", F.col("workers").cast("string"))
+    return _rounded(A.axis_cost(asked, "policy", ["1", "2", "4", "8"], "1", keys).select(*keys, "policy", "seconds_median", "spread", "effect", "verdict"), "seconds_median", "spread", "effect")
+
+
+def reduction_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line status as the reduction, line number as the backend."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("backend"), F.col("l_linestatus").alias("reduction"))
+    price = F.col("l_extendedprice")
+    mean = F.sum(F.round(price * 100).cast("decimal(20,0)")).cast("double") / F.count("*") / 100.0
+    own = lines.agg(F.min(price).alias("seconds_min"), mean.alias("seconds_median"), F.max(price).alias("seconds_max"))
+    return _rounded(A.axis_cost(own, "reduction", ["F", "O"], "F", ["backend"]).select("backend", "reduction", "effect", "verdict"), "effect")
+
+
+def efficiency_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = runs(spark, sf_dir)
+    peaks = own.groupBy("backend").agg(F.max("gib_per_second").alias("peak"))
+    out = A.efficiency_by_method(own, "F", "O", peaks, F.col("unknowns") * F.col("bytes_per_unknown"), 5_000.0)
+    return _rounded(out, *[c for c in out.columns if c not in ("solver", "unknowns")], digits=6)
+
+
+def manifest_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as manifests of their customers: one customer's newest gets a new bandwidth."""
+    stamp = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    found = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("commit"), F.col("o_totalprice").alias("bandwidth"), F.col("o_orderstatus").alias("traffic_model"), stamp.alias("stamp"), "o_custkey")
+    return results.refresh_bandwidth(found, "2-HIGH", F.lit(55.0), F.lit("resolved"), "probed again", "20260906T203409Z")
 
 
 def identity_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +244,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         spread, speedup_bounds, separable_effect, backend_cost, backend_ranking, convergence_pivot, dispersion, counted_bandwidth, cache_regime, growth_pairs, red_black_penalty, device_comparison, knee,
-        bootstrap_knee, traffic_model, nearest_rank, bandwidth_table, recounted_triad, row_upsert, resume_antijoin, identity_status, matrix_expand, migrate_rows, outcomes, repetition_parser, dirty_filter,
+        bootstrap_knee, traffic_model, nearest_rank, bandwidth_table, recounted_triad, row_upsert, resume_antijoin, dry_run_counts, identity_status, matrix_expand, migrate_rows, outcomes, repetition_parser, dirty_filter, axis_cost, reduction_cost, efficiency_by_method, manifest_refresh,
     )
 }
 
@@ -209,6 +252,7 @@ _COMPARED = "CASE WHEN abs(effect) > greatest(a.spread, b.spread) THEN CASE WHEN
 _EFFECT = "(a.seconds_median - b.seconds_median) / b.seconds_median"
 _COUNTED = "gib * (dram / bytes_per_unknown) * (passes::DOUBLE / sweeps)"
 _LINE = "regr_syy(y, x) FILTER ({0}) - coalesce(pow(regr_sxy(y, x) FILTER ({0}), 2) / nullif(regr_sxx(y, x) FILTER ({0}), 0), 0)"
+_WANTED = "WITH w AS (SELECT c_custkey AS o_custkey, s AS o_orderstatus FROM customer, (VALUES ('F'), ('O'), ('X')) v(s))"
 ORACLES = {
     "spread": f"WITH {_RUNS} SELECT solver, backend, workers, unknowns, round(spread, 9) AS spread FROM r",
     "speedup_bounds": f"WITH {_RUNS} SELECT a.solver, a.backend, a.unknowns, a.workers, round(b.seconds_median / a.seconds_median, 9) AS speedup, round(b.seconds_min / a.seconds_max, 9) AS low, round(b.seconds_max / a.seconds_min, 9) AS high FROM r a JOIN r b ON b.workers = 1 AND a.solver = b.solver AND a.backend = b.backend AND a.unknowns = b.unknowns",
@@ -231,8 +275,27 @@ SELECT *, CASE WHEN low < 1.10 AND high > 1.10 OR low < 1.20 AND high > 1.20 THE
     "nearest_rank": f"WITH {_PROBES} SELECT probe, workers, " + ", ".join(f"round(list_sort(reps)[{at}], 9) AS {c}" for c, at in (("low", "round_even((len(reps) - 1) * 0.025, 0)::INTEGER + 1"), ("middle", "len(reps) // 2 + 1"), ("high", "round_even((len(reps) - 1) * 0.975, 0)::INTEGER + 1"))) + " FROM p",
     "bandwidth_table": f"""WITH m AS ({_mean_sql("l_returnflag AS probe, l_quantity::INTEGER AS workers")}) SELECT probe, round(max(y), 9) AS best, arg_max(workers, y) AS best_workers, round(min(y), 9) AS worst, arg_min(workers, y) AS worst_workers FROM m GROUP BY probe""",
     "recounted_triad": f"""WITH m AS ({_mean_sql("l_returnflag AS probe, l_linenumber AS workers")}) SELECT probe, round(max(y) * 32.0 / 24.0, 9) AS recounted FROM m GROUP BY probe""",
-    "row_upsert": "SELECT o_custkey, o_orderkey, o_totalprice AS seconds_median FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_totalprice) AS k FROM orders) WHERE k = 1",
-    "resume_antijoin": "SELECT c_custkey AS o_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "row_upsert": "SELECT o_custkey, o_orderkey, o_totalprice AS seconds_median FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_totalprice, o_orderkey) AS k FROM orders) WHERE k = 1",
+    "resume_antijoin": f"{_WANTED} SELECT o_custkey, o_orderstatus FROM w ANTI JOIN orders USING (o_custkey, o_orderstatus)",
+    "dry_run_counts": f"""{_WANTED}, s AS (SELECT o_orderstatus, CASE WHEN EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = w.o_custkey AND o.o_orderstatus = w.o_orderstatus AND o_orderpriority = '1-URGENT') THEN 'have'
+  WHEN EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = w.o_custkey AND o.o_orderstatus = w.o_orderstatus) THEN 'have-earlier' ELSE 'run' END AS status FROM w
+UNION ALL SELECT o_orderstatus, 'unpredicted' FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders) o WHERE o_orderpriority <> '1-URGENT' OR NOT EXISTS (SELECT 1 FROM w WHERE w.o_custkey = o.o_custkey AND w.o_orderstatus = o.o_orderstatus))
+SELECT o_orderstatus, status, count(*) AS n FROM s GROUP BY ALL""",
+    "axis_cost": f"""WITH {_RUNS}, q AS (SELECT *, workers::VARCHAR AS policy FROM r WHERE iterations % 7 > 0), k AS (SELECT DISTINCT solver, backend, unknowns, p AS policy FROM q, (VALUES ('1'), ('2'), ('4'), ('8')) v(p))
+SELECT k.solver, k.backend, k.unknowns, k.policy, round(a.seconds_median, 9) AS seconds_median, round(a.spread, 9) AS spread, CASE WHEN k.policy <> '1' THEN round({_EFFECT}, 9) END AS effect,
+  CASE WHEN a.seconds_median IS NULL THEN 'pending' WHEN k.policy = '1' THEN 'baseline' WHEN b.seconds_median IS NULL THEN 'pending' ELSE {_COMPARED.removesuffix(' AS verdict').replace('effect', _EFFECT)} END AS verdict
+FROM k LEFT JOIN q a USING (solver, backend, unknowns, policy) LEFT JOIN q b ON b.policy = '1' AND b.solver = k.solver AND b.backend = k.backend AND b.unknowns = k.unknowns""",
+    "reduction_cost": f"""WITH m AS (SELECT l_linenumber AS backend, l_linestatus AS reduction, min(l_extendedprice) AS lo, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / count(*) / 100.0::DOUBLE AS seconds_median, max(l_extendedprice) AS hi FROM lineitem GROUP BY ALL),
+q AS (SELECT *, (hi - lo) / seconds_median AS spread FROM m), k AS (SELECT DISTINCT backend, p AS reduction FROM m, (VALUES ('F'), ('O')) v(p))
+SELECT k.backend, k.reduction, CASE WHEN k.reduction <> 'F' THEN round({_EFFECT}, 9) END AS effect, CASE WHEN a.lo IS NULL THEN 'pending' WHEN k.reduction = 'F' THEN 'baseline' WHEN b.lo IS NULL THEN 'pending' ELSE {_COMPARED.removesuffix(' AS verdict').replace('effect', _EFFECT)} END AS verdict
+FROM k LEFT JOIN q a USING (backend, reduction) LEFT JOIN q b ON b.backend = k.backend AND b.reduction = 'F'""",
+    "efficiency_by_method": f"""WITH {_RUNS}, peaks AS (SELECT backend, max(gib) AS peak FROM r GROUP BY 1), top AS (SELECT max(unknowns) AS unknowns FROM r WHERE backend IN ('F', 'O') AND unknowns * bytes_per_unknown >= 4 * 5000),
+f AS (SELECT r.*, peak, row_number() OVER (PARTITION BY solver, r.backend ORDER BY seconds_median, workers) AS place FROM r JOIN top USING (unknowns) JOIN peaks ON peaks.backend = r.backend WHERE r.backend IN ('F', 'O')),
+e AS (SELECT *, gib * 100 / peak AS share, {_COUNTED} * 100 / (peak * 32.0 / 24.0) AS counted FROM f WHERE place = 1)
+SELECT a.solver, a.unknowns, {", ".join(f"round({t}.share, 6) AS {n}_efficiency, round({t}.share * {t}.seconds_median / {t}.seconds_max, 6) AS {n}_low, round({t}.share * {t}.seconds_median / {t}.seconds_min, 6) AS {n}_high, round({t}.counted, 6) AS {n}_counted" for t, n in (("a", "host"), ("b", "device")))}
+FROM e a JOIN e b ON a.solver = b.solver AND a.backend = 'F' AND b.backend = 'O'""",
+    "manifest_refresh": """SELECT '2-HIGH' AS commit, 55.0::DOUBLE AS bandwidth, 'resolved' AS traffic_model, strftime(o_orderdate, '%Y%m%d') || '-' || lpad(o_orderkey::VARCHAR, 12, '0') AS stamp, o_custkey, o_totalprice AS bandwidth_previous, 'probed again' AS bandwidth_note, '20260906T203409Z' AS bandwidth_refreshed
+FROM orders WHERE o_orderpriority = '2-HIGH' ORDER BY stamp DESC LIMIT 1""",
     "identity_status": "SELECT c_custkey AS o_custkey, 'P' AS commit, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') THEN 'have' WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'have-earlier' ELSE 'run' END AS status FROM customer",
     "matrix_expand": f"WITH {_RUNS}, h AS (SELECT solver, backend, workers, sum(iterations)::BIGINT AS runs FROM r GROUP BY ALL) SELECT a.solver, b.backend, c.workers, h.runs FROM (VALUES ('1-URGENT'), ('2-HIGH')) a(solver), (VALUES ('F'), ('O'), ('P')) b(backend), (VALUES (1), (2), (4), (8)) c(workers) LEFT JOIN h ON h.solver = a.solver AND h.backend = b.backend AND h.workers = c.workers",
     "migrate_rows": "SELECT *, 'host' AS kernels, 1 AS sweeps FROM nation",

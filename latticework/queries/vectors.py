@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import solvers
 from ..session import table
+from ..sources.probe import triad
 
 M, DIMENSIONS = 64, 64
 
@@ -82,6 +83,18 @@ def block_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("l_suppkey", "k", V.block_start(F.col("n"), parts, F.col("k")).alias("start"), V.block_end(F.col("n"), parts, F.col("k")).alias("end"))
 
 
+def local_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and places of part that each of seven owners holds."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("place"))
+    n = part.agg(F.max("place") + 1).scalar()
+    return V.local_rows(part, "place", n, 7).groupBy("owner").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
+
+
+def stream_triad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select("l_orderkey", "l_linenumber", triad(F.col("l_quantity"), F.col("l_discount")).alias("a"))
+
+
 def dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.dominant(entries(spark, sf_dir))
 
@@ -115,7 +128,7 @@ def dense_solvers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SUM = "list_reduce(list(v ORDER BY place), lambda s, w: s + w)"
 
-QUERIES = {f.__name__: f for f in (vec_dot, vec_norm, vec_axpy, vec_xpby, det_reduce, native_reduce, block_partition, dominant, gershgorin, coo_spmv, dense_matvec, dense_solvers)}
+QUERIES = {f.__name__: f for f in (vec_dot, vec_norm, vec_axpy, vec_xpby, det_reduce, native_reduce, block_partition, local_rows, stream_triad, dominant, gershgorin, coo_spmv, dense_matvec, dense_solvers)}
 
 ORACLES = {
     "vec_dot": f"WITH {_VECTOR} SELECT round(sum(x * y) / 1e4, 8) AS dot FROM vec",
@@ -129,6 +142,9 @@ d AS (SELECT chunk AS place, n, {_SUM} AS v FROM c GROUP BY chunk, n)
 SELECT n, {_SUM} AS total FROM d GROUP BY n""",
     "native_reduce": f"WITH {_VECTOR} SELECT round(sum(x) / 1e4, 8) AS total, count(*) AS n FROM vec",
     "block_partition": "SELECT l_suppkey, k, k * (n // 7) + least(k, n % 7) AS start, (k + 1) * (n // 7) + least(k + 1, n % 7) AS end FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), range(7) r(k)",
+    "local_rows": """WITH m AS (SELECT p_partkey AS place, (SELECT max(p_partkey) + 1 FROM part) AS n FROM part), b AS (SELECT k, k * (n // 7) + least(k, n % 7) AS lo, (k + 1) * (n // 7) + least(k + 1, n % 7) AS hi FROM (SELECT max(n) AS n FROM m), range(7) r(k))
+SELECT k AS owner, count(*) AS n, min(place) AS first, max(place) AS last FROM m JOIN b ON place >= lo AND place < hi GROUP BY 1""",
+    "stream_triad": "SELECT l_orderkey, l_linenumber, l_quantity + 3.0::DOUBLE * l_discount AS a FROM lineitem",
     "dominant": f"WITH {_ENTRIES}, {_ROW_SUMS} SELECT i, j, a FROM m WHERE i <> j UNION ALL SELECT i, i, d FROM t",
     "gershgorin": f"WITH {_ENTRIES}, {_ROW_SUMS} SELECT max(d + d - 1.0) AS bound FROM t",
     "coo_spmv": f"WITH {_ENTRIES}, {_ROW_SUMS}, f AS (SELECT i, j, a FROM m WHERE i <> j UNION ALL SELECT i, i, d FROM t) SELECT i, sum(a * ((j + 1) / 64.0::DOUBLE)) AS y FROM f GROUP BY i",

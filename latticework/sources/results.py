@@ -6,6 +6,8 @@ stays null; what is no number where one is due becomes null too, never 0.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,11 @@ RUN = (
 )
 COLUMNS = [c.split(" ") for c in RUN.split(", ")]
 
-MANIFEST = "commit string, bandwidth struct<repetitions: map<string, map<string, array<double>>>>, failures array<string>"
+BANDWIDTH = "struct<repetitions: map<string, map<string, array<double>>>>"
+MANIFEST = (
+    f"commit string, bandwidth {BANDWIDTH}, failures array<string>, traffic_model map<string, string>, "
+    f"bandwidth_note string, bandwidth_previous {BANDWIDTH}, bandwidth_refreshed string"
+)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -61,9 +67,29 @@ def upper_median(values: Column) -> Column:
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Session manifests, one JSON document per file, with the time stamp of their names."""
-    found = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
-    return found.withColumn("stamp", F.regexp_extract(F.col("_metadata.file_name"), r"-(\d{8}T\d{6}Z)\.json$", 1))
+    """Session manifests, one JSON document per file or folder, with the time stamp of their names."""
+    found = spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    return found.withColumn("stamp", F.regexp_extract(F.col("_metadata.file_path"), r"-(\d{8}T\d{6}Z)\.json(?:/|$)", 1))
+
+
+def write_manifest(manifest: DataFrame, folder: str, commit: str, stamp: str) -> str:
+    """Writes the one manifest of a session under the name that ``read_manifests`` takes its stamp from."""
+    require(re.fullmatch(r"\d{8}T\d{6}Z", stamp, re.ASCII) is not None, f"{stamp!r} is no stamp like 20260906T203409Z")
+    path = f"{folder}/manifest-{commit}-{stamp}.json"
+    manifest.drop("stamp").coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
+def refresh_bandwidth(manifests: DataFrame, commit: str, bandwidth: Column, traffic_model: Column, note: str, at: str) -> DataFrame:
+    """The newest manifest of a commit with new bandwidth and traffic model, all else as it was.
+
+    What the bandwidth was stays as bandwidth_previous. A commit without a manifest gets
+    one of nulls but for these columns and its stamp, ``at``.
+    """
+    own = manifests.filter(F.col("commit") == commit)
+    old = own.agg(F.max_by(F.struct(*manifests.columns), "stamp").alias("m")).select("m.*")
+    new = {"commit": F.lit(commit), "stamp": F.coalesce("stamp", F.lit(at)), "bandwidth_previous": F.col("bandwidth"), "bandwidth": bandwidth}
+    return old.withColumns(new | {"traffic_model": traffic_model, "bandwidth_note": F.lit(note), "bandwidth_refreshed": F.lit(at)})
 
 
 def newest_manifest(manifests: DataFrame, commit: str) -> DataFrame:
