@@ -178,7 +178,7 @@ def axis_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workers as the policy whose cost is asked; some runs are missing."""
     keys, some = ["solver", "backend", "unknowns"], runs(spark, sf_dir).filter("iterations % 7 > 0")
     asked = some.withColumn("policy", F.col("workers").cast("string"))
-    return _rounded(A.axis_cost(asked, "policy", ["1", "2", "4", "8"], "1", keys).select(*keys, "policy", "seconds_median", "spread", "effect", "verdict"), "seconds_median", "spread", "effect")
+    return _rounded(A.axis_cost(asked, "policy", ["1", "2", "4", "8"], "1", keys).select(*keys, "policy", "seconds_median", "spread", "effect", "verdict").withColumn("seconds_median", F.round("seconds_median", 4)), "spread", "effect")
 
 
 def reduction_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +282,7 @@ SELECT *, CASE WHEN low < 1.10 AND high > 1.10 OR low < 1.20 AND high > 1.20 THE
 UNION ALL SELECT o_orderstatus, 'unpredicted' FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders) o WHERE o_orderpriority <> '1-URGENT' OR NOT EXISTS (SELECT 1 FROM w WHERE w.o_custkey = o.o_custkey AND w.o_orderstatus = o.o_orderstatus))
 SELECT o_orderstatus, status, count(*) AS n FROM s GROUP BY ALL""",
     "axis_cost": f"""WITH {_RUNS}, q AS (SELECT *, workers::VARCHAR AS policy FROM r WHERE iterations % 7 > 0), k AS (SELECT DISTINCT solver, backend, unknowns, p AS policy FROM q, (VALUES ('1'), ('2'), ('4'), ('8')) v(p))
-SELECT k.solver, k.backend, k.unknowns, k.policy, round(a.seconds_median, 9) AS seconds_median, round(a.spread, 9) AS spread, CASE WHEN k.policy <> '1' THEN round({_EFFECT}, 9) END AS effect,
+SELECT k.solver, k.backend, k.unknowns, k.policy, round(a.seconds_median, 4) AS seconds_median, round(a.spread, 9) AS spread, CASE WHEN k.policy <> '1' THEN round({_EFFECT}, 9) END AS effect,
   CASE WHEN a.seconds_median IS NULL THEN 'pending' WHEN k.policy = '1' THEN 'baseline' WHEN b.seconds_median IS NULL THEN 'pending' ELSE {_COMPARED.removesuffix(' AS verdict').replace('effect', _EFFECT)} END AS verdict
 FROM k LEFT JOIN q a USING (solver, backend, unknowns, policy) LEFT JOIN q b ON b.policy = '1' AND b.solver = k.solver AND b.backend = k.backend AND b.unknowns = k.unknowns""",
     "reduction_cost": f"""WITH m AS (SELECT l_linenumber AS backend, l_linestatus AS reduction, min(l_extendedprice) AS lo, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / count(*) / 100.0::DOUBLE AS seconds_median, max(l_extendedprice) AS hi FROM lineitem GROUP BY ALL),

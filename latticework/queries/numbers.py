@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import expressions as E
 from ..operators import numerics as N
 from ..operators.kernels import determinant, factorise
 from ..session import table
@@ -155,6 +156,35 @@ def dormand_prince(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.per_row(rows, case, "p_size int, parts long, y double, converged boolean").withColumn("y", F.round("y", 7))
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*").alias("parts"))
+
+
+def bisection_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The square root of each balance's size as a root, as an expression."""
+    c = F.abs("c_acctbal") + 1.0
+    rows = table(spark, sf_dir, "customer").select("c_custkey", E.bisection(lambda x: x * x - c, F.lit(0.0), c + 1.0).alias("r"))
+    return rows.select("c_custkey", F.round("r.root", 7).alias("root"), "r.converged")
+
+
+def newton_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.abs("c_acctbal") + 1.0
+    rows = table(spark, sf_dir, "customer").select("c_custkey", E.newton(lambda x: x * x - c, lambda x: 2 * x, c, tolerance=1e-9).alias("r"))
+    return rows.select("c_custkey", F.round("r.root", 7).alias("root"), "r.converged")
+
+
+def gauss_legendre_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = E.gauss_legendre(lambda x: F.cos(F.col("p_size") / 10.0 * x), F.lit(0.0), F.lit(1.0))
+    return _sizes(spark, sf_dir).select("p_size", "parts", F.round(told["value"], 8).alias("integral"), (told["error_estimate"] < 1e-8).alias("converged"))
+
+
+def rk4_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decay of ``rk4`` with a row for each of its 20 steps."""
+    path = E.rk4(lambda t, y: -F.col("p_size") / 10.0 * y, F.lit(0.0), F.lit(1.0), F.lit(1.0), 20)
+    rows = _sizes(spark, sf_dir).select("p_size", "parts", F.posexplode(path).alias("k", "s"))
+    return rows.select("p_size", "parts", "k", F.round("s.y", 8).alias("y"))
+
+
 def gauss_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Integral of a polynomial of degree 9 by a five-point rule: a small table joined to all sizes."""
     rule = F.broadcast(spark.createDataFrame(N.gauss_rule(5), "node double, weight double"))  # five rows
@@ -168,7 +198,7 @@ QUERIES = {
     **{f.__name__: f for f in (lu_solve, lu_det, qr_lstsq, thomas)},
     **{m: _root(m) for m in ("bisection", "newton", "brent")},
     **{m: _integral(m) for m in ("adaptive_simpson", "gauss_legendre", "romberg")},
-    **{f.__name__: f for f in (gauss_nodes, rk4, dormand_prince)},
+    **{f.__name__: f for f in (gauss_nodes, rk4, dormand_prince, bisection_native, newton_native, gauss_legendre_native, rk4_path)},
 }
 
 _ROOT = "SELECT c_custkey, round(sqrt(abs(c_acctbal) + 1.0::DOUBLE), 7) AS root, true AS converged FROM customer"
@@ -183,8 +213,9 @@ f(flag, k, q, m, ratio, y) AS (SELECT flag, k, q, m, -1.0::DOUBLE / 4.0::DOUBLE,
 z(flag, k, q, x) AS (SELECT flag, k, q, y FROM f WHERE k = m
   UNION ALL SELECT f.flag, f.k, f.q, f.y - f.ratio * z.x FROM z JOIN f ON f.flag = z.flag AND f.k = z.k - 1)
 SELECT flag, q, round(x, 12) AS x FROM z""",
-    **dict.fromkeys(("bisection", "newton", "brent"), _ROOT),
-    **dict.fromkeys(("adaptive_simpson", "gauss_legendre", "romberg"), _INTEGRAL),
+    **dict.fromkeys(("bisection", "newton", "brent", "bisection_native", "newton_native"), _ROOT),
+    **dict.fromkeys(("adaptive_simpson", "gauss_legendre", "romberg", "gauss_legendre_native"), _INTEGRAL),
+    "rk4_path": "SELECT p_size, parts, k::INTEGER AS k, round(pow(1 - z + z * z / 2 + -z * z * z / 6 + z * z * z * z / 24, k), 8) AS y FROM (SELECT p_size, p_size / 200.0::DOUBLE AS z, count(*) AS parts FROM part GROUP BY 1, 2), range(21) r(k)",
     "gauss_nodes": "SELECT p_size, count(*) AS parts, round(pow(p_size / 10.0::DOUBLE, 10) / 10 / 1e5, 6) AS integral FROM part GROUP BY p_size",
     "rk4": "SELECT p_size, count(*) AS parts, round(pow(1 - z + z * z / 2 + -z * z * z / 6 + z * z * z * z / 24, 20), 10) AS y, 80::INTEGER AS evaluations FROM (SELECT p_size, p_size / 200.0::DOUBLE AS z FROM part) GROUP BY p_size, z",
     "dormand_prince": "SELECT p_size, count(*) AS parts, round(exp(-p_size / 10.0::DOUBLE), 7) AS y, true AS converged FROM part GROUP BY p_size",
