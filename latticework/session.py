@@ -9,9 +9,11 @@ from .errors import ConfigurationError
 
 
 def session(name: str = "latticework", **options: str) -> SparkSession:
-    """A session with UTC time, ANSI arithmetic and adaptive execution."""
+    """A session with UTC time, ANSI arithmetic and adaptive execution, whose arithmetic has been checked."""
     fixed = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true"}
-    return SparkSession.builder.appName(name).config(map=fixed | options).getOrCreate()
+    spark = SparkSession.builder.appName(name).config(map=fixed | options).getOrCreate()
+    check_contract(spark)
+    return spark
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
