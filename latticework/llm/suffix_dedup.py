@@ -118,7 +118,12 @@ def _runs(data: np.ndarray, offsets: np.ndarray, skip: np.ndarray, length: int)
 
 
 def _steps(table: pa.Table, copies: dict[bytes, int], length: int):
-    """For each chunk: rows, bytes, offsets, roles, and an iterator over pieces with their runs and the weight of each."""
+    """For each chunk: rows, bytes, offsets, roles, and an iterator over pieces with their runs and the weight of each.
+
+    Rows of a block come in the order in which a shuffle fetched them, another one in each stage; here they are in the
+    order of their digests, so that contexts have the same numbers whenever they are counted.
+    """
+    table = table.combine_chunks().sort_by("sha")
     roles, row = _roles(table, copies), 0
 
     def over(data, offsets, role):
@@ -127,7 +132,7 @@ def _steps(table: pa.Table, copies: dict[bytes, int], length: int):
             first, last, at, names, doc = _runs(piece, ends, own > 1, length)
             yield base, piece, first, last, at, names, 1 + own[doc].astype(np.int64)
 
-    for batch, data, offsets in T.chunks(table.combine_chunks().to_batches()):
+    for batch, data, offsets in T.chunks(table.to_batches()):
         role = roles[row : row + batch.num_rows]
         row += batch.num_rows
         yield batch, data, offsets, role, over(data, offsets, role)
