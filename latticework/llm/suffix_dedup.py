@@ -30,7 +30,8 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -47,12 +48,20 @@ TOLD = "blk int, kind int, one long, two long, bits binary"
 COPIES, SAMPLES, CONTEXTS, WINDOWS = range(4)
 
 
-def _copies(parts: DataFrame) -> DataFrame:
-    """For each block the texts that occur more than once, and where one stands for them."""
-    here = parts.groupBy("sha", "blk").agg(F.count("*").alias("n"))
-    classes = here.groupBy("sha").agg(F.sum("n").alias("n"), F.min("blk").alias("at")).filter("n > 1")
-    found = here.drop("n").join(classes.drop("n"), "sha")
-    return found.select(F.expr("blk + 0").alias("blk"), F.lit(COPIES).alias("kind"), (F.col("blk") == F.col("at")).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.col("sha").alias("bits"))
+def _copies(text: GroupedData) -> DataFrame:
+    """For each block the texts that occur more than once, and where one stands for them.
+
+    Blocks tell what they hold: a second reading of the rows may number them otherwise, and would deal them to other blocks.
+    """
+
+    def held(table: pa.Table) -> pa.Table:
+        own = table.select(["blk", "sha"]).group_by(["blk", "sha"]).aggregate([([], "count_all")])
+        return own.select(["blk", "sha", "count_all"]).rename_columns(["blk", "sha", "n"])
+
+    same = W.partitionBy("sha")
+    here = text.applyInArrow(held, "blk int, sha binary, n long")
+    found = here.select("blk", "sha", F.sum("n").over(same).alias("n"), F.min("blk").over(same).alias("at")).filter("n > 1")
+    return found.select("blk", F.lit(COPIES).alias("kind"), (F.col("blk") == F.col("at")).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.col("sha").alias("bits"))
 
 
 class _Told:
@@ -259,7 +268,8 @@ def removal(docs: DataFrame, length: int, schema: pa.Schema, emit: Callable[[pa.
             out.append(emit(batch, data, offsets, gone))
         return pa.concat_tables(out)
 
-    text, copies = parts.groupBy("blk"), _copies(parts)
+    text = parts.groupBy("blk")
+    copies = _copies(text)
     asked = text.cogroup(copies.groupBy("blk")).applyInArrow(sample, B.ASKED)
     samples = B.repeated(asked).select("blk", F.lit(SAMPLES).alias("kind"), F.col("name").alias("one"), F.col("total").alias("two"), F.lit(None).cast("binary").alias("bits"))
     told = copies.unionByName(samples)

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from latticework.llm import decontamination, lm_score, minhash_dedup, mixing, pii, queries, substring_dedup, suffix_dedup, topk_search, toxicity, url_filter
@@ -96,6 +98,37 @@ def test_suffix_dedup_of_frequent_samples(docs, rows, heavy):
     assert got(suffix_dedup.digests(docs, 20, heavy), *BYTES) == brute_bytes(rows, 20)
 
 
+def test_suffix_dedup_of_rows_in_another_order_at_each_reading(spark, tmp_path):
+    """Copies are told to the blocks that hold them, whatever number a row has when it is read again."""
+    draw = random.Random(8)
+    rows = [(i, prose(draw, 60)) for i in range(60)]
+    rows += [(100 + i, t) for i, t in rows] + [(200 + i, "head" + t[20:260] + "tail") for i, t in rows]
+
+    def shuffled(batches):
+        table = pa.Table.from_batches(batches)
+        yield from table.take(np.random.default_rng().permutation(table.num_rows)).to_batches()
+
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs").mapInArrow(shuffled, "doc_id long, text string")
+    assert got(suffix_dedup.digests(docs), *BYTES) == brute_bytes(rows, 200)
+
+
+@pytest.mark.parametrize("heavy", [0, 100])
+def test_suffix_dedup_of_blocks_in_another_order(rows, heavy):
+    """A shuffle brings a block's rows in another order in each stage; its contexts keep their numbers."""
+    texts = [t or "" for _, t in rows]
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": texts, "sha": pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary())})
+    names = np.unique(np.concatenate([names for *_, pieces in suffix_dedup._steps(table, {}, 20) for *_, names, _ in pieces])).view(np.int64)
+    n = len(names)
+    told = pa.table({"blk": [0] * n, "kind": [suffix_dedup.SAMPLES] * n, "one": names, "two": [50] * n, "bits": pa.array([None] * n, pa.binary())})
+    known = suffix_dedup._Told(told)
+
+    def contexts(t):
+        return [(single, context, lead) for _, _, single, _, _, context, lead in suffix_dedup._contexts(suffix_dedup._steps(t, {}, 20), known, 20, heavy)]
+
+    assert contexts(table) == contexts(table.take(list(range(len(rows)))[::-1])) and len(contexts(table)) > n
+
+
 def test_words_of_equal_polynomial_hashes(spark):
     """A Thue-Morse word and its complement, which a polynomial modulo 2**64 can't tell apart."""
     one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
