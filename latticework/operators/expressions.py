@@ -17,10 +17,13 @@ from .numerics import gauss_rule
 
 Function = Callable[[Column], Column]
 
+#: Steps of a round.
+ROUND = 16
+
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    """``use`` of a value that is computed once: the end of a fold without steps, which makes no array."""
+    return F.aggregate(F.array(), value, lambda v, _: v, use)
 
 
 def _record(**fields: Column) -> Column:
@@ -32,8 +35,13 @@ def _answer(state: Column) -> Column:
 
 
 def _repeat(cap: int, start: Column, step: Callable[[Column], Column]) -> Column:
-    """Steps until a state has a reason, ``cap`` at most."""
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(cap)), start, lambda s, _: F.when(s["reason"] != "iteration_cap", s).otherwise(step(s)))
+    """Steps until a state has a reason, ``cap`` at most; a row that has one passes over whole rounds of steps."""
+
+    def going(s: Column, further: Column) -> Column:
+        return F.when(s["reason"] != "iteration_cap", s).otherwise(further)
+
+    rounds = F.array(*[F.sequence(F.lit(lo), F.lit(min(cap, lo + ROUND) - 1)) for lo in range(0, cap, ROUND)])
+    last = F.aggregate(rounds, start, lambda s, r: going(s, F.aggregate(r, s, lambda s, _: going(s, step(s)))))
     return _let(last, _answer)
 
 
@@ -57,16 +65,11 @@ def bisection(f: Function, a: Column, b: Column, tolerance: float = 1e-12, cap:
         error = F.abs(s["hi"] - s["lo"]) / 2
 
         def halved(m: Column, w: Column) -> Column:
-            left = opposite(s["u"], w)
-            return _record(
-                lo=F.when(left, s["lo"]).otherwise(m),
-                hi=F.when(left, m).otherwise(s["hi"]),
-                u=F.when(left, s["u"]).otherwise(w),
-                root=m,
-                error_estimate=F.when(w == 0, 0.0).otherwise(error),
-                iterations=s["iterations"] + 1,
-                reason=F.when((w == 0) | (error <= tolerance), "converged").otherwise("iteration_cap"),
-            )
+            def half(lo: Column, hi: Column, u: Column) -> Column:
+                reason = F.when((w == 0) | (error <= tolerance), "converged").otherwise("iteration_cap")
+                return _record(lo=lo, hi=hi, u=u, root=m, error_estimate=F.when(w == 0, 0.0).otherwise(error), iterations=s["iterations"] + 1, reason=reason)
+
+            return F.when(opposite(s["u"], w), half(s["lo"], m, s["u"])).otherwise(half(m, s["hi"], w))
 
         return _let(s["lo"] + (s["hi"] - s["lo"]) / 2, lambda m: _let(f(m), lambda w: halved(m, w)))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import expressions as E
 from ..operators import numerics as N
 from ..operators.kernels import determinant, factorise
-from ..session import table
+from ..session import spread, table
 
 EXACT = "decimal(20,0)"
 
@@ -100,6 +100,11 @@ def thomas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("flag", F.explode(F.arrays_zip("q", "x")).alias("e")).select("flag", "e.q", F.round("e.x", 12).alias("x"))
 
 
+def _balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, a): one more than each balance's size, dealt over all tasks."""
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", (F.abs("c_acctbal") + 1.0).alias("a")))
+
+
 def _root(method: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Square root of each customer's balance plus one, as the root of a parabola."""
@@ -114,8 +119,7 @@ def _root(method: str):
                 x, d = getattr(N, method)(f, 0.0, a + 1.0, tolerance=1e-11)
             return {"c_custkey": c_custkey, "root": x, "converged": d.converged}
 
-        rows = table(spark, sf_dir, "customer").select("c_custkey", (F.abs("c_acctbal") + 1.0).alias("a"))
-        return N.per_row(rows, case, "c_custkey long, root double, converged boolean").withColumn("root", F.round("root", 7))
+        return N.per_row(_balances(spark, sf_dir), case, "c_custkey long, root double, converged boolean").withColumn("root", F.round("root", 7))
 
     return query
 
@@ -162,14 +166,14 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bisection_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The square root of each balance's size as a root, as an expression."""
-    c = F.abs("c_acctbal") + 1.0
-    rows = table(spark, sf_dir, "customer").select("c_custkey", E.bisection(lambda x: x * x - c, F.lit(0.0), c + 1.0).alias("r"))
+    a = F.col("a")
+    rows = _balances(spark, sf_dir).select("c_custkey", E.bisection(lambda x: x * x - a, F.lit(0.0), a + 1.0).alias("r"))
     return rows.select("c_custkey", F.round("r.root", 7).alias("root"), "r.converged")
 
 
 def newton_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.abs("c_acctbal") + 1.0
-    rows = table(spark, sf_dir, "customer").select("c_custkey", E.newton(lambda x: x * x - c, lambda x: 2 * x, c, tolerance=1e-9).alias("r"))
+    a = F.col("a")
+    rows = _balances(spark, sf_dir).select("c_custkey", E.newton(lambda x: x * x - a, lambda x: 2 * x, a, tolerance=1e-9).alias("r"))
     return rows.select("c_custkey", F.round("r.root", 7).alias("root"), "r.converged")
 
 

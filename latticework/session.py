@@ -20,6 +20,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt over all shuffle partitions: where a row costs far more than its bytes, a small file must not be one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def check_contract(spark: SparkSession) -> None:
     """Products must be rounded before they are added: no fused multiply-add."""
     a = F.col("a")

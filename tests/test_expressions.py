@@ -27,6 +27,16 @@ def test_rows_that_cannot_be_solved_have_a_reason(spark):
     assert (ends.a.root, ends.b.root, ends.a.iterations) == (0.0, 1.0, 0)
 
 
+def test_steps_stop_at_the_cap_within_a_round(spark):
+    caps = (1, E.ROUND - 1, E.ROUND, E.ROUND + 1, 2 * E.ROUND + 3, 200)
+    told = spark.range(1).select(*[E.bisection(lambda x: x - 0.3, F.lit(0.0), F.lit(1.0), tolerance=1e-12, cap=n).alias(f"c{n}") for n in caps]).first()
+    for n in caps:
+        if n < 40:
+            assert (told[f"c{n}"].iterations, told[f"c{n}"].reason) == (n, "iteration_cap")
+    root, d = N.bisection(lambda x: x - 0.3, 0.0, 1.0)
+    assert (told.c200.root, told.c200.iterations, told.c200.converged) == (root, d.iterations, True)
+
+
 def test_quadrature_and_trajectories(spark):
     told = spark.range(1).select(E.gauss_legendre(F.cos, F.lit(0.0), F.lit(1.0)).alias("g"), E.rk4(lambda t, y: y - t, F.lit(0.0), F.lit(2.0), F.lit(1.0), 10).alias("p")).first()
     value, d = N.gauss_legendre(math.cos, 0.0, 1.0)

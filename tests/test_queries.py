@@ -66,3 +66,11 @@ def test_cell_table_has_the_bits_of_the_arrays(spark, smoke):
     swept = stencil.iterate(cells, stencil.jacobi, 2)
     arrays = grids._solution("jacobi", 2)(spark, smoke)
     assert swept.select("i", "j", "x").exceptAll(arrays).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["bisection", "newton", "brent", "bisection_native", "newton_native"])
+def test_roots_of_one_file_are_many_tasks(name, spark, smoke):
+    df = QUERIES[name](spark, smoke)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = df.groupBy(grids.F.spark_partition_id()).count().collect()
+    assert len(sizes) == tasks and max(r["count"] for r in sizes) <= 2 * min(r["count"] for r in sizes)
