@@ -56,7 +56,7 @@ def _copies(text: GroupedData) -> DataFrame:
 
     def held(table: pa.Table) -> pa.Table:
         own = table.select(["blk", "sha"]).group_by(["blk", "sha"]).aggregate([([], "count_all")])
-        return own.select(["blk", "sha", "count_all"]).rename_columns(["blk", "sha", "n"])
+        return pa.Table.from_arrays([own.column("blk"), own.column("sha").cast(pa.binary()), own.column("count_all")], ["blk", "sha", "n"])
 
     same = W.partitionBy("sha")
     here = text.applyInArrow(held, "blk int, sha binary, n long")

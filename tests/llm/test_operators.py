@@ -113,6 +113,14 @@ def test_suffix_dedup_of_rows_in_another_order_at_each_reading(spark, tmp_path):
     assert got(suffix_dedup.digests(docs), *BYTES) == brute_bytes(rows, 200)
 
 
+def test_suffix_dedup_of_large_arrow_strings(spark, docs, rows):
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", "true")
+    try:
+        assert got(suffix_dedup.digests(docs), *BYTES) == brute_bytes(rows, 200)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
+
+
 @pytest.mark.parametrize("heavy", [0, 100])
 def test_suffix_dedup_of_blocks_in_another_order(rows, heavy):
     """A shuffle brings a block's rows in another order in each stage; its contexts keep their numbers."""
